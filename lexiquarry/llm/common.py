@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def row_key(text: str = "text"):
     """Tells apart rows that share a doc_id."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: smaller than a
+    checkpoint, and later reads take only the columns and rows they need."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lexiquarry-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
