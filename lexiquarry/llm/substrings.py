@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import textcore as tc
-from lexiquarry.llm.common import row_key, shuffle_width, stored
+from lexiquarry.llm.common import bounded_batches, row_key, shuffle_width, stored
 
 WINDOW = 50
 #: Words of the runs of which a window's least one is its seed.
@@ -138,7 +138,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """n_words, n_removed and the digest of the kept words of every document."""
-    base = docs.select(
+    base = bounded_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         row_key().alias("th"),
