@@ -115,7 +115,8 @@ def _training_batch(texts: list[bytes], y: list[int]):
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 2) -> Crf | None:
     """A model from text and lang of a bounded sample of ``labelled``."""
     rows = labelled.select("text", "lang", F.xxhash64("doc_id").alias("at")).filter(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-    rows = rows.orderBy("at", "text").limit(sample).collect()
+    last = rows.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+    rows = [] if last is None else sorted(rows.filter(F.col("at") <= last).limit(2 * sample).collect(), key=lambda r: (r["at"], r["text"], r["lang"]))[:sample]
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
