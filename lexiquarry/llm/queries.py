@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import fingerprint, language, lines, mixing, neardup, secret_scan, substrings, url_filter
+from lexiquarry.llm import fingerprint, html_text, language, lines, mixing, neardup, secret_scan, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_near_dedup": op4_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scan": op9_secret_scan,
