@@ -343,7 +343,7 @@ class _Maker:
         outer = [
             lambda: f"<header{self.attr('head', 0.5)}>{r.choice(['<h1>' + w(1, 4) + '</h1>', '<p>' + w(2, 12) + '</p>', '<a href=/>' + w(1, 3) + '</a>', w(1, 9)])}{r.choice(['', '<nav>' + self.links() + '</nav>'])}</header>",
             lambda: f"<div{self.attr('head', 1)}>{r.choice(['<p>' + w(2, 12) + '</p>', w(1, 9), self.links()])}</div>",
-            lambda: f"<footer{self.attr('foot', 0.5)}>{r.choice(['&copy; ' + w(2, 25), '<p>' + w(2, 30) + '</p>', self.links()])}</footer>",
+            lambda: f"<footer{self.attr('foot', 0.4)}>{r.choice(['&copy; ' + w(2, 60), '<p>' + w(2, 30) + '</p>', self.links()])}</footer>",
             lambda: f"<div{self.attr('foot', 1)}>{r.choice(['&copy; ' + w(2, 25), '<p>' + w(2, 30) + '</p>', self.links()])}</div>",
         ]
         return r.choice(some if inner else some + outer + outer)()
@@ -374,7 +374,7 @@ class _Maker:
         inner = []
         if r.random() < 0.8:
             inner.append(r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(f"\x01{self.words(1, 12)}\x02"))
-        for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14])):
             inner.append(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(<|$)", "\\1\x01\\2\x02\\3", self.block()))
             if r.random() < 0.12:
                 inner.append(self.junk(True))
@@ -410,7 +410,7 @@ def training_nodes(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.array(ys, float)
 
 
-def fit_extractor(pages: int = 700, seed: int = SEED) -> Trees:
+def fit_extractor(pages: int = 1500, seed: int = SEED) -> Trees:
     """The trees; always the same for the same arguments."""
     return fit_trees(*training_nodes(pages, seed))
 
