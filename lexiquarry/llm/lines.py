@@ -4,14 +4,14 @@ A line is the set of its words. A line goes if an earlier line, by (doc_id, numb
 the document), has a Jaccard similarity of 4/5 or more with it, whether or not that one
 stays itself. Lines without words stay.
 
-1. Words are ordered by rarity: counts over all documents in 65,536 hash buckets, each
-   word by its bucket's rank, then its hash. This is one order for all lines.
+1. Words are ordered by rarity: counts over all lines in 65,536 hash buckets, each word
+   by its bucket's rank, then its hash. This is one order for all lines.
 2. Lines with equal sets: all but the first go. (Sets are known by a 64-bit hash of
-   their 63-bit word hashes.)
+   their word hashes.)
 3. Different sets: similar ones share a word of their prefixes, the n - ceil(4n/5) + 1
-   rarest words. Lines meet by prefix words; sizes, and the 64-bit parity of word hashes
-   (a lower bound of the symmetric difference, as the positional filter is), sort out
-   pairs. A line that may match the first line of a word's group meets that one only;
+   rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
+   of word hashes (their difference is a lower bound of the symmetric difference) sort
+   out pairs. A line that may match the first line of a word's group meets that one only;
    the others meet all earlier lines of the group. Jaccard is verified on whole sets.
 4. A line whose first lines all fail verification meets all earlier lines then.
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.common import row_key, shuffle_width, stored
 
 BUCKETS = 1 << 16
+#: Lines with more words have a parity of 256 bits instead of 64.
+LONG_LINE = 110
 #: Copies of a set from which only the first one goes on to step 3.
 HOT_COPIES = 200
 _SIEVE = 1 << 20
@@ -51,11 +53,11 @@ def _constant(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
 
 
-def rarity_ranks(texts: DataFrame) -> list[int]:
-    """Each bucket's rank by its number of words, shifted above a hash. One long for
-    each of a fixed number of buckets comes to the driver."""
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w != ''")
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
+def rarity_ranks(sets: DataFrame) -> list[int]:
+    """Each bucket's rank by the number of its words in all lines' sets, shifted above a
+    hash. One count for each of a fixed number of buckets comes to the driver."""
+    words = sets.select(F.explode("toks").alias("w"))
+    counts = words.groupBy(F.shiftrightunsigned("w", 48).alias("b")).count().collect()
     have = {r["b"]: r["count"] for r in counts}
     order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
     ranks = [0] * BUCKETS
@@ -77,19 +79,26 @@ def _sieve(keys: DataFrame) -> Column | None:
     return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
+def _parity(toks: Column) -> Column:
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
+#: What a line's parities are called: of all words, and (long lines) of three quarters.
+_SIGNS = ("sig", "q1", "q2", "q3")
+
+
 def _line_sets(docs: DataFrame) -> DataFrame:
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         row_key().alias("th"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    ranks = _constant(rarity_ranks(base))
     lines = base.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    placed = F.transform(hashes, lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
-    sets = lines.select("id", "th", "line_no", F.sort_array(placed).alias("toks"))
-    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    return stored(sets.select("id", "th", "line_no", F.size("toks").alias("n"), F.xxhash64("toks").alias("sid"), parity.alias("sig"), "toks"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = lines.select("id", "th", "line_no", F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("toks"))
+    quarter = lambda j: F.when(F.size("toks") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
+    return stored(sets.select("id", "th", "line_no", F.size("toks").alias("n"), F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], "toks"))
 
 
 def _later_matches(sets: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -100,7 +109,13 @@ def _later_matches(sets: DataFrame, distinct: DataFrame) -> DataFrame:
     some = sets.filter("n > 3").join(hot, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == own))
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    index = some.select("id", where.alias("at"), "sig", F.explode(F.slice("toks", F.lit(1), prefix)).alias("tok"))
+    ranks = _constant(rarity_ranks(sets))
+    by_rarity = F.sort_array(F.transform("toks", lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))))
+    own_columns = ["id", "at", *_SIGNS]
+
+    def indexed(lines: DataFrame) -> DataFrame:
+        """A row for each prefix word of each line."""
+        return lines.select("id", where.alias("at"), *_SIGNS, F.posexplode(F.slice(by_rarity, F.lit(1), prefix)).alias("p", "tok"))
 
     def size(at: str) -> Column:
         return F.col(at).bitwiseAND((1 << 32) - 1)
@@ -110,17 +125,23 @@ def _later_matches(sets: DataFrame, distinct: DataFrame) -> DataFrame:
         return (F.col(f"{a}_id") < F.col(f"{b}_id")) | ((F.col(f"{a}_id") == F.col(f"{b}_id")) & (F.shiftright(f"{a}_at", 32) < F.shiftright(f"{b}_at", 32)))
 
     def possible(a: str, b: str) -> Column:
+        """Sizes, positions of the word and parities leave the pair open."""
         na, nb = size(f"{a}_at"), size(f"{b}_at")
-        most = na + nb - 2 * F.ceil((na + nb) * 4 / 9)
-        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) <= most)
+        least = F.ceil((na + nb) * 4 / 9)
+        bits = lambda *c: F.bit_count(c[0] if len(c) == 1 else c[0].bitwiseXOR(c[1]))
+        delta = [F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")) for c in _SIGNS]
+        first_quarter = delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3])
+        apart = F.coalesce(bits(first_quarter) + bits(delta[1]) + bits(delta[2]) + bits(delta[3]), bits(delta[0]))
+        common = 1 + F.least(na - 1 - F.col(f"{a}_p"), nb - 1 - F.col(f"{b}_p"))
+        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (common >= least) & (apart <= na + nb - 2 * least)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("tok", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "at", "sig")])
+        return df.select("tok", *[F.col(c).alias(f"{name}_{c}") for c in (*own_columns, "p")])
 
     pair = [f"{s}_{c}" for s in ("x", "y") for c in ("id", "at", "sig")]
-    dealt = index.repartition(shuffle_width(spark), "tok")
-    heads = dealt.groupBy("tok").agg(F.min(F.struct("id", "at", "sig")).alias("head"), F.count("*").alias("c")).filter("c > 1")
-    heads = heads.select("tok", F.col("head.id").alias("h_id"), F.col("head.at").alias("h_at"), F.col("head.sig").alias("h_sig"))
+    dealt = indexed(some).repartition(shuffle_width(spark), "tok")
+    heads = dealt.groupBy("tok").agg(F.min(F.struct(*own_columns, "p")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    heads = heads.select("tok", *[F.col(f"head.{c}").alias(f"h_{c}") for c in (*own_columns, "p")])
     placed = side(dealt, "x").join(heads, "tok").withColumn("by_head", possible("h", "x") & earlier("h", "x"))
     joined = placed.join(side(dealt, "y"), "tok").filter(earlier("y", "x") & possible("y", "x") & (~F.col("by_head") | ((F.col("y_id") == F.col("h_id")) & (F.col("y_at") == F.col("h_at")))))
     first = stored(joined.groupBy(*pair).agg(F.max(F.col("by_head").cast("int")).alias("by_head")))
@@ -147,9 +168,9 @@ def _later_matches(sets: DataFrame, distinct: DataFrame) -> DataFrame:
     if not failed.limit(1).count():
         return found
     pool = some.withColumn("at", where).withColumn("h", F.xxhash64("id", "at")).filter(_sieve(failed.select(F.xxhash64("x_id", "x_at").alias("h"))))
-    asked = pool.join(failed.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")), ["id", "at", "sig"])
-    asked = stored(asked.select("id", "at", "sig", F.explode(F.slice("toks", F.lit(1), prefix)).alias("tok")).distinct())
-    others = index.withColumn("h", F.col("tok")).filter(_sieve(asked.select(F.col("tok").alias("h")))).drop("h")
+    asked = pool.drop("at").join(failed.select(F.col("x_id").alias("id"), F.shiftright("x_at", 32).cast("int").alias("line_no"), F.col("x_sig").alias("sig")), ["id", "line_no", "sig"])
+    asked = stored(indexed(asked).distinct())
+    others = indexed(some).withColumn("h", F.col("tok")).filter(_sieve(asked.select(F.col("tok").alias("h")))).drop("h")
     rest = side(asked, "x").join(side(others, "y"), "tok").filter(earlier("y", "x") & possible("y", "x")).select(*pair).distinct()
     rest = stored(rest.join(first.select(*pair), pair, "left_anti").withColumn("by_head", F.lit(0)))
     return found.unionByName(stored(verified(rest)).filter("match").select("x_sid", "x_id", "x_at"))
