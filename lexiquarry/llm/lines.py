@@ -11,9 +11,9 @@ stays itself. Lines without words stay.
 3. Different sets: similar ones share a word of their prefixes, the n - ceil(4n/5) + 1
    rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
    of word hashes (their difference is a lower bound of the symmetric difference) sort
-   out pairs. A line that may match the first line of a word's group meets that one only;
-   the others meet all earlier lines of the group. Jaccard is verified on whole sets.
-4. A line whose first lines all fail verification meets all earlier lines then.
+   out pairs. First every line meets the first line of each of its words' groups, and
+   Jaccard is verified on the whole sets, cut again from the texts.
+4. Lines that have no match yet meet all earlier lines of their groups.
 
 So no group emits all its pairs: near copies of one line meet that line. Sets of up to
 three words can only match equal ones and take part in step 2 alone. Sieves before
@@ -29,9 +29,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import row_key, shuffle_width, stored
+from lexiquarry.llm.common import row_key, stored
 
 BUCKETS = 1 << 16
 #: Lines with more words have a parity of 256 bits instead of 64.
@@ -53,11 +54,11 @@ def _constant(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
 
 
-def rarity_ranks(sets: DataFrame) -> list[int]:
-    """Each bucket's rank by the number of its words in all lines' sets, shifted above a
-    hash. One count for each of a fixed number of buckets comes to the driver."""
-    words = sets.select(F.explode("toks").alias("w"))
-    counts = words.groupBy(F.shiftrightunsigned("w", 48).alias("b")).count().collect()
+def rarity_ranks(texts: DataFrame) -> list[int]:
+    """Each bucket's rank by the number of its words in all texts, shifted above a hash.
+    One count for each of a fixed number of buckets comes to the driver."""
+    words = texts.select(F.explode(_words(F.translate("text", "\n", " "))).alias("w")).filter("w != ''")
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
     have = {r["b"]: r["count"] for r in counts}
     order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
     ranks = [0] * BUCKETS
@@ -88,92 +89,86 @@ def _parity(toks: Column) -> Column:
 _SIGNS = ("sig", "q1", "q2", "q3")
 
 
-def _line_sets(docs: DataFrame) -> DataFrame:
-    base = docs.select(
+def _lines(docs: DataFrame) -> DataFrame:
+    texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         row_key().alias("th"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    lines = base.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = lines.select("id", "th", "line_no", F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("toks"))
-    quarter = lambda j: F.when(F.size("toks") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
-    return stored(sets.select("id", "th", "line_no", F.size("toks").alias("n"), F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], "toks"))
+    return texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _hashed(line: str) -> Column:
+    """The distinct word hashes of a line."""
+    return F.array_remove(F.array_distinct(F.transform(_words(F.col(line)), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _line_sets(docs: DataFrame) -> DataFrame:
+    """Size, hash, parities and prefix of every line; the prefix by rarity."""
+    ranks = _constant(rarity_ranks(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
+    placed = F.transform(_hashed("line"), lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
+    sets = _lines(docs).select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
+    quarter = lambda j: F.when(F.col("n") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
+    prefix = F.when(F.col("n") > 3, F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
+    return stored(sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix")))
 
 
-def _later_matches(sets: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Lines (x_sid, x_id, x_at) that have an earlier line of another, similar set."""
-    spark = sets.sparkSession
+def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Lines (id, at, sig) that have an earlier line of another, similar set."""
     hot = stored(distinct.filter(F.col("c") > HOT_COPIES).select("sid", "first"))
-    own = F.struct("id", "line_no")
-    some = sets.filter("n > 3").join(hot, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == own))
-    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
+    some = sets.filter("n > 3").join(hot, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    ranks = _constant(rarity_ranks(sets))
-    by_rarity = F.sort_array(F.transform("toks", lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))))
-    own_columns = ["id", "at", *_SIGNS]
-
-    def indexed(lines: DataFrame) -> DataFrame:
-        """A row for each prefix word of each line."""
-        return lines.select("id", where.alias("at"), *_SIGNS, F.posexplode(F.slice(by_rarity, F.lit(1), prefix)).alias("p", "tok"))
+    own = ["id", "at", *_SIGNS, "p"]
 
     def size(at: str) -> Column:
         return F.col(at).bitwiseAND((1 << 32) - 1)
 
     def earlier(a: str, b: str) -> Column:
         """Line a stands before line b (the size in ``at`` decides nothing here)."""
-        return (F.col(f"{a}_id") < F.col(f"{b}_id")) | ((F.col(f"{a}_id") == F.col(f"{b}_id")) & (F.shiftright(f"{a}_at", 32) < F.shiftright(f"{b}_at", 32)))
+        return (F.col(f"{a}id") < F.col(f"{b}id")) | ((F.col(f"{a}id") == F.col(f"{b}id")) & (F.shiftright(f"{a}at", 32) < F.shiftright(f"{b}at", 32)))
 
     def possible(a: str, b: str) -> Column:
         """Sizes, positions of the word and parities leave the pair open."""
-        na, nb = size(f"{a}_at"), size(f"{b}_at")
+        na, nb = size(f"{a}at"), size(f"{b}at")
         least = F.ceil((na + nb) * 4 / 9)
-        bits = lambda *c: F.bit_count(c[0] if len(c) == 1 else c[0].bitwiseXOR(c[1]))
-        delta = [F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")) for c in _SIGNS]
-        first_quarter = delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3])
-        apart = F.coalesce(bits(first_quarter) + bits(delta[1]) + bits(delta[2]) + bits(delta[3]), bits(delta[0]))
-        common = 1 + F.least(na - 1 - F.col(f"{a}_p"), nb - 1 - F.col(f"{b}_p"))
+        delta = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in _SIGNS]
+        quarters = [delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3]), *delta[1:]]
+        apart = F.coalesce(sum((F.bit_count(q) for q in quarters[1:]), F.bit_count(quarters[0])), F.bit_count(delta[0]))
+        common = 1 + F.least(na - 1 - F.col(f"{a}p"), nb - 1 - F.col(f"{b}p"))
         return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (common >= least) & (apart <= na + nb - 2 * least)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("tok", *[F.col(c).alias(f"{name}_{c}") for c in (*own_columns, "p")])
+        return df.select("tok", *[F.col(c).alias(f"{name}{c}") for c in own])
 
-    pair = [f"{s}_{c}" for s in ("x", "y") for c in ("id", "at", "sig")]
-    dealt = indexed(some).repartition(shuffle_width(spark), "tok")
-    heads = dealt.groupBy("tok").agg(F.min(F.struct(*own_columns, "p")).alias("head"), F.count("*").alias("c")).filter("c > 1")
-    heads = heads.select("tok", *[F.col(f"head.{c}").alias(f"h_{c}") for c in (*own_columns, "p")])
-    placed = side(dealt, "x").join(heads, "tok").withColumn("by_head", possible("h", "x") & earlier("h", "x"))
-    joined = placed.join(side(dealt, "y"), "tok").filter(earlier("y", "x") & possible("y", "x") & (~F.col("by_head") | ((F.col("y_id") == F.col("h_id")) & (F.col("y_at") == F.col("h_at")))))
-    first = stored(joined.groupBy(*pair).agg(F.max(F.col("by_head").cast("int")).alias("by_head")))
+    pair = [f"{s}{c}" for s in ("x_", "y_") for c in ("id", "at", "sig")]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs with both sides' sid and whether they match."""
-        ends = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"), F.col("y_sig").alias("sig")))
-        keep = _sieve(ends.select(F.xxhash64("id", "at").alias("h")))
+        """The x lines of the pairs that match, by both lines' whole sets from the texts."""
+        ends = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"), F.col("y_sig").alias("sig"))).distinct()
+        keep = _sieve(ends.select(F.xxhash64("id", F.shiftright("at", 32)).alias("h")))
         if keep is None:
-            return pairs.select("*", F.lit(0).cast("long").alias("x_sid"), F.lit(False).alias("match"))
-        pool = sets.filter("n > 3").withColumn("at", where).withColumn("h", F.xxhash64("id", "at")).filter(keep).select("id", "at", "sig", "sid", "toks")
-        pool = pool.join(ends.distinct(), ["id", "at", "sig"])
-        pool = stored(pool.groupBy("id", "at", "sig").agg(F.first("sid").alias("sid"), F.first("toks").alias("toks")))
+            return pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig"))
+        pool = _lines(docs).withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep)
+        pool = pool.select("id", "line_no", _hashed("line").alias("toks")).withColumns({"n": F.size("toks"), "sig": _parity(F.col("toks"))})
+        pool = pool.select("id", where.alias("at"), "sig", "toks").join(ends, ["id", "at", "sig"])
+        pool = stored(pool.groupBy("id", "at", "sig").agg(F.first("toks").alias("toks")))
         p = pairs
         for s in ("x", "y"):
-            p = p.join(pool.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "sig", "sid", "toks")]), [f"{s}_id", f"{s}_at", f"{s}_sig"])
+            p = p.join(pool.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "at", "sig", "toks")]), [f"{s}_id", f"{s}_at", f"{s}_sig"])
         both = F.size(F.array_intersect("x_toks", "y_toks"))
-        return p.withColumn("match", 5 * both >= 4 * (F.size("x_toks") + F.size("y_toks") - both)).drop("x_toks", "y_toks", "y_sid")
-
-    seen = stored(verified(first))
-    found = seen.filter("match").select("x_sid", "x_id", "x_at")
-    who = ["x_id", "x_at", "x_sig"]
-    failed = stored(seen.groupBy(*who).agg(F.max(F.col("match").cast("int")).alias("m"), F.max("by_head").alias("b")).filter("m = 0 and b = 1").select(*who))
-    if not failed.limit(1).count():
-        return found
-    pool = some.withColumn("at", where).withColumn("h", F.xxhash64("id", "at")).filter(_sieve(failed.select(F.xxhash64("x_id", "x_at").alias("h"))))
-    asked = pool.drop("at").join(failed.select(F.col("x_id").alias("id"), F.shiftright("x_at", 32).cast("int").alias("line_no"), F.col("x_sig").alias("sig")), ["id", "line_no", "sig"])
-    asked = stored(indexed(asked).distinct())
-    others = indexed(some).withColumn("h", F.col("tok")).filter(_sieve(asked.select(F.col("tok").alias("h")))).drop("h")
-    rest = side(asked, "x").join(side(others, "y"), "tok").filter(earlier("y", "x") & possible("y", "x")).select(*pair).distinct()
-    rest = stored(rest.join(first.select(*pair), pair, "left_anti").withColumn("by_head", F.lit(0)))
-    return found.unionByName(stored(verified(rest)).filter("match").select("x_sid", "x_id", "x_at"))
+        match = 5 * both >= 4 * (F.size("x_toks") + F.size("y_toks") - both)
+        return stored(p.filter(match).select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).distinct())
+
+    words = some.select("id", where.alias("at"), *_SIGNS, F.posexplode("prefix").alias("p", "tok"))
+    group = W.partitionBy("tok").orderBy("id", "at")
+    everyone = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    met = words.withColumns({"c": F.count(F.lit(1)).over(W.partitionBy("tok")), **{f"h_{c}": F.first(c).over(everyone) for c in own}}).filter("c > 1")
+    met = stored(met.withColumn("by_head", possible("h_", "") & earlier("h_", "")).drop("c"))
+    star = met.filter("by_head").select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
+    found = verified(stored(star.distinct()))
+    asked = met.join(found, ["id", "at", "sig"], "left_anti")
+    rest = side(asked, "x_").join(side(met, "y_"), "tok").filter(earlier("y_", "x_") & possible("y_", "x_")).select(*pair).distinct()
+    return found.unionByName(verified(stored(rest)))
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
@@ -181,8 +176,9 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     sets = _line_sets(docs)
     distinct = stored(sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")))
     # A set goes as a whole if its first line does; its other lines go anyway.
-    matched = _later_matches(sets, distinct).withColumnRenamed("x_sid", "sid").join(distinct, "sid")
-    matched = matched.filter((F.col("x_id") == F.col("first.id")) & (F.shiftright("x_at", 32) == F.col("first.line_no"))).select("sid", F.lit(True).alias("matched")).distinct()
+    matched = _later_matches(docs, sets, distinct).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
+    matched = sets.select("id", "line_no", "sig", "sid").join(matched, ["id", "line_no", "sig"]).select("sid", F.struct("id", "line_no").alias("first"))
+    matched = matched.join(distinct, ["sid", "first"], "left_semi").select("sid", F.lit(True).alias("matched")).distinct()
     facts = stored(distinct.select("sid", "first").join(matched, "sid", "left"))
     flags = sets.select("id", "th", "line_no", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(facts, "sid", "left")
     gone = F.col("first").isNotNull() & (F.col("matched").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
