@@ -127,23 +127,25 @@ def _weights(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """An orthonormal basis (vocabulary x rank) of the passages' right singular vectors."""
     rank = max(1, min(rank, len(vocabulary)))
-    slot = np.full(FEATURES, -1, np.int64)
-    slot[vocabulary] = np.arange(len(vocabulary))
+    known = idf[vocabulary]
     thin = np.random.default_rng(seed).normal(size=(len(vocabulary), min(rank + 8, len(vocabulary))))
     sc = benchmark.sparkSession.sparkContext
 
     def product(q: np.ndarray) -> np.ndarray:
         """A'A q, one part for each task."""
-        sent = sc.broadcast(q)
+        sent = sc.broadcast((vocabulary, known, q))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_, z = sent.value, np.zeros_like(sent.value)
+            features, weight, q_ = sent.value
+            z = np.zeros_like(q_)
             for b in batches:
                 for x in b.column(0).to_pylist():
-                    f, w, size = _weights(_item_words(x or ""), idf)
-                    if size:
-                        at = slot[f]
-                        z[at] += np.outer(w / size, (w / size) @ q_[at])
+                    f, n = np.unique(_features(_item_words(x or "")), return_counts=True)
+                    if len(f):
+                        at = np.searchsorted(features, f)
+                        w = n * weight[at]
+                        w = w / np.sqrt((w**2).sum())
+                        z[at] += np.outer(w, w @ q_[at])
             rows = np.flatnonzero(z.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(z[rows]), pa.list_(pa.float64()))], ["i", "v"])
 
@@ -152,7 +154,7 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
         out = np.zeros_like(q)
         if len(got):
             out[got["i"].to_numpy(np.int64)] = got[[f"c{k}" for k in range(q.shape[1])]].to_numpy()
-        sent.unpersist()
+        sent.destroy()
         return out
 
     for _ in range(rounds):
