@@ -21,7 +21,16 @@ _INV = _U(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Travels to executors empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS: dict[str, np.ndarray] = _Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
