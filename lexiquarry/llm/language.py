@@ -32,6 +32,8 @@ SAMPLE = 600
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 17
 CHAIN = 64
+#: A document whose language scores less is rejected (four languages even are 0.25).
+LEAST_SCORE = 0.3
 #: Bytes looked at together; a longer text goes in pieces.
 PIECE = 1 << 19
 
@@ -147,53 +149,68 @@ def _pieces(data: np.ndarray, offs: np.ndarray):
             a = e
 
 
+def judge(column: pa.Array, model: Crf | None) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+    """Languages, scores, letter words and language switches of a column of texts."""
+    data, offs = tc.utf8(column)
+    n = len(column)
+    k = len(model.labels) if model else 1
+    mass, words, switches = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    plain = np.zeros(n, bool)
+    for i, piece, o in _pieces(data, offs):
+        starts, ends, first = letter_words(piece, o)
+        counts = np.diff(first)
+        row = i + np.repeat(np.arange(len(counts)), counts)
+        words[i : i + len(counts)] += counts
+        ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[piece] & (piece < 128))])
+        plain[i : i + len(counts)] |= ascii_letters[o[1:]] > ascii_letters[o[:-1]]
+        if model is None or not len(starts):
+            continue
+        scores = word_scores(_lowered(piece), starts, ends, model.weights).astype(np.float64)
+        post = forward_backward(scores, *chains(counts, CHAIN), model.trans)
+        for c in range(k):
+            mass[:, c] += np.bincount(row, post[:, c], n)
+        best = post.argmax(axis=1)
+        change = (best[1:] != best[:-1]) & (row[1:] == row[:-1])
+        switches += np.bincount(row[1:][change], minlength=n)
+    preds, scores_ = [], []
+    for r in range(n):
+        known = bool(model) and words[r] > 0
+        if known and not plain[r]:
+            known = any(ch.isalpha() for ch in (column[r].as_py() or ""))
+        c = int(mass[r].argmax()) if known else 0
+        preds.append(model.labels[c] if known else "und")
+        scores_.append(float(min(1.0, mass[r, c] / words[r])) if known else 0.0)
+    return preds, scores_, words, switches
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_letter_words long, n_switches long"
 
 
 def predict_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
     """Language, score, words and language switches of every row of (doc_id, held_out, text)."""
-    names = ["doc_id", "held_out", "lang_pred", "score", "n_letter_words", "n_switches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = tc.utf8(b.column(2))
-            n = b.num_rows
-            k = len(model.labels) if model else 1
-            mass, words, switches = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            plain = np.zeros(n, bool)
-            for i, piece, o in _pieces(data, offs):
-                starts, ends, first = letter_words(piece, o)
-                counts = np.diff(first)
-                row = i + np.repeat(np.arange(len(counts)), counts)
-                np.add.at(words, np.arange(i, i + len(counts)), counts)
-                ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[piece] & (piece < 128))])
-                plain[i : i + len(counts)] |= ascii_letters[o[1:]] > ascii_letters[o[:-1]]
-                if model is None or not len(starts):
-                    continue
-                scores = word_scores(_lowered(piece), starts, ends, model.weights).astype(np.float64)
-                post = forward_backward(scores, *chains(counts, CHAIN), model.trans)
-                for c in range(k):
-                    mass[:, c] += np.bincount(row, post[:, c], n)
-                best = post.argmax(axis=1)
-                change = (best[1:] != best[:-1]) & (row[1:] == row[:-1])
-                switches += np.bincount(row[1:][change], minlength=n)
-            preds, out_scores = [], []
-            for r in range(n):
-                known = bool(model) and words[r] > 0
-                if known and not plain[r]:
-                    known = any(ch.isalpha() for ch in (b.column(2)[r].as_py() or ""))
-                if not known:
-                    preds.append("und")
-                    out_scores.append(0.0)
-                    continue
-                c = int(mass[r].argmax())
-                preds.append(model.labels[c])
-                out_scores.append(float(min(1.0, mass[r, c] / words[r])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(preds, pa.string()), pa.array(out_scores, pa.float64()), pa.array(words), pa.array(switches)], names)
+            preds, scores, words, switches = judge(b.column(2), model)
+            cols = [b.column(0), b.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(words), pa.array(switches)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", "n_letter_words", "n_switches"])
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out").cast("boolean").alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scores less than ``least``."""
+    model = fit_languages(docs.filter(~held_out()))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            preds, scores, _, _ = judge(b.column(at), model)
+            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Whether crc32 of the doc_id as text leaves 2 after division by 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import WORD, cut
+from lexiquarry.llm.common import WORD, cut, row_key
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -58,11 +58,24 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
+    return _mixed(docs, weights, cap).drop("th")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the number of the copy."""
+    taken = _mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": row_key()}).dropDuplicates(["_id", "_th"])
+    out = keyed.join(taken.hint("shuffle_hash"), keyed["_id"].eqNullSafe(taken["_id"]) & (keyed["_th"] == taken["_th"]))
+    return out.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     sized = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            row_key().alias("th"),
         )
     )
     salts = sized.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")) / 100)).cast("long").alias("salts"))
@@ -71,6 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
         "doc_id",
         "source",
         "size",
+        "th",
         F.coalesce("source", F.lit("")).alias("name"),
         F.isnull("source").alias("unnamed"),
         (digits * 8 + F.expr("(size >> greatest(length(bin(size)) - 4, 0)) & 7")).alias("class"),
@@ -92,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     rank = (F.col("start") + F.col("at")).cast("double")
     crossed = F.floor(rank * F.col("expected") + F.col("offset")) - F.floor((rank - 1) * F.col("expected") + F.col("offset"))
     copies = F.least(crossed, F.lit(cap)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return placed.select("doc_id", "th", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 ORACLE = r"""
