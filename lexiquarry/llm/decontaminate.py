@@ -100,17 +100,26 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Index:
-    """What executors need. slot: feature to row of ``basis`` or -1; idf by feature;
+    """What executors need. codes: 16 times the inverse document frequency of each
+    feature; bits: the benchmark's features; basis: a row for each of its vocabulary;
     latent: items in the latent space, over their length; words and answers of items."""
 
-    idf: np.ndarray
-    slot: np.ndarray
+    codes: np.ndarray
+    bits: np.ndarray
+    vocabulary: np.ndarray
     basis: np.ndarray
     latent: np.ndarray
     item_ids: list
     words: list[np.ndarray]
     answers: list[set[int]]
 
+    def opened(self) -> Index:
+        """With look-up tables, for use."""
+        self.idf = self.codes.astype(np.float32) / 16
+        self.active = np.unpackbits(self.bits).astype(bool)
+        self.vectors = self.basis.astype(np.float32)
+        return self
+
 
 def _item_words(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -124,7 +133,7 @@ def _weights(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return f, w, float(np.sqrt((w**2).sum()))
 
 
-def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
     """An orthonormal basis (vocabulary x rank) of the passages' right singular vectors."""
     rank = max(1, min(rank, len(vocabulary)))
     known = idf[vocabulary]
@@ -133,11 +142,11 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
 
     def product(q: np.ndarray) -> np.ndarray:
         """A'A q, one part for each task."""
-        sent = sc.broadcast((vocabulary, known, q))
+        sent = sc.broadcast((vocabulary.astype(np.int32), known.astype(np.float32), q.astype(np.float32)))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features, weight, q_ = sent.value
-            z = np.zeros_like(q_)
+            z = np.zeros(q_.shape)
             for b in batches:
                 for x in b.column(0).to_pylist():
                     f, n = np.unique(_features(_item_words(x or "")), return_counts=True)
@@ -174,19 +183,20 @@ def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Inde
     if not items:
         return None
     n, df = document_frequencies(docs)
-    idf = np.log((2.0 + n) / (1.0 + df))
+    codes = np.minimum(255, np.rint(np.log((2.0 + n) / (1.0 + df)) * 16)).astype(np.uint8)
+    idf = codes / 16.0
     vocabulary = np.unique(np.concatenate([_features(w) for _, w, _ in items]))
     basis = randomised_svd(benchmark, idf, vocabulary, min(rank, len(items)))
-    slot = np.full(FEATURES, -1, np.int32)
-    slot[vocabulary] = np.arange(len(vocabulary))
+    active = np.zeros(FEATURES, bool)
+    active[vocabulary] = True
     latent = np.zeros((len(items), basis.shape[1]))
     answers = []
     for k, (_, words, text) in enumerate(items):
         f, w, size = _weights(words, idf)
-        latent[k] = (w / size) @ basis[slot[f]]
+        latent[k] = (w / size) @ basis[np.searchsorted(vocabulary, f)]
         sentences = [s for s in text.replace("\n", ". ").split(". ") if len(_item_words(s)) >= 2]
         answers.append(set(_item_words(sentences[-1] if sentences else text).tolist()))
-    return Index(idf.astype(np.float32), slot, basis.astype(np.float32), latent.astype(np.float32), [i for i, *_ in items], [w for _, w, _ in items], answers)
+    return Index(codes, np.packbits(active), vocabulary, basis.astype(np.float16), latent.astype(np.float32), [i for i, *_ in items], [w for _, w, _ in items], answers)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -215,7 +225,7 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     stop = np.minimum(start + window, first[row + 1])
     f = _features(words)
     w = index.idf[f].astype(np.float64)
-    active = index.slot[f] >= 0
+    active = index.active[f]
     everything = np.concatenate([[0.0], np.cumsum(w * w)])
     # Repeats within a window are left out of this bound; half of it makes up for them.
     squares = np.concatenate([[0.0], np.cumsum(np.where(active, w * w, 0.0))])
@@ -224,11 +234,10 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     hint = (mass > 0) & (mass >= 0.5 * cosine**2 * total)
     for j in np.flatnonzero(hint).tolist():
         feats, weights, size = _weights(words[start[j] : stop[j]], index.idf)
-        at = index.slot[feats]
-        on = at >= 0
+        on = index.active[feats]
         if not size or np.sqrt((weights[on] ** 2).sum()) < cosine * size:
             continue
-        scores = index.latent @ ((weights[on] / size) @ index.basis[at[on]])
+        scores = index.latent @ ((weights[on] / size) @ index.vectors[np.searchsorted(index.vocabulary, feats[on])])
         for item in np.flatnonzero(scores >= cosine).tolist():
             yield int(row[j]), int(start[j]), item, float(scores[item])
 
@@ -275,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
     sent = spark.sparkContext.broadcast(index)  # bounded by FEATURES, RANK and MAX_BENCHMARK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
+        ix = sent.value.opened()
         for b in batches:
             ids = b.column(0)
             rows = [(ids[r].as_py(), ix.item_ids[k], *facts) for r, k, facts in _scan(b.column(1), ix)]
@@ -295,9 +304,10 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = sent.value.opened()
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            for r, _, _ in _scan(b.column(at), sent.value):
+            for r, _, _ in _scan(b.column(at), ix):
                 keep[r] = False
             yield b.filter(pa.array(keep))
 

@@ -42,7 +42,7 @@ def test_finds_planted_copies_and_paraphrases_only(spark):
 def test_latent_candidates_against_brute_force_cosine(spark):
     docs, items, _ = make(4)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    index = dc.build_index(d, b)
+    index = dc.build_index(d, b).opened()
     dense = np.zeros((len(items), dc.FEATURES), np.float32)
     for k, w in enumerate(index.words):
         f, x, size = dc._weights(w, index.idf)
