@@ -54,3 +54,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """The same rows; Arrow batches of the session stay small, whatever the rows' sizes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+#: Bytes, by Spark's statistics, up to which a stored table is broadcast.
+SMALL_BYTES = 32 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table marked for broadcast if it is small by its files, else for a
+    shuffled hash join that builds on it."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(table) if size <= SMALL_BYTES else table.hint("shuffle_hash")

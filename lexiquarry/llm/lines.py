@@ -11,11 +11,11 @@ stays itself. Lines without words stay.
 3. Different sets: similar ones share a word of their prefixes, the n - ceil(4n/5) + 1
    rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
    of word hashes (their difference is a lower bound of the symmetric difference) sort
-   out pairs. First every line meets the first line of each of its words' groups, and
-   Jaccard is verified on the whole sets, cut again from the texts.
-4. Lines that have no match yet meet all earlier lines of their groups.
+   out pairs, and Jaccard is verified on the whole sets, cut again from the texts.
+   Before that, every line meets one line only: the first one with its least hash of
+   prefix words. A line that matches this one needs no other match.
 
-So no group emits all its pairs: near copies of one line meet that line. Sets of up to
+So groups of near copies mostly meet one line, not each other. Sets of up to
 three words can only match equal ones and take part in step 2 alone. Sieves before
 shuffles are bit arrays of fixed size; they only let too much through.
 
@@ -29,16 +29,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import row_key, stored
+from lexiquarry.llm.common import row_key, shuffle_width, small, stored
 
 BUCKETS = 1 << 16
 #: Lines with more words have a parity of 256 bits instead of 64.
 LONG_LINE = 110
-#: Copies of a set from which only the first one goes on to step 3.
-HOT_COPIES = 200
 _SIEVE = 1 << 20
 _LAST = (1 << 63) - 1
 _MASK = (1 << 47) - 1
@@ -106,18 +103,28 @@ def _hashed(line: str) -> Column:
 def _line_sets(docs: DataFrame) -> DataFrame:
     """Size, hash, parities and prefix of every line; the prefix by rarity."""
     ranks = _constant(rarity_ranks(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
-    placed = F.transform(_hashed("line"), lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
-    sets = _lines(docs).select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
+    hashes = _lines(docs).select("id", "th", "line_no", _hashed("line").alias("hashes"))
+    low = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(_MASK)))
+    placed = F.transform("hashes", lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
+    sets = hashes.select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
     quarter = lambda j: F.when(F.col("n") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
     prefix = F.when(F.col("n") > 3, F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
-    return stored(sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix")))
+    sets = sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix"))
+    return stored(sets.withColumn("lo", F.array_min(low)))
 
 
 def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
     """Lines (id, at, sig) that have an earlier line of another, similar set."""
-    hot = stored(distinct.filter(F.col("c") > HOT_COPIES).select("sid", "first"))
-    some = sets.filter("n > 3").join(hot, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+    # Of equal sets only the first line goes on. Few lines have one, and only those join.
+    lines = sets.filter("n > 3")
+    again = distinct.filter("c > 1").select("sid", "first")
+    twice = _sieve(again.select(F.xxhash64("sid").alias("h")))
+    if twice is not None:
+        marked = lines.withColumn("h", F.xxhash64("sid"))
+        maybe = marked.filter(twice).join(again, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+        lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    some = lines.select("id", where.alias("at"), *_SIGNS, "lo", "prefix")
     own = ["id", "at", *_SIGNS, "p"]
 
     def size(at: str) -> Column:
@@ -127,18 +134,23 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         """Line a stands before line b (the size in ``at`` decides nothing here)."""
         return (F.col(f"{a}id") < F.col(f"{b}id")) | ((F.col(f"{a}id") == F.col(f"{b}id")) & (F.shiftright(f"{a}at", 32) < F.shiftright(f"{b}at", 32)))
 
-    def possible(a: str, b: str) -> Column:
-        """Sizes, positions of the word and parities leave the pair open."""
+    def alike(a: str, b: str) -> Column:
+        """Sizes and parities leave the pair open."""
         na, nb = size(f"{a}at"), size(f"{b}at")
         least = F.ceil((na + nb) * 4 / 9)
         delta = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in _SIGNS]
         quarters = [delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3]), *delta[1:]]
         apart = F.coalesce(sum((F.bit_count(q) for q in quarters[1:]), F.bit_count(quarters[0])), F.bit_count(delta[0]))
+        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (apart <= na + nb - 2 * least)
+
+    def possible(a: str, b: str) -> Column:
+        """The positions of a common word, too."""
+        na, nb = size(f"{a}at"), size(f"{b}at")
         common = 1 + F.least(na - 1 - F.col(f"{a}p"), nb - 1 - F.col(f"{b}p"))
-        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (common >= least) & (apart <= na + nb - 2 * least)
+        return (common >= F.ceil((na + nb) * 4 / 9)) & alike(a, b)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("tok", *[F.col(c).alias(f"{name}{c}") for c in own])
+        return df.select("tok", F.col("done").alias(f"{name}done"), *[F.col(c).alias(f"{name}{c}") for c in own])
 
     pair = [f"{s}{c}" for s in ("x_", "y_") for c in ("id", "at", "sig")]
 
@@ -159,15 +171,20 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         match = 5 * both >= 4 * (F.size("x_toks") + F.size("y_toks") - both)
         return stored(p.filter(match).select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).distinct())
 
-    words = some.select("id", where.alias("at"), *_SIGNS, F.posexplode("prefix").alias("p", "tok"))
-    group = W.partitionBy("tok").orderBy("id", "at")
-    everyone = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    met = words.withColumns({"c": F.count(F.lit(1)).over(W.partitionBy("tok")), **{f"h_{c}": F.first(c).over(everyone) for c in own}}).filter("c > 1")
-    met = stored(met.withColumn("by_head", possible("h_", "") & earlier("h_", "")).drop("c"))
-    star = met.filter("by_head").select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
+    # First every line meets the first line with the same least hash of its prefix.
+    ends = some.select("id", "at", *_SIGNS, F.col("lo").alias("end"))
+    heads = ends.groupBy("end").agg(F.min(F.struct("id", "at", *_SIGNS)).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = heads.select("end", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "at", *_SIGNS)])
+    star = ends.join(heads, "end").filter(earlier("h_", "") & alike("h_", ""))
+    star = star.select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
     found = verified(stored(star.distinct()))
-    asked = met.join(found, ["id", "at", "sig"], "left_anti")
-    rest = side(asked, "x_").join(side(met, "y_"), "tok").filter(earlier("y_", "x_") & possible("y_", "x_")).select(*pair).distinct()
+    done = some.join(small(found.withColumn("done", F.lit(True))), ["id", "at", "sig"], "left")
+    words = done.select("id", "at", *_SIGNS, "done", F.posexplode("prefix").alias("p", "tok")).repartition(shuffle_width(docs.sparkSession), "tok")
+    x, y = side(words, "x_"), side(words, "y_")
+    # ``done`` is true or null. The condition is over both sides, and what it asks of y
+    # always holds, so that both sides read the same shuffle.
+    settled = F.coalesce(F.col("x_done") & (F.col("y_done") | F.col("y_done").isNull()), F.lit(False))
+    rest = x.join(y, (x["tok"] == y["tok"]) & ~settled & earlier("y_", "x_") & possible("y_", "x_")).select(*pair).distinct()
     return found.unionByName(verified(stored(rest)))
 
 
@@ -203,7 +220,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; a text keeps its other lines, joined by \\n."""
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": row_key()})
-    gone = judged_lines(docs).filter(F.exists("gone", lambda g: g)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+    gone = stored(judged_lines(docs).filter(F.exists("gone", lambda g: g)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone")))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.col("_gone")[i]), "\n")
-    out = keyed.join(gone.hint("shuffle_hash"), ["_id", "_th"], "left").withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
+    out = keyed.join(small(gone), ["_id", "_th"], "left").withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
     return out.select(*docs.columns)

@@ -208,6 +208,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, size:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, the one with the least doc_id."""
-    kept = near_duplicate_classes(docs, **options).filter("is_kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("th").alias("_th")).distinct()
+    kept = stored(near_duplicate_classes(docs, **options).filter("is_kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("th").alias("_th")).distinct())
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": row_key()})
     return keyed.join(kept.hint("shuffle_hash"), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
