@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval", "telemetry")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["flagship_hybrid_search"](spark, sf_dir)
 
 
 def _modules() -> list:
