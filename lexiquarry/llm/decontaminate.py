@@ -90,9 +90,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n])], ["f", "c"])
 
     parts = bounded_batches(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "f long, c long")
-    summed = parts.groupBy("f").agg(F.sum("c").alias("c")).toPandas()
+    summed = parts.groupBy("f").agg(F.sum("c").alias("c")).toArrow()
     out, n = np.zeros(FEATURES, np.int64), 0
-    f, c = summed["f"].to_numpy(np.int64), summed["c"].to_numpy(np.int64)
+    f, c = summed["f"].to_numpy(), summed["c"].to_numpy()
     out[f[f >= 0]] = c[f >= 0]
     n = int(c[f < 0].sum())
     return n, out
@@ -159,10 +159,10 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(z[rows]), pa.list_(pa.float64()))], ["i", "v"])
 
         cols = [F.sum(F.col("v")[k]).alias(f"c{k}") for k in range(q.shape[1])]
-        got = benchmark.select("text").mapInArrow(part, "i long, v array<double>").groupBy("i").agg(*cols).toPandas()
+        got = benchmark.select("text").mapInArrow(part, "i long, v array<double>").groupBy("i").agg(*cols).toArrow()
         out = np.zeros_like(q)
-        if len(got):
-            out[got["i"].to_numpy(np.int64)] = got[[f"c{k}" for k in range(q.shape[1])]].to_numpy()
+        if got.num_rows:
+            out[got["i"].to_numpy()] = np.stack([got[f"c{k}"].to_numpy() for k in range(q.shape[1])], axis=1)
         sent.destroy()
         return out
 
