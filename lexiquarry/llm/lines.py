@@ -36,14 +36,14 @@ from lexiquarry.llm.common import row_key, shuffle_width, small, stored
 BUCKETS = 1 << 16
 #: Lines with more words have a parity of 256 bits instead of 64.
 LONG_LINE = 110
-_SIEVE = 1 << 20
+_SIEVE = 1 << 22
 _LAST = (1 << 63) - 1
 _MASK = (1 << 47) - 1
 
 
 def _words(text: Column) -> Column:
     """Words and empty strings of a text."""
-    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+    return F.split(text, "[ \\t\\n\\x0B\\f\\r]")
 
 
 def _constant(values: list[int]) -> Column:
@@ -54,7 +54,7 @@ def _constant(values: list[int]) -> Column:
 def rarity_ranks(texts: DataFrame) -> list[int]:
     """Each bucket's rank by the number of its words in all texts, shifted above a hash.
     One count for each of a fixed number of buckets comes to the driver."""
-    words = texts.select(F.explode(_words(F.translate("text", "\n", " "))).alias("w")).filter("w != ''")
+    words = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w != ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
     have = {r["b"]: r["count"] for r in counts}
     order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
