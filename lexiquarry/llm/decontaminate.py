@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words (runs of letters, lower-cased) fall into 2^20 hash features. Document counts of
-   all documents give their inverse document frequencies.
+   all documents give their inverse document frequencies; features of more than a tenth
+   of the documents weigh nothing. (An item of such words alone is not searched for.)
 2. The benchmark's passages form a TF-IDF matrix. A randomised SVD of it, with power
    iterations, runs over the distributed benchmark: each round sends a thin matrix out
    and adds up the parts' products. The latent space is spanned by the right singular
@@ -43,11 +44,13 @@ from lexiquarry.llm.language import _lowered, _pieces, letter_words
 FEATURES = 1 << 20
 RANK = 256
 WINDOW = 48
-COSINE = 0.3
+COSINE = 0.35
 COPY = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.5
 SHORT = 6
+#: Features of a larger share of documents weigh nothing.
+MAX_SHARE = 0.1
 MAX_BENCHMARK_BYTES = 64 << 20
 _U = np.uint64
 
@@ -153,7 +156,7 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
                     if len(f):
                         at = np.searchsorted(features, f)
                         w = n * weight[at]
-                        w = w / np.sqrt((w**2).sum())
+                        w = w / (np.sqrt((w**2).sum()) or 1.0)
                         z[at] += np.outer(w, w @ q_[at])
             rows = np.flatnonzero(z.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(z[rows]), pa.list_(pa.float64()))], ["i", "v"])
@@ -184,6 +187,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Inde
         return None
     n, df = document_frequencies(docs)
     codes = np.minimum(255, np.rint(np.log((2.0 + n) / (1.0 + df)) * 16)).astype(np.uint8)
+    codes[df > MAX_SHARE * max(n, 20)] = 0
     idf = codes / 16.0
     vocabulary = np.unique(np.concatenate([_features(w) for _, w, _ in items]))
     basis = randomised_svd(benchmark, idf, vocabulary, min(rank, len(items)))
@@ -193,7 +197,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Inde
     answers = []
     for k, (_, words, text) in enumerate(items):
         f, w, size = _weights(words, idf)
-        latent[k] = (w / size) @ basis[np.searchsorted(vocabulary, f)]
+        latent[k] = (w / (size or 1.0)) @ basis[np.searchsorted(vocabulary, f)]
         sentences = [s for s in text.replace("\n", ". ").split(". ") if len(_item_words(s)) >= 2]
         answers.append(set(_item_words(sentences[-1] if sentences else text).tolist()))
     return Index(codes, np.packbits(active), vocabulary, basis.astype(np.float16), latent.astype(np.float32), [i for i, *_ in items], [w for _, w, _ in items], answers)
@@ -227,19 +231,29 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     w = index.idf[f].astype(np.float64)
     active = index.active[f]
     everything = np.concatenate([[0.0], np.cumsum(w * w)])
-    # Repeats within a window are left out of this bound; half of it makes up for them.
+    # Without repeats within a window, so the share is a little off: a margin makes up.
     squares = np.concatenate([[0.0], np.cumsum(np.where(active, w * w, 0.0))])
     total = everything[stop] - everything[start]
     mass = squares[stop] - squares[start]
-    hint = (mass > 0) & (mass >= 0.5 * cosine**2 * total)
-    for j in np.flatnonzero(hint).tolist():
-        feats, weights, size = _weights(words[start[j] : stop[j]], index.idf)
-        on = index.active[feats]
-        if not size or np.sqrt((weights[on] ** 2).sum()) < cosine * size:
-            continue
-        scores = index.latent @ ((weights[on] / size) @ index.vectors[np.searchsorted(index.vocabulary, feats[on])])
-        for item in np.flatnonzero(scores >= cosine).tolist():
-            yield int(row[j]), int(start[j]), item, float(scores[item])
+    near = np.flatnonzero((mass > 0) & (mass >= 0.7 * cosine**2 * total))
+    # The projection is exact; the length without repeats is at most the true one, so
+    # these scores are upper bounds.
+    before = np.concatenate([[0], np.cumsum(active)])
+    slots = np.searchsorted(index.vocabulary, f[active])
+    for k in range(0, len(near), 4096):
+        part = near[k : k + 4096]
+        lo, hi = before[start[part]], before[stop[part]]
+        sizes = hi - lo
+        at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        rows = index.vectors[slots[at]] * w[active][at][:, None].astype(np.float32)
+        sums = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+        upper = (sums @ index.latent.T) / np.sqrt(total[part])[:, None]
+        for r, item in zip(*np.nonzero(upper >= cosine), strict=True):
+            j = part[r]
+            size = _weights(words[start[j] : stop[j]], index.idf)[2]
+            score = float(upper[r, item]) * float(np.sqrt(total[j])) / size
+            if score >= cosine:
+                yield int(row[j]), int(start[j]), int(item), score
 
 
 def leaks_of(words: np.ndarray, first: np.ndarray, index: Index, window: int = WINDOW, cosine: float = COSINE) -> dict[tuple[int, int], tuple[float, float, float, int]]:
