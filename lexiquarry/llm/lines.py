@@ -52,28 +52,25 @@ def _constant(values: list[int]) -> Column:
 
 
 def rarity_ranks(texts: DataFrame) -> list[int]:
-    """Each bucket's rank by the number of its words in all texts, shifted above a hash.
-    One count for each of a fixed number of buckets comes to the driver."""
+    """Each bucket's rank by the number of its words in all texts. One count for each of a fixed number of buckets comes to the driver."""
     words = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w != ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
     have = {r["b"]: r["count"] for r in counts}
     order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
     ranks = [0] * BUCKETS
     for i, b in enumerate(order):
-        ranks[b] = i << 47
+        ranks[b] = i
     return ranks
 
 
-def _sieve(keys: DataFrame) -> Column | None:
-    """A condition on column ``h`` that holds for all of the keys' (and few others)."""
+def _sieve(keys: DataFrame) -> Column:
+    """A condition on column ``h`` that holds for all of the keys' (and few others): a bit
+    array of fixed size, as a scalar subquery."""
     at = F.pmod("h", F.lit(_SIEVE))
-    bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).collect()
-    if not bits:
-        return None
-    words = [0] * (_SIEVE // 64)
-    for r in bits:
-        words[r["i"]] = r["v"]
-    word = _constant(words)[F.shiftright(at, 6).cast("int")]
+    bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v"))
+    every = keys.sparkSession.range(_SIEVE // 64).withColumnRenamed("id", "i").join(bits, "i", "left").select(F.struct("i", F.coalesce("v", F.lit(0)).alias("v")).alias("x"))
+    words = stored(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("a"))).scalar()
+    word = words[F.shiftright(at, 6).cast("int")]
     return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
@@ -105,7 +102,7 @@ def _line_sets(docs: DataFrame) -> DataFrame:
     ranks = _constant(rarity_ranks(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
     hashes = _lines(docs).select("id", "th", "line_no", _hashed("line").alias("hashes"))
     low = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(_MASK)))
-    placed = F.transform("hashes", lambda h: F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
+    placed = F.transform("hashes", lambda h: F.shiftleft(F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)), 47).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
     sets = hashes.select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
     quarter = lambda j: F.when(F.col("n") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
     prefix = F.when(F.col("n") > 3, F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
@@ -119,10 +116,9 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     lines = sets.filter("n > 3")
     again = distinct.filter("c > 1").select("sid", "first")
     twice = _sieve(again.select(F.xxhash64("sid").alias("h")))
-    if twice is not None:
-        marked = lines.withColumn("h", F.xxhash64("sid"))
-        maybe = marked.filter(twice).join(again, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
-        lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
+    marked = lines.withColumn("h", F.xxhash64("sid"))
+    maybe = marked.filter(twice).join(again, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+    lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     some = lines.select("id", where.alias("at"), *_SIGNS, "lo", "prefix")
     own = ["id", "at", *_SIGNS, "p"]
@@ -158,8 +154,6 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         """The x lines of the pairs that match, by both lines' whole sets from the texts."""
         ends = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"), F.col("y_sig").alias("sig"))).distinct()
         keep = _sieve(ends.select(F.xxhash64("id", F.shiftright("at", 32)).alias("h")))
-        if keep is None:
-            return pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig"))
         pool = _lines(docs).withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep)
         pool = pool.select("id", "line_no", _hashed("line").alias("toks")).withColumns({"n": F.size("toks"), "sig": _parity(F.col("toks"))})
         pool = pool.select("id", where.alias("at"), "sig", "toks").join(ends, ["id", "at", "sig"])
