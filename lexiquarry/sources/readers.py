@@ -25,7 +25,7 @@ def routed(files: DataFrame) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
     """One page for each Markdown file, without byte-order mark and front matter."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("page"), front_matter_stripped(F.col("value")).alias("text"))
 
 
