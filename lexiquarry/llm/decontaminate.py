@@ -116,6 +116,10 @@ class Index:
     words: list[np.ndarray]
     answers: list[set[int]]
 
+    def closed(self) -> dict:
+        """Plain values, for a broadcast."""
+        return dict(vars(self))
+
     def opened(self) -> Index:
         """With look-up tables, for use."""
         self.idf = self.codes.astype(np.float32) / 16
@@ -295,10 +299,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
     index = build_index(docs, benchmark, rank)
     if index is None:
         return spark.createDataFrame([], LEAKS)
-    sent = spark.sparkContext.broadcast(index)  # bounded by FEATURES, RANK and MAX_BENCHMARK_BYTES
+    sent = spark.sparkContext.broadcast(index.closed())  # bounded by FEATURES, RANK and MAX_BENCHMARK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value.opened()
+        ix = Index(**sent.value).opened()
         for b in batches:
             ids = b.column(0)
             rows = [(ids[r].as_py(), ix.item_ids[k], *facts) for r, k, facts in _scan(b.column(1), ix)]
@@ -314,11 +318,11 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
     index = build_index(docs, benchmark, rank)
     if index is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index.closed())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value.opened()
+        ix = Index(**sent.value).opened()
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             for r, _, _ in _scan(b.column(at), ix):
