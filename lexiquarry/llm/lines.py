@@ -12,8 +12,8 @@ stays itself. Lines without words stay.
    rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
    of word hashes (their difference is a lower bound of the symmetric difference) sort
    out pairs, and Jaccard is verified on the whole sets, cut again from the texts.
-   Before that, every line meets one line only: the first one with its least hash of
-   prefix words. A line that matches this one needs no other match.
+   Before that, every line meets ``HEADS`` lines only: the first ones with its least
+   hashes of prefix words. A line that matches one of these needs no other match.
 
 So groups of near copies mostly meet one line, not each other. Sets of up to
 three words can only match equal ones and take part in step 2 alone. Sieves before
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.common import row_key, shuffle_width, small, stored
 
 BUCKETS = 1 << 16
+#: First lines that each line meets before the others.
+HEADS = 6
 #: Lines with more words have a parity of 256 bits instead of 64.
 LONG_LINE = 110
 _SIEVE = 1 << 22
@@ -101,13 +103,11 @@ def _line_sets(docs: DataFrame) -> DataFrame:
     """Size, hash, parities and prefix of every line; the prefix by rarity."""
     ranks = _constant(rarity_ranks(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
     hashes = _lines(docs).select("id", "th", "line_no", _hashed("line").alias("hashes"))
-    low = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(_MASK)))
     placed = F.transform("hashes", lambda h: F.shiftleft(F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)), 47).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
     sets = hashes.select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
     quarter = lambda j: F.when(F.col("n") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
     prefix = F.when(F.col("n") > 3, F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
-    sets = sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix"))
-    return stored(sets.withColumn("lo", F.array_min(low)))
+    return stored(sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix")))
 
 
 def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     maybe = marked.filter(twice).join(again, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
     lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    some = lines.select("id", where.alias("at"), *_SIGNS, "lo", "prefix")
+    some = lines.select("id", where.alias("at"), *_SIGNS, "prefix")
     own = ["id", "at", *_SIGNS, "p"]
 
     def size(at: str) -> Column:
@@ -165,11 +165,15 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         match = 5 * both >= 4 * (F.size("x_toks") + F.size("y_toks") - both)
         return stored(p.filter(match).select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).distinct())
 
-    # First every line meets the first line with the same least hash of its prefix.
-    ends = some.select("id", "at", *_SIGNS, F.col("lo").alias("end"))
-    heads = ends.groupBy("end").agg(F.min(F.struct("id", "at", *_SIGNS)).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    heads = heads.select("end", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "at", *_SIGNS)])
-    star = ends.join(heads, "end").filter(earlier("h_", "") & alike("h_", ""))
+    # First every line meets the first line with the same least hash of its prefix, for
+    # some hash functions.
+    least = lambda k: F.array_min(F.transform("prefix", lambda x: F.xxhash64(F.lit(k), x)))
+    ends = some.select("id", "at", "sig", F.explode(F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(HEADS)])).alias("end"))
+    heads = ends.groupBy("end").agg(F.min(F.struct("id", "at", "sig")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = heads.select("end", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "at", "sig")])
+    na, nb = size("h_at"), size("at")
+    near = (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (F.bit_count(F.col("h_sig").bitwiseXOR(F.col("sig"))) <= na + nb - 2 * F.ceil((na + nb) * 4 / 9))
+    star = ends.join(heads, "end").filter(earlier("h_", "") & near)
     star = star.select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
     found = verified(stored(star.distinct()))
     done = some.join(small(found.withColumn("done", F.lit(True))), ["id", "at", "sig"], "left")
