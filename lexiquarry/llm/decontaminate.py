@@ -244,13 +244,32 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     # these scores are upper bounds.
     before = np.concatenate([[0], np.cumsum(active)])
     slots = np.searchsorted(index.vocabulary, f[active])
-    for k in range(0, len(near), 4096):
-        part = near[k : k + 4096]
-        lo, hi = before[start[part]], before[stop[part]]
-        sizes = hi - lo
+    heavy = w[active].astype(np.float32)
+    # A window is two halves; every half is summed once.
+    halves = -(-counts // step)
+    base = np.cumsum(halves) - halves
+    half_row = np.repeat(np.arange(len(counts)), halves)
+    half_at = first[half_row] + (np.arange(len(half_row)) - base[half_row]) * step
+    half_end = np.minimum(half_at + step, first[half_row + 1])
+    for c in range(0, len(near), 4096):
+        part = near[c : c + 4096]
+        one = base[row[part]] + k[part]
+        two = one + 1
+        has_two = k[part] + 1 < halves[row[part]]
+        used = np.unique(np.concatenate([one, two[has_two]]))
+        used = used[before[half_end[used]] > before[half_at[used]]]
+        lo, sizes = before[half_at[used]], before[half_end[used]] - before[half_at[used]]
         at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        rows = index.vectors[slots[at]] * w[active][at][:, None].astype(np.float32)
-        sums = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+        rows = index.vectors[slots[at]]
+        rows *= heavy[at][:, None]
+        summed = np.zeros((len(used) + 1, rows.shape[1]), np.float32)  # the last stays 0
+        summed[:-1] = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+
+        def of(halfs: np.ndarray, used: np.ndarray = used, summed: np.ndarray = summed) -> np.ndarray:
+            x = np.minimum(np.searchsorted(used, halfs), len(used) - 1)
+            return summed[np.where(used[x] == halfs, x, len(used))]
+
+        sums = of(one) + of(np.where(has_two, two, -1))
         upper = (sums @ index.latent.T) / np.sqrt(total[part])[:, None]
         for r, item in zip(*np.nonzero(upper >= cosine), strict=True):
             j = part[r]
