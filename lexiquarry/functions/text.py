@@ -14,7 +14,7 @@ TYPOS = (
     ("bố sung", "bổ sung"), ("Bố sung", "Bổ sung"), ("tính,", "tỉnh,"), ("tính.", "tỉnh."), ("họp đồng", "hợp đồng"), ("Họp đồng", "Hợp đồng"),
     ("trưởng họp", "trường hợp"), ("Trưởng họp", "Trường hợp"), ("trực thuộc trung ượng", "trực thuộc trung ương"),
 )
-_ACCENTED = {
+ACCENTED = {
     "a": "àáảãạăắằẳẵặâấầẩẫậ",
     "e": "èéẻẽẹêếềểễệ",
     "i": "ìíỉĩị",
@@ -61,8 +61,8 @@ def squash(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case without the marks of the alphabet's letters."""
-    source = "".join(_ACCENTED.values())
-    target = "".join(k * len(v) for k, v in _ACCENTED.items())
+    source = "".join(ACCENTED.values())
+    target = "".join(k * len(v) for k, v in ACCENTED.items())
     return F.translate(F.lower(c), source, target)
 
 

@@ -117,9 +117,9 @@ def with_status(rows: DataFrame, status: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_match(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
-    """For each query vector the best cached vector under the same filter_key, if its
-    cosine is ``least`` or more. Queries: (q_id, filter_key, q_vec); cache: (c_id, filter_key, c_vec)."""
-    pairs = queries.join(cache, "filter_key").withColumn("sim", cosine("q_vec", "c_vec")).filter(F.col("sim") >= least)
+    """For each query vector the best other cached vector under the same filter_key, if
+    its cosine is ``least`` or more. Queries: (q_id, filter_key, q_vec); cache: (c_id, filter_key, c_vec)."""
+    pairs = queries.join(cache, "filter_key").filter("q_id != c_id").withColumn("sim", cosine("q_vec", "c_vec")).filter(F.col("sim") >= least)
     best = pairs.groupBy("q_id").agg(F.max_by(F.struct("c_id", "sim"), F.struct(F.col("sim"), -F.col("c_id"))).alias("b"))
     return best.select("q_id", "b.c_id", "b.sim")
 

@@ -29,7 +29,7 @@ def recoverable(c: Column) -> Column:
 
 
 def is_english(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?i)\b(?:" + "|".join(ENGLISH) + r")\b")) > 5
+    return F.regexp_count(c, F.lit(r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(ENGLISH) + r")(?![A-Za-z0-9_])")) > 5
 
 
 def table_signals(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import STOPWORDS, content_tokens, token_recall
 from lexiquarry.operators import legal as g
-from lexiquarry.plans.documents import answers, inline
+from lexiquarry.plans.documents import FOLDED, answers, inline
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import table
 
@@ -46,12 +46,12 @@ def fn10(spark, d):
     return table(spark, d, "events").select("event_id", F.round(g.softmax3(l, (0, 1, 2))[0], 6).alias("p"))
 
 
-_TOK = "list_filter(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9%]+', ' ', 'g'), ' '), lambda w: length(w) > 1)), lambda w: NOT list_contains([" + ",".join(f"'{w}'" for w in STOPWORDS) + "], w))"
+_TOK = "list_filter(list_distinct(list_filter(string_split(regexp_replace(" + FOLDED + ", '[^a-z0-9%]+', ' ', 'g'), ' '), lambda w: length(w) > 1)), lambda w: NOT list_contains([" + ",".join(f"'{w}'" for w in STOPWORDS) + "], w))"
 
 
-@reg("fn9_token_recall", f"WITH t AS (SELECT doc_id, {_TOK} AS w FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(a.w) END, 6) AS recall FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
+@reg("fn9_token_recall", f"WITH t AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(a.w) END, 6) AS recall FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def fn9(spark, d):
-    x = table(spark, d, "documents").filter(F.octet_length("text") == F.length("text")).select("doc_id", content_tokens(F.col("text")).alias("w"))
+    x = table(spark, d, "documents").select("doc_id", content_tokens(F.col("text")).alias("w"))
     y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return x.join(y, "doc_id").select("doc_id", F.round(token_recall(F.col("w"), F.col("v")), 6).alias("recall"))
 
@@ -111,10 +111,10 @@ def fn22(spark, d):
     return inline(spark, [('text ```json\n{"a": 1}\n``` {"z": 9}',), ('{bad} then {"b": 2}',), ("none",)], "s").select("i", g.json_in_text(F.col("s")).alias("j"))
 
 
-@reg("ch8_anchor_chunks", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(range(0, CASE WHEN length(t) > 300 THEN CAST(ceil(length(t) / 200.0) AS BIGINT) ELSE 1 END)) FROM (SELECT conv_id, text AS t FROM conversations WHERE trim(text) <> '' AND NOT contains(text, '#'))) GROUP BY 1")
+@reg("ch8_anchor_chunks", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(range(0, CASE WHEN length(t) > 300 THEN CAST(ceil(length(t) / 200.0) AS BIGINT) ELSE 1 END)) FROM (SELECT conv_id, text AS t FROM conversations WHERE trim(text) <> '')) GROUP BY 1")
 def ch8(spark, d):
-    c = table(spark, d, "conversations").filter(~F.contains("text", F.lit("#")))
-    return g.anchored_chunks(c, "conv_id", "text", "^#", 300, 200).groupBy("conv_id").agg(F.count("*").alias("n"))
+    c = table(spark, d, "conversations")
+    return g.anchored_chunks(c, "conv_id", "text", "^Điều [0-9]", 300, 200).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
 @reg("mx1_document_delete", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src2')")

@@ -188,12 +188,12 @@ def jn11(spark, d):
 
 
 @reg("wn20_nearest_semantic_match", """WITH e AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
- p AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.n * b.n) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
+ p AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.n * b.n) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS r FROM p WHERE sim >= 0.2) SELECT q_id, c_id, round(sim, 6) AS sim FROM k WHERE r = 1""")
 def wn20(spark, d):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("filter_key"), F.col("embedding").alias("q_vec"))
-    c = e.filter("vec_id % 20 != 0").select(F.col("vec_id").alias("c_id"), F.col("label").alias("filter_key"), F.col("embedding").alias("c_vec"))
+    c = e.select(F.col("vec_id").alias("c_id"), F.col("label").alias("filter_key"), F.col("embedding").alias("c_vec"))
     return r.nearest_match(q, c, 0.2).withColumn("sim", F.round("sim", 6))
 
 
@@ -240,9 +240,9 @@ def wn13(spark, d):
     return table(spark, d, "orders").filter("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey", "o_orderdate")
 
 
-@reg("wn21_nearest_label", "SELECT p_partkey, s_suppkey, round(sqrt(d2), 6) AS dist FROM (SELECT p_partkey, s_suppkey, d2, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, s_suppkey) AS k FROM (SELECT p_partkey, s_suppkey, pow(p_size - s_nationkey, 2) + pow(p_retailprice / 100.0 - s_acctbal / 100.0, 2) AS d2 FROM part JOIN supplier ON abs(p_size - s_nationkey) <= 2 AND p_partkey % 10 = 0)) WHERE k = 1")
+@reg("wn21_nearest_label", "SELECT p_partkey, s_suppkey, round(sqrt(d2), 6) AS dist FROM (SELECT p_partkey, s_suppkey, d2, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, s_suppkey) AS k FROM (SELECT p_partkey, s_suppkey, pow(p_size - s_nationkey, 2) + pow(p_retailprice / 100.0 - s_acctbal / 100.0, 2) AS d2 FROM part JOIN supplier ON abs(p_size - s_nationkey) <= 2)) WHERE k = 1")
 def wn21(spark, d):
-    p, s = table(spark, d, "part").filter("p_partkey % 10 = 0"), table(spark, d, "supplier")
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
     near = p.withColumn("y", F.explode(F.sequence(F.col("p_size") - 2, F.col("p_size") + 2))).join(s, F.col("y") == F.col("s_nationkey"))
     d2 = F.pow(F.col("p_size") - F.col("s_nationkey"), F.lit(2)) + F.pow(F.col("p_retailprice") / 100.0 - F.col("s_acctbal") / 100.0, F.lit(2))
     best = near.withColumn("d2", d2).groupBy("p_partkey").agg(F.min(F.struct("d2", "s_suppkey")).alias("b"))

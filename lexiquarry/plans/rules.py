@@ -163,15 +163,16 @@ def ru10(spark, d):
     return p.select("o_orderkey", F.array_join(lines, "\n").alias("text"))
 
 
-# Graphs: documents are nodes; a user's events link a node to one of its next event.
-_EDGE = "edges AS (SELECT DISTINCT src, rel, dst FROM (SELECT lag(event_id % 300) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, CASE event_type WHEN 'click' THEN 'REPLACES' WHEN 'view' THEN 'AMENDS' ELSE 'REFERENCES' END AS rel, event_id % 300 AS dst FROM events WHERE event_id < 900) WHERE src IS NOT NULL AND src <> dst)"
+# Graphs: events are nodes; each links the one before and the third before of its user.
+_EDGE = "edges AS (SELECT DISTINCT src, rel, dst FROM (SELECT unnest([lag(event_id) OVER w, lag(event_id, 3) OVER w]) AS src, CASE event_type WHEN 'click' THEN 'REPLACES' WHEN 'view' THEN 'AMENDS' ELSE 'REFERENCES' END AS rel, event_id AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE src IS NOT NULL AND src <> dst)"
 
 
 def edges(spark, d):
-    e = table(spark, d, "events").filter("event_id < 900")
-    src = F.lag(F.col("event_id") % 300).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
     rel = F.when(F.col("event_type") == "click", "REPLACES").when(F.col("event_type") == "view", "AMENDS").otherwise("REFERENCES")
-    return e.select(src.alias("src"), rel.alias("rel"), (F.col("event_id") % 300).alias("dst")).filter("src IS NOT NULL AND src != dst").distinct()
+    both = F.array(F.lag("event_id").over(w), F.lag("event_id", 3).over(w))
+    e = table(spark, d, "events").select(both.alias("both"), rel.alias("rel"), F.col("event_id").alias("dst"))
+    return e.select(F.explode("both").alias("src"), "rel", "dst").filter("src IS NOT NULL AND src != dst").distinct()
 
 
 @reg("sk7_edge_merge", f"WITH {_EDGE} SELECT * FROM edges")
@@ -180,9 +181,9 @@ def sk7(spark, d):
     return g.exploded_edges(docs, {x: x.lower() for x in ("REPLACES", "AMENDS", "REFERENCES")})
 
 
-@reg("sk8_topology_status", f"WITH {_EDGE}, n AS (SELECT DISTINCT event_id % 300 AS id FROM events WHERE event_id < 900) SELECT id, CASE WHEN id IN (SELECT dst FROM edges WHERE rel = 'REPLACES') THEN 'SUPERSEDED' WHEN id IN (SELECT dst FROM edges WHERE rel = 'AMENDS') THEN 'OUTDATED' ELSE 'ACTIVE' END AS status FROM n")
+@reg("sk8_topology_status", f"WITH {_EDGE}, n AS (SELECT event_id AS id FROM events) SELECT id, CASE WHEN id IN (SELECT dst FROM edges WHERE rel = 'REPLACES') THEN 'SUPERSEDED' WHEN id IN (SELECT dst FROM edges WHERE rel = 'AMENDS') THEN 'OUTDATED' ELSE 'ACTIVE' END AS status FROM n")
 def sk8(spark, d):
-    n = table(spark, d, "events").filter("event_id < 900").select((F.col("event_id") % 300).alias("id")).distinct().withColumn("status", F.lit("ACTIVE"))
+    n = table(spark, d, "events").select(F.col("event_id").alias("id")).withColumn("status", F.lit("ACTIVE"))
     return g.status_after(n, edges(spark, d), "OUTDATED").select("id", "status")
 
 
@@ -193,7 +194,7 @@ def sk8_counts(spark, d):
 
 @reg("jn8_graph_neighbours", f"WITH {_EDGE} SELECT DISTINCT dst, rel FROM (SELECT src, rel, dst FROM edges UNION ALL SELECT dst, rel, src FROM edges) WHERE src = 7")
 def jn8(spark, d):
-    n = table(spark, d, "events").select((F.col("event_id") % 300).alias("id")).distinct()
+    n = table(spark, d, "events").select(F.col("event_id").alias("id"))
     return g.neighbours(n, edges(spark, d), 7)
 
 

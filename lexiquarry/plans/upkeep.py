@@ -15,10 +15,9 @@ reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
 
-@reg("mx10_recoverable", "WITH x AS (SELECT doc_id, text, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS n FROM documents WHERE NOT contains(text, chr(10) || chr(10))) SELECT doc_id, length(text) >= 50 AND n >= 2 AS ok FROM x")
+@reg("mx10_recoverable", "WITH x AS (SELECT doc_id, text, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS n FROM documents) SELECT doc_id, length(text) >= 50 AND n >= 2 AS ok FROM x")
 def mx10(spark, d):
-    x = table(spark, d, "documents").filter(~F.contains("text", F.lit("\n\n")))
-    return x.select("doc_id", u.recoverable(F.col("text")).alias("ok"))
+    return table(spark, d, "documents").select("doc_id", u.recoverable(F.col("text")).alias("ok"))
 
 
 @reg("mx9_table_text_clean", answers([("a\n\nb",), ("x",)], "s"))
@@ -29,9 +28,9 @@ def mx9(spark, d):
 _EN = "|".join(u.ENGLISH)
 
 
-@reg("mx12_english_summary", f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:{_EN})\\b')) > 5 AS english FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@reg("mx12_english_summary", f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:{_EN})\\b')) > 5 AS english FROM documents")
 def mx12(spark, d):
-    return table(spark, d, "documents").filter(F.octet_length("text") == F.length("text")).select("doc_id", u.is_english(F.col("text")).alias("english"))
+    return table(spark, d, "documents").select("doc_id", u.is_english(F.col("text")).alias("english"))
 
 
 @reg("mx32_table_signals", answers([("true",), ("true",), ("false",)], "signals"))
