@@ -47,9 +47,12 @@ def term_frequencies(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def sparse_scores(index: DataFrame, query_terms: DataFrame, key: str) -> DataFrame:
-    """Inner product of term weights: index (key, term, tf), query_terms (term, qtf)."""
-    return index.join(F.broadcast(query_terms), "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("qtf")).cast("double").alias("score"))
+def sparse_scores(rows: DataFrame, query_terms: DataFrame, key: str, text: str) -> DataFrame:
+    """Inner product of the term counts of each text with ``query_terms`` (term, qtf), the
+    terms of one query: every occurrence adds its qtf, so only hits are aggregated."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    hits = rows.select(key, F.explode(words).alias("term")).join(F.broadcast(query_terms), "term")
+    return hits.groupBy(key).agg(F.sum("qtf").cast("double").alias("score"))
 
 
 def top_k(df: DataFrame, k: int, score: str, key: str) -> DataFrame:

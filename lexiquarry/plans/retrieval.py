@@ -33,7 +33,7 @@ def dense(spark, d):
 def sparse(spark, d):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     q = r.term_frequencies(b.orderBy("item_id").limit(1), "item_id", "text").select("term", F.col("tf").alias("qtf"))
-    return r.sparse_scores(r.term_frequencies(docs, "doc_id", "text"), q, "doc_id")
+    return r.sparse_scores(docs, q, "doc_id", "text")
 
 
 @reg("vg1_l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n)), 6) AS total, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
