@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words (runs of letters, lower-cased) fall into 2^20 hash features. Document counts of
-   all documents give their inverse document frequencies; features of more than a tenth
-   of the documents weigh nothing. (An item of such words alone is not searched for.)
+   all documents give their inverse document frequencies: small, but never 0, for the
+   most frequent ones, so an item that many documents hold keeps its weight.
 2. The benchmark's passages form a TF-IDF matrix. A randomised SVD of it, with power
    iterations, runs over the distributed benchmark: each round sends a thin matrix out
    and adds up the parts' products. The latent space is spanned by the right singular
@@ -49,8 +49,6 @@ COPY = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.5
 SHORT = 6
-#: Features of a larger share of documents weigh nothing.
-MAX_SHARE = 0.1
 MAX_BENCHMARK_BYTES = 64 << 20
 _U = np.uint64
 
@@ -190,8 +188,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Inde
     if not items:
         return None
     n, df = document_frequencies(docs)
-    codes = np.minimum(255, np.rint(np.log((2.0 + n) / (1.0 + df)) * 16)).astype(np.uint8)
-    codes[df > MAX_SHARE * max(n, 20)] = 0
+    codes = np.clip(np.rint(np.log((2.0 + n) / (1.0 + df)) * 16), 1, 255).astype(np.uint8)
     idf = codes / 16.0
     vocabulary = np.unique(np.concatenate([_features(w) for _, w, _ in items]))
     basis = randomised_svd(benchmark, idf, vocabulary, min(rank, len(items)))

@@ -68,3 +68,11 @@ def test_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert dc.common_subsequence(a, b) == t[12][9]
+
+
+def test_item_that_many_documents_hold_is_found_in_all(spark):
+    docs, items, _ = make(5)
+    for every in (3, 1):
+        d = [(i, f"{text[:300]} {items[0][1]} {text[300:600]}" if i % every == 0 else text) for i, text in docs]
+        leaks = dc.find_leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert {r["doc_id"] for r in leaks.collect() if r["item_id"] == 0} >= set(range(0, 300, every))
