@@ -6,7 +6,8 @@
 2. The benchmark's passages form a TF-IDF matrix. A randomised SVD of it, with power
    iterations, runs over the distributed benchmark: each round sends a thin matrix out
    and adds up the parts' products. The latent space is spanned by the right singular
-   vectors: all of the passages' span up to ``RANK`` passages, its best part beyond.
+   vectors. The passages go in blocks of at most ``RANK``, each with a space of its own
+   that spans them, so nothing is lost whatever the benchmark's size.
 3. Windows of ``WINDOW`` words, half overlapping, of every whole text are the corpus's
    passages. A window's cosine with an item is bounded by the share of its weight on
    the benchmark's features; windows below ``COSINE`` by this bound are done. The rest
@@ -20,7 +21,8 @@ more with at least ``ANSWER`` of the answer's words. Items of under ``SHORT`` wo
 there as a whole.
 
 The benchmark must be small enough to send to every executor; ``MAX_BENCHMARK_BYTES`` is
-checked, and a larger one is an error (call it with blocks of items then).
+checked, and a larger one is an error (call it with parts of it then). Of ``PART`` items
+or more, every ``PART`` are a pass over the documents of their own.
 
 Defined results: null texts have no words and no leaks; items without words leak
 nowhere; repeated rows are judged alike; null doc_id is kept as null; other columns are
@@ -34,15 +36,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import textcore as tc
-from lexiquarry.llm.common import bounded_batches
+from lexiquarry.llm.common import bounded_batches, stored
 from lexiquarry.llm.language import _lowered, _pieces, letter_words
 
 FEATURES = 1 << 20
 RANK = 256
+#: Items that one pass over the documents searches for.
+PART = 1024
 WINDOW = 48
 COSINE = 0.35
 COPY = 0.75
@@ -100,29 +104,42 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 @dataclass
-class Index:
-    """What executors need. codes: 16 times the inverse document frequency of each
-    feature; bits: the benchmark's features; basis: a row for each of its vocabulary;
-    latent: items in the latent space, over their length; words and answers of items."""
+class Block:
+    """At most RANK items in a latent space that they span. vocabulary: their features;
+    basis: a row for each of these; latent: the items, over their length; items: their
+    numbers."""
 
-    codes: np.ndarray
-    bits: np.ndarray
     vocabulary: np.ndarray
     basis: np.ndarray
     latent: np.ndarray
+    items: np.ndarray
+
+    def opened(self) -> Block:
+        self.active = np.zeros(FEATURES, bool)
+        self.active[self.vocabulary] = True
+        self.vectors = self.basis.astype(np.float32)
+        return self
+
+
+@dataclass
+class Index:
+    """What executors need. codes: 16 times the inverse document frequency of each
+    feature; blocks: the items' latent spaces; words and answers of items."""
+
+    codes: np.ndarray
+    blocks: list[Block]
     item_ids: list
     words: list[np.ndarray]
     answers: list[set[int]]
 
     def closed(self) -> dict:
         """Plain values, for a broadcast."""
-        return dict(vars(self))
+        return dict(vars(self), blocks=[dict(vars(b)) for b in self.blocks])
 
     def opened(self) -> Index:
         """With look-up tables, for use."""
         self.idf = self.codes.astype(np.float32) / 16
-        self.active = np.unpackbits(self.bits).astype(bool)
-        self.vectors = self.basis.astype(np.float32)
+        self.blocks = [(b if isinstance(b, Block) else Block(**b)).opened() for b in self.blocks]
         return self
 
 
@@ -138,25 +155,33 @@ def _weights(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return f, w, float(np.sqrt((w**2).sum()))
 
 
-def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
-    """An orthonormal basis (vocabulary x rank) of the passages' right singular vectors."""
-    rank = max(1, min(rank, len(vocabulary)))
-    known = idf[vocabulary]
-    thin = np.random.default_rng(seed).normal(size=(len(vocabulary), min(rank + 8, len(vocabulary))))
-    sc = benchmark.sparkSession.sparkContext
+def randomised_svd(passages: DataFrame, idf: np.ndarray, keys: np.ndarray, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
+    """Orthonormal bases (keys x rank) of the right singular vectors of each block's
+    passages (block, words); keys are blocks' numbers before features, sorted."""
+    known = idf[keys & (FEATURES - 1)]
+    blocks = np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys >> 20)) + 1)
+    thin = np.random.default_rng(seed).normal(size=(len(keys), rank + 8))
+    sc = passages.sparkSession.sparkContext
+
+    def orthonormal(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for at in blocks:
+            q = np.linalg.qr(x[at])[0]
+            out[at, : q.shape[1]] = q
+        return out
 
     def product(q: np.ndarray) -> np.ndarray:
-        """A'A q, one part for each task."""
-        sent = sc.broadcast((vocabulary.astype(np.int32), known.astype(np.float32), q.astype(np.float32)))
+        """A'A q of all blocks, one part for each task."""
+        sent = sc.broadcast((keys, known.astype(np.float32), q.astype(np.float32)))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features, weight, q_ = sent.value
             z = np.zeros(q_.shape)
             for b in batches:
-                for x in b.column(0).to_pylist():
-                    f, n = np.unique(_features(_item_words(x or "")), return_counts=True)
+                for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    f, n = np.unique(_features(np.array(x, np.int64).view(_U)), return_counts=True)
                     if len(f):
-                        at = np.searchsorted(features, f)
+                        at = np.searchsorted(features, (block << 20) | f)
                         w = n * weight[at]
                         w = w / (np.sqrt((w**2).sum()) or 1.0)
                         z[at] += np.outer(w, w @ q_[at])
@@ -164,7 +189,7 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(z[rows]), pa.list_(pa.float64()))], ["i", "v"])
 
         cols = [F.sum(F.col("v")[k]).alias(f"c{k}") for k in range(q.shape[1])]
-        got = benchmark.select("text").mapInArrow(part, "i long, v array<double>").groupBy("i").agg(*cols).toArrow()
+        got = passages.select("block", "words").mapInArrow(part, "i long, v array<double>").groupBy("i").agg(*cols).toArrow()
         out = np.zeros_like(q)
         if got.num_rows:
             out[got["i"].to_numpy()] = np.stack([got[f"c{k}"].to_numpy() for k in range(q.shape[1])], axis=1)
@@ -172,36 +197,65 @@ def randomised_svd(benchmark: DataFrame, idf: np.ndarray, vocabulary: np.ndarray
         return out
 
     for _ in range(rounds):
-        thin = np.linalg.qr(product(np.linalg.qr(thin)[0]))[0]
+        thin = orthonormal(product(orthonormal(thin)))
     last = product(thin)
-    _, vectors = np.linalg.eigh(thin.T @ last)
-    return thin @ vectors[:, ::-1][:, :rank]
+    out = np.zeros((len(keys), rank))
+    for at in blocks:
+        _, vectors = np.linalg.eigh(thin[at].T @ last[at])
+        out[at] = thin[at] @ vectors[:, ::-1][:, :rank]
+    return out
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index | None:
-    """IDF of all documents, and the benchmark in its latent space."""
+def benchmark_items(benchmark: DataFrame) -> list[tuple]:
+    """(item_id, words, text) of the items with words."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text, more than {MAX_BENCHMARK_BYTES}: give it in blocks")
     rows = benchmark.select("item_id", "text").collect()  # bounded above
-    items = [(r["item_id"], w, r["text"]) for r in rows if len(w := _item_words(r["text"] or ""))]
-    if not items:
-        return None
+    return [(r["item_id"], w, r["text"]) for r in rows if len(w := _item_words(r["text"] or ""))]
+
+
+def frequency_codes(docs: DataFrame) -> np.ndarray:
+    """16 times the inverse document frequency of each feature."""
     n, df = document_frequencies(docs)
-    codes = np.clip(np.rint(np.log((2.0 + n) / (1.0 + df)) * 16), 1, 255).astype(np.uint8)
+    return np.clip(np.rint(np.log((2.0 + n) / (1.0 + df)) * 16), 1, 255).astype(np.uint8)
+
+
+def _index(spark: SparkSession, items: list[tuple], codes: np.ndarray, rank: int) -> Index:
     idf = codes / 16.0
-    vocabulary = np.unique(np.concatenate([_features(w) for _, w, _ in items]))
-    basis = randomised_svd(benchmark, idf, vocabulary, min(rank, len(items)))
-    active = np.zeros(FEATURES, bool)
-    active[vocabulary] = True
-    latent = np.zeros((len(items), basis.shape[1]))
+    count = -(-len(items) // rank)
+    block = np.arange(len(items)) * count // len(items)
+    keys = np.unique(np.concatenate([(b << 20) | _features(w) for b, (_, w, _) in zip(block, items, strict=True)]))
+    passages = spark.createDataFrame([(int(b), w.view(np.int64).tolist()) for b, (_, w, _) in zip(block, items, strict=True)], "block long, words array<long>")
+    basis = randomised_svd(passages, idf, keys, int(np.bincount(block).max()))
+    blocks = []
+    for b in range(count):
+        at, of = np.flatnonzero(keys >> 20 == b), np.flatnonzero(block == b)
+        vocabulary = keys[at] & (FEATURES - 1)
+        latent = np.zeros((len(of), basis.shape[1]))
+        for k, i in enumerate(of):
+            f, w, size = _weights(items[i][1], idf)
+            latent[k] = (w / size) @ basis[at[np.searchsorted(vocabulary, f)]]
+        blocks.append(Block(vocabulary, basis[at].astype(np.float16), latent.astype(np.float32), of))
     answers = []
-    for k, (_, words, text) in enumerate(items):
-        f, w, size = _weights(words, idf)
-        latent[k] = (w / (size or 1.0)) @ basis[np.searchsorted(vocabulary, f)]
+    for _, _, text in items:
         sentences = [s for s in text.replace("\n", ". ").split(". ") if len(_item_words(s)) >= 2]
         answers.append(set(_item_words(sentences[-1] if sentences else text).tolist()))
-    return Index(codes, np.packbits(active), vocabulary, basis.astype(np.float16), latent.astype(np.float32), [i for i, *_ in items], [w for _, w, _ in items], answers)
+    return Index(codes, blocks, [i for i, *_ in items], [w for _, w, _ in items], answers)
+
+
+def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index | None:
+    """IDF of all documents, and the benchmark in its latent spaces."""
+    items = benchmark_items(benchmark)
+    return _index(docs.sparkSession, items, frequency_codes(docs), rank) if items else None
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Index]:
+    """As build_index, in parts of a size that executors hold."""
+    items = benchmark_items(benchmark)
+    codes = frequency_codes(docs) if items else None
+    for k in range(0, len(items), PART):
+        yield _index(docs.sparkSession, items[k : k + PART], codes, rank)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -230,50 +284,51 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     stop = np.minimum(start + window, first[row + 1])
     f = _features(words)
     w = index.idf[f].astype(np.float64)
-    active = index.active[f]
     everything = np.concatenate([[0.0], np.cumsum(w * w)])
-    # Without repeats within a window, so the share is a little off: a margin makes up.
-    squares = np.concatenate([[0.0], np.cumsum(np.where(active, w * w, 0.0))])
     total = everything[stop] - everything[start]
-    mass = squares[stop] - squares[start]
-    near = np.flatnonzero((mass > 0) & (mass >= 0.7 * cosine**2 * total))
-    # The projection is exact; the length without repeats is at most the true one, so
-    # these scores are upper bounds.
-    before = np.concatenate([[0], np.cumsum(active)])
-    slots = np.searchsorted(index.vocabulary, f[active])
-    heavy = w[active].astype(np.float32)
     # A window is two halves; every half is summed once.
     halves = -(-counts // step)
     base = np.cumsum(halves) - halves
     half_row = np.repeat(np.arange(len(counts)), halves)
     half_at = first[half_row] + (np.arange(len(half_row)) - base[half_row]) * step
     half_end = np.minimum(half_at + step, first[half_row + 1])
-    for c in range(0, len(near), 4096):
-        part = near[c : c + 4096]
-        one = base[row[part]] + k[part]
-        two = one + 1
-        has_two = k[part] + 1 < halves[row[part]]
-        used = np.unique(np.concatenate([one, two[has_two]]))
-        used = used[before[half_end[used]] > before[half_at[used]]]
-        lo, sizes = before[half_at[used]], before[half_end[used]] - before[half_at[used]]
-        at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        rows = index.vectors[slots[at]]
-        rows *= heavy[at][:, None]
-        summed = np.zeros((len(used) + 1, rows.shape[1]), np.float32)  # the last stays 0
-        summed[:-1] = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
-
-        def of(halfs: np.ndarray, used: np.ndarray = used, summed: np.ndarray = summed) -> np.ndarray:
-            x = np.minimum(np.searchsorted(used, halfs), len(used) - 1)
-            return summed[np.where(used[x] == halfs, x, len(used))]
-
-        sums = of(one) + of(np.where(has_two, two, -1))
-        upper = (sums @ index.latent.T) / np.sqrt(total[part])[:, None]
-        for r, item in zip(*np.nonzero(upper >= cosine), strict=True):
-            j = part[r]
-            size = _weights(words[start[j] : stop[j]], index.idf)[2]
-            score = float(upper[r, item]) * float(np.sqrt(total[j])) / size
-            if score >= cosine:
-                yield int(row[j]), int(start[j]), int(item), score
+    for block in index.blocks:
+        active = block.active[f]
+        # Without repeats within a window, so the share is a little off: a margin makes up.
+        squares = np.concatenate([[0.0], np.cumsum(np.where(active, w * w, 0.0))])
+        mass = squares[stop] - squares[start]
+        near = np.flatnonzero((mass > 0) & (mass >= 0.7 * cosine**2 * total))
+        # The projection is exact; the length without repeats is at most the true one, so
+        # these scores are upper bounds.
+        before = np.concatenate([[0], np.cumsum(active)])
+        slots = np.searchsorted(block.vocabulary, f[active])
+        heavy = w[active].astype(np.float32)
+        for c in range(0, len(near), 4096):
+            part = near[c : c + 4096]
+            one = base[row[part]] + k[part]
+            two = one + 1
+            has_two = k[part] + 1 < halves[row[part]]
+            used = np.unique(np.concatenate([one, two[has_two]]))
+            used = used[before[half_end[used]] > before[half_at[used]]]
+            lo, sizes = before[half_at[used]], before[half_end[used]] - before[half_at[used]]
+            at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            rows = block.vectors[slots[at]]
+            rows *= heavy[at][:, None]
+            summed = np.zeros((len(used) + 1, rows.shape[1]), np.float32)  # the last stays 0
+            summed[:-1] = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
+
+            def of(halfs: np.ndarray, used: np.ndarray = used, summed: np.ndarray = summed) -> np.ndarray:
+                x = np.minimum(np.searchsorted(used, halfs), len(used) - 1)
+                return summed[np.where(used[x] == halfs, x, len(used))]
+
+            sums = of(one) + of(np.where(has_two, two, -1))
+            upper = (sums @ block.latent.T) / np.sqrt(total[part])[:, None]
+            for r, item in zip(*np.nonzero(upper >= cosine), strict=True):
+                j = part[r]
+                size = _weights(words[start[j] : stop[j]], index.idf)[2]
+                score = float(upper[r, item]) * float(np.sqrt(total[j])) / size
+                if score >= cosine:
+                    yield int(row[j]), int(start[j]), int(block.items[item]), score
 
 
 def leaks_of(words: np.ndarray, first: np.ndarray, index: Index, window: int = WINDOW, cosine: float = COSINE) -> dict[tuple[int, int], tuple[float, float, float, int]]:
@@ -311,11 +366,15 @@ LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, st
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """One row for each document row and benchmark item that it holds."""
-    spark = docs.sparkSession
-    index = build_index(docs, benchmark, rank)
-    if index is None:
-        return spark.createDataFrame([], LEAKS)
-    sent = spark.sparkContext.broadcast(index.closed())  # bounded by FEATURES, RANK and MAX_BENCHMARK_BYTES
+    out = None
+    for index in build_indexes(docs, benchmark, rank):
+        found = _leaks_by(docs, index)
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], LEAKS) if out is None else out
+
+
+def _leaks_by(docs: DataFrame, index: Index) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index.closed())  # bounded by FEATURES, RANK and PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = Index(**sent.value).opened()
@@ -331,9 +390,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataF
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; nothing is shuffled."""
-    index = build_index(docs, benchmark, rank)
-    if index is None:
-        return docs
+    out = docs
+    for k, index in enumerate(build_indexes(docs, benchmark, rank)):
+        out = _kept_by(stored(out) if k else out, index)
+    return out
+
+
+def _kept_by(docs: DataFrame, index: Index) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index.closed())
     at = docs.columns.index("text")
 
