@@ -9,9 +9,13 @@
    vectors. The passages go in blocks of at most ``RANK``, each with a space of its own
    that spans them, so nothing is lost whatever the benchmark's size.
 3. Windows of ``WINDOW`` words, half overlapping, of every whole text are the corpus's
-   passages. A window's cosine with an item is bounded by the share of its weight on
-   the benchmark's features; windows below ``COSINE`` by this bound are done. The rest
-   are projected, and their cosine with all items (over their full length) decides.
+   passages. Their cosine with an item is scaled by the window's length over the item's:
+   so it is the share of the item's weight that the window holds, and a short item in
+   other text scores as a long one does. Windows whose words can't bring ``COSINE`` to
+   any item are done; the rest are projected, and their scaled cosine with all items
+   decides. An item with half its words replaced at random keeps about half its weight.
+   (No strict bound: a paraphrase that keeps little but an item's most frequent words,
+   under ``COSINE`` of its weight, is not looked at.)
 4. Candidates are verified on the words around the window: the longest common
    subsequence with the item, as a share of the item, and the answer check: the share of
    the words of the item's last sentence that are there.
@@ -48,7 +52,9 @@ RANK = 256
 #: Items that one pass over the documents searches for.
 PART = 1024
 WINDOW = 48
-COSINE = 0.35
+#: Least cosine, times the window's length over the item's: the share of the item's
+#: weight that the window holds, whatever else it holds.
+COSINE = 0.2
 COPY = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.5
@@ -106,12 +112,15 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 @dataclass
 class Block:
     """At most RANK items in a latent space that they span. vocabulary: their features;
-    basis: a row for each of these; latent: the items, over their length; items: their
-    numbers."""
+    basis: a row for each of these; shares: the largest share of an item's weight that one
+    such word brings; latent: the items, over their squared length; lost: what the space
+    leaves out of them, alike; items: their numbers."""
 
     vocabulary: np.ndarray
     basis: np.ndarray
+    shares: np.ndarray
     latent: np.ndarray
+    lost: np.ndarray
     items: np.ndarray
 
     def opened(self) -> Block:
@@ -232,11 +241,14 @@ def _index(spark: SparkSession, items: list[tuple], codes: np.ndarray, rank: int
     for b in range(count):
         at, of = np.flatnonzero(keys >> 20 == b), np.flatnonzero(block == b)
         vocabulary = keys[at] & (FEATURES - 1)
-        latent = np.zeros((len(of), basis.shape[1]))
+        shares, latent, lost = np.zeros(len(at)), np.zeros((len(of), basis.shape[1])), np.zeros(len(of))
         for k, i in enumerate(of):
             f, w, size = _weights(items[i][1], idf)
-            latent[k] = (w / size) @ basis[at[np.searchsorted(vocabulary, f)]]
-        blocks.append(Block(vocabulary, basis[at].astype(np.float16), latent.astype(np.float32), of))
+            slots = np.searchsorted(vocabulary, f)
+            shares[slots] = np.maximum(shares[slots], w * idf[f] / size**2)
+            latent[k] = (w / size**2) @ basis[at[slots]]
+            lost[k] = np.sqrt(max(0.0, size**-2 - (latent[k] ** 2).sum()))
+        blocks.append(Block(vocabulary, basis[at].astype(np.float16), shares, latent.astype(np.float32), lost.astype(np.float32), of))
     answers = []
     for _, _, text in items:
         sentences = [s for s in text.replace("\n", ". ").split(". ") if len(_item_words(s)) >= 2]
@@ -274,7 +286,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int, cosine: float):
-    """(row, window's first word, item, cosine) of the windows of a slice."""
+    """(row, window's first word, item, scaled cosine) of the windows of a slice."""
     step = window // 2
     counts = np.diff(first)
     per_row = np.where(counts > 0, np.maximum(1, -(-(counts - window) // step) + 1), 0)
@@ -284,8 +296,6 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     stop = np.minimum(start + window, first[row + 1])
     f = _features(words)
     w = index.idf[f].astype(np.float64)
-    everything = np.concatenate([[0.0], np.cumsum(w * w)])
-    total = everything[stop] - everything[start]
     # A window is two halves; every half is summed once.
     halves = -(-counts // step)
     base = np.cumsum(halves) - halves
@@ -294,15 +304,13 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
     half_end = np.minimum(half_at + step, first[half_row + 1])
     for block in index.blocks:
         active = block.active[f]
-        # Without repeats within a window, so the share is a little off: a margin makes up.
-        squares = np.concatenate([[0.0], np.cumsum(np.where(active, w * w, 0.0))])
-        mass = squares[stop] - squares[start]
-        near = np.flatnonzero((mass > 0) & (mass >= 0.7 * cosine**2 * total))
-        # The projection is exact; the length without repeats is at most the true one, so
-        # these scores are upper bounds.
         before = np.concatenate([[0], np.cumsum(active)])
         slots = np.searchsorted(block.vocabulary, f[active])
         heavy = w[active].astype(np.float32)
+        # No item can get more from a window than the largest shares of its words.
+        most = np.concatenate([[0.0], np.cumsum(block.shares[slots])])
+        near = np.flatnonzero(most[before[stop]] - most[before[start]] >= cosine - 1e-6)
+        reach = np.concatenate([[0.0], np.cumsum(heavy, dtype=np.float64)])
         for c in range(0, len(near), 4096):
             part = near[c : c + 4096]
             one = base[row[part]] + k[part]
@@ -322,19 +330,26 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
                 return summed[np.where(used[x] == halfs, x, len(used))]
 
             sums = of(one) + of(np.where(has_two, two, -1))
-            upper = (sums @ block.latent.T) / np.sqrt(total[part])[:, None]
+            length = (reach[before[stop[part]]] - reach[before[start[part]]]).astype(np.float32)
+            upper = sums @ block.latent.T + np.outer(length, block.lost)
             for r, item in zip(*np.nonzero(upper >= cosine), strict=True):
                 j = part[r]
-                size = _weights(words[start[j] : stop[j]], index.idf)[2]
-                score = float(upper[r, item]) * float(np.sqrt(total[j])) / size
-                if score >= cosine:
-                    yield int(row[j]), int(start[j]), int(block.items[item]), score
+                yield int(row[j]), int(start[j]), int(block.items[item]), float(upper[r, item])
+
+
+def _cosine(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+    f, v, size = _weights(a, idf)
+    g, w, length = _weights(b, idf)
+    _, i, j = np.intersect1d(f, g, assume_unique=True, return_indices=True)
+    return float((v[i] * w[j]).sum() / (size * length))
 
 
 def leaks_of(words: np.ndarray, first: np.ndarray, index: Index, window: int = WINDOW, cosine: float = COSINE) -> dict[tuple[int, int], tuple[float, float, float, int]]:
     """(row, item) to (cosine, subsequence share, answer share, first word) of the leaks."""
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for row, start, item, score in _candidates(words, first, index, window, cosine):
+    for row, start, item in sorted({c[:3] for c in _candidates(words, first, index, window, cosine)}):
+        if (row, item) in out and out[row, item][1] == 1:
+            continue
         target = index.words[item]
         n = len(target)
         a, b = max(int(first[row]), start - n), min(int(first[row + 1]), start + window + n)
@@ -345,9 +360,9 @@ def leaks_of(words: np.ndarray, first: np.ndarray, index: Index, window: int = W
         if share >= COPY or (share >= PARAPHRASE and answer >= ANSWER):
             if n < SHORT and share < 1:
                 continue
-            best = (score, share, answer, start - int(first[row]))
-            if (row, item) not in out or best[1] > out[row, item][1]:
-                out[row, item] = best
+            if (row, item) not in out or share > out[row, item][1]:
+                score = _cosine(words[start : min(start + window, int(first[row + 1]))], target, index.idf)
+                out[row, item] = (score, share, answer, start - int(first[row]))
     return out
 
 

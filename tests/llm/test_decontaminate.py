@@ -86,3 +86,27 @@ def test_every_item_of_a_benchmark_beyond_the_rank_is_found(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(d, b).collect()} >= {(i, i) for i, _ in items}
     assert dc.drop_leaking(d, b).count() == 0
+
+
+def test_paraphrases_of_short_items_against_brute_force_over_the_rule(spark):
+    docs, items, _ = make(7)
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(text.split()[:14]) + ".") for i, text in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = dc.build_index(d, b).opened()
+    long = [text.split() for _, text in docs if len(text.split()) > 200]
+    want = found = 0
+    for trial in range(400):
+        k, body, other = trial % len(items), long[rng.integers(len(long))], long[rng.integers(len(long))]
+        w = [str(rng.choice(other)) if rng.random() < 0.3 else x for x in items[k][1].split()]
+        at = int(rng.integers(60, 120))
+        words = dc._item_words(" ".join(body[:at] + w + body[at : at + 80]))
+        target, answer = index.words[k], index.answers[k]
+        for s in range(0, len(words) - dc.WINDOW // 2, dc.WINDOW // 2):
+            near = words[max(0, s - len(target)) : s + dc.WINDOW + len(target)].tolist()
+            share = dc.common_subsequence(near, target.tolist()) / len(target)
+            if share >= dc.COPY or (share >= dc.PARAPHRASE and len(answer & set(near)) >= dc.ANSWER * len(answer)):
+                want += 1
+                found += (0, k) in dc.leaks_of(words, np.array([0, len(words)]), index)
+                break
+    assert want > 300 and found >= 0.99 * want
