@@ -3,19 +3,21 @@
 1. Words (runs of letters, lower-cased) fall into 2^20 hash features. Document counts of
    all documents give their inverse document frequencies: small, but never 0, for the
    most frequent ones, so an item that many documents hold keeps its weight.
-2. The benchmark's passages form a TF-IDF matrix. A randomised SVD of it, with power
-   iterations, runs over the distributed benchmark: each round sends a thin matrix out
-   and adds up the parts' products. The latent space is spanned by the right singular
-   vectors. The passages go in blocks of at most ``RANK``, each with a space of its own
+2. Items are cut into passages of at most half a window, so that a copy of a passage lies
+   within one window, however long the item. The benchmark's passages form a TF-IDF
+   matrix. A randomised SVD of it, with power iterations, runs over the distributed
+   benchmark: each round sends a thin matrix out and adds up the parts' products. The
+   latent space is spanned by the right singular vectors. The passages go in blocks of at most ``RANK``, each with a space of its own
    that spans them, so nothing is lost whatever the benchmark's size.
 3. Windows of ``WINDOW`` words, half overlapping, of every whole text are the corpus's
-   passages. Their cosine with an item is scaled by the window's length over the item's:
-   so it is the share of the item's weight that the window holds, and a short item in
-   other text scores as a long one does. Windows whose words can't bring ``COSINE`` to
-   any item are done; the rest are projected, and their scaled cosine with all items
-   decides. An item with half its words replaced at random keeps about half its weight.
-   (No strict bound: a paraphrase that keeps little but an item's most frequent words,
-   under ``COSINE`` of its weight, is not looked at.)
+   passages. Their cosine with a passage is scaled by the window's length over the
+   passage's: so it is the share of the passage's weight that the window holds, and a
+   short item in other text scores as a long one does. Windows whose words can't bring
+   ``COSINE`` to any passage are done; the rest are projected, and their scaled cosine
+   with all passages decides; a hit is a candidate for the passage's whole item. Who keeps
+   half of an item's words keeps half of the words of one of its passages, at random
+   about half its weight. (No strict bound: a paraphrase that keeps little but the most
+   frequent words, under ``COSINE`` of each passage's weight, is not looked at.)
 4. Candidates are verified on the words around the window: the longest common
    subsequence with the item, as a share of the item, and the answer check: the share of
    the words of the item's last sentence that are there.
@@ -25,8 +27,8 @@ more with at least ``ANSWER`` of the answer's words. Items of under ``SHORT`` wo
 there as a whole.
 
 The benchmark must be small enough to send to every executor; ``MAX_BENCHMARK_BYTES`` is
-checked, and a larger one is an error (call it with parts of it then). Of ``PART`` items
-or more, every ``PART`` are a pass over the documents of their own.
+checked, and a larger one is an error (call it with parts of it then). Beyond ``PART``
+passages, every ``PART`` are a pass over the documents of their own.
 
 Defined results: null texts have no words and no leaks; items without words leak
 nowhere; repeated rows are judged alike; null doc_id is kept as null; other columns are
@@ -49,11 +51,11 @@ from lexiquarry.llm.language import _lowered, _pieces, letter_words
 
 FEATURES = 1 << 20
 RANK = 256
-#: Items that one pass over the documents searches for.
+#: Passages that one pass over the documents searches for (or those of one item).
 PART = 1024
 WINDOW = 48
-#: Least cosine, times the window's length over the item's: the share of the item's
-#: weight that the window holds, whatever else it holds.
+#: Least cosine, times the window's length over the passage's: the share of the
+#: passage's weight that the window holds, whatever else it holds.
 COSINE = 0.2
 COPY = 0.75
 PARAPHRASE = 0.5
@@ -111,10 +113,10 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Block:
-    """At most RANK items in a latent space that they span. vocabulary: their features;
-    basis: a row for each of these; shares: the largest share of an item's weight that one
-    such word brings; latent: the items, over their squared length; lost: what the space
-    leaves out of them, alike; items: their numbers."""
+    """At most RANK passages in a latent space that they span. vocabulary: their features;
+    basis: a row for each of these; shares: the largest share of a passage's weight that
+    one such word brings; latent: the passages, over their squared length; lost: what the
+    space leaves out of them, alike; items: the number of each one's item."""
 
     vocabulary: np.ndarray
     basis: np.ndarray
@@ -133,7 +135,7 @@ class Block:
 @dataclass
 class Index:
     """What executors need. codes: 16 times the inverse document frequency of each
-    feature; blocks: the items' latent spaces; words and answers of items."""
+    feature; blocks: the passages' latent spaces; words and answers of items."""
 
     codes: np.ndarray
     blocks: list[Block]
@@ -230,12 +232,18 @@ def frequency_codes(docs: DataFrame) -> np.ndarray:
     return np.clip(np.rint(np.log((2.0 + n) / (1.0 + df)) * 16), 1, 255).astype(np.uint8)
 
 
+def _passages(words: np.ndarray) -> list[np.ndarray]:
+    """An item in parts alike in size, of at most half a window."""
+    return np.array_split(words, -(-len(words) // (WINDOW // 2)))
+
+
 def _index(spark: SparkSession, items: list[tuple], codes: np.ndarray, rank: int) -> Index:
     idf = codes / 16.0
-    count = -(-len(items) // rank)
-    block = np.arange(len(items)) * count // len(items)
-    keys = np.unique(np.concatenate([(b << 20) | _features(w) for b, (_, w, _) in zip(block, items, strict=True)]))
-    passages = spark.createDataFrame([(int(b), w.view(np.int64).tolist()) for b, (_, w, _) in zip(block, items, strict=True)], "block long, words array<long>")
+    pieces = [(i, part) for i, (_, words, _) in enumerate(items) for part in _passages(words)]
+    count = -(-len(pieces) // rank)
+    block = np.arange(len(pieces)) * count // len(pieces)
+    keys = np.unique(np.concatenate([(b << 20) | _features(w) for b, (_, w) in zip(block, pieces, strict=True)]))
+    passages = spark.createDataFrame([(int(b), w.view(np.int64).tolist()) for b, (_, w) in zip(block, pieces, strict=True)], "block long, words array<long>")
     basis = randomised_svd(passages, idf, keys, int(np.bincount(block).max()))
     blocks = []
     for b in range(count):
@@ -243,12 +251,12 @@ def _index(spark: SparkSession, items: list[tuple], codes: np.ndarray, rank: int
         vocabulary = keys[at] & (FEATURES - 1)
         shares, latent, lost = np.zeros(len(at)), np.zeros((len(of), basis.shape[1])), np.zeros(len(of))
         for k, i in enumerate(of):
-            f, w, size = _weights(items[i][1], idf)
+            f, w, size = _weights(pieces[i][1], idf)
             slots = np.searchsorted(vocabulary, f)
             shares[slots] = np.maximum(shares[slots], w * idf[f] / size**2)
             latent[k] = (w / size**2) @ basis[at[slots]]
             lost[k] = np.sqrt(max(0.0, size**-2 - (latent[k] ** 2).sum()))
-        blocks.append(Block(vocabulary, basis[at].astype(np.float16), shares, latent.astype(np.float32), lost.astype(np.float32), of))
+        blocks.append(Block(vocabulary, basis[at].astype(np.float16), shares, latent.astype(np.float32), lost.astype(np.float32), np.array([pieces[i][0] for i in of])))
     answers = []
     for _, _, text in items:
         sentences = [s for s in text.replace("\n", ". ").split(". ") if len(_item_words(s)) >= 2]
@@ -266,8 +274,16 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> It
     """As build_index, in parts of a size that executors hold."""
     items = benchmark_items(benchmark)
     codes = frequency_codes(docs) if items else None
-    for k in range(0, len(items), PART):
-        yield _index(docs.sparkSession, items[k : k + PART], codes, rank)
+    part, size = [], 0
+    for item in items:
+        n = len(_passages(item[1]))
+        if part and size + n > PART:
+            yield _index(docs.sparkSession, part, codes, rank)
+            part, size = [], 0
+        part.append(item)
+        size += n
+    if part:
+        yield _index(docs.sparkSession, part, codes, rank)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -307,7 +323,7 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
         before = np.concatenate([[0], np.cumsum(active)])
         slots = np.searchsorted(block.vocabulary, f[active])
         heavy = w[active].astype(np.float32)
-        # No item can get more from a window than the largest shares of its words.
+        # No passage can get more from a window than the largest shares of its words.
         most = np.concatenate([[0.0], np.cumsum(block.shares[slots])])
         near = np.flatnonzero(most[before[stop]] - most[before[start]] >= cosine - 1e-6)
         reach = np.concatenate([[0.0], np.cumsum(heavy, dtype=np.float64)])

@@ -110,3 +110,12 @@ def test_paraphrases_of_short_items_against_brute_force_over_the_rule(spark):
                 found += (0, k) in dc.leaks_of(words, np.array([0, len(words)]), index)
                 break
     assert want > 300 and found >= 0.99 * want
+
+
+def test_long_items_are_found(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+    items = [(n, text(n)) for n in (400, 600, 1000)]
+    docs = [(n, f"{text(100)} {item} {text(100)}") for n, item in items] + [(0, text(900))]
+    leaks = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect() if r["lcs"] == 1} == {(n, n) for n, _ in items}
