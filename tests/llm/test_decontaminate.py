@@ -81,8 +81,9 @@ def test_item_that_many_documents_hold_is_found_in_all(spark):
 def test_every_item_of_a_benchmark_beyond_the_rank_is_found(spark, monkeypatch):
     monkeypatch.setattr(dc, "PART", 400, raising=False)
     rng = np.random.default_rng(6)
-    items = [(i, " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30))) for i in range(600)]
-    d = spark.createDataFrame([(i, text) for i, text in items], "doc_id long, text string")
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    items = [(i, text(30)) for i in range(600)]
+    d = spark.createDataFrame([(i, f"{text(50)} {item} {text(50)}") for i, item in items], "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(d, b).collect()} >= {(i, i) for i, _ in items}
     assert dc.drop_leaking(d, b).count() == 0
