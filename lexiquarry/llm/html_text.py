@@ -8,7 +8,8 @@ dropped node all is dropped. So no descendant contradicts its ancestor. Text is
 if its element and all ancestors are.
 
 The trees are fitted on the driver, always alike, on invented pages whose parts are
-known. Scripts, styles and the like hold no text at all.
+known. Scripts, styles and the like hold no text at all. Pages are read in one pass, in
+time that grows with their length whatever their markup.
 
 Defined results: null html is an empty page; a page without main text gives an empty
 string; broken markup is read as far as it goes (tags may be missing or unclosed);
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +34,16 @@ from lexiquarry.llm.boosting import Trees, fit_trees
 from lexiquarry.llm.common import bounded_batches
 
 SEED = 77
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: What stands in a tag after its name, with whole quoted values.
+_QUOTED = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+#: So many tags of a page may have quotes that never close; then quotes no longer count.
+_OPEN_QUOTES = 8
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup.
-_RAW = frozenset("script style textarea title noscript template xmp iframe svg math select option button".split())
+#: Elements whose content is not markup, and those that hold no text.
 _OPAQUE = frozenset("script style textarea title xmp iframe".split())
-_SILENT = frozenset("script style textarea title noscript template xmp iframe svg math select option button head".split())
+_SILENT = frozenset("script style textarea title noscript template iframe svg select option button head".split())
 _BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option select".split()
 )
@@ -51,7 +56,9 @@ _ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-_P_BARRIER = {"button", "table", "td", "th", "caption", "body", "html"}
+_P_BARRIER = ("button", "table", "td", "th", "caption", "body", "html")
+#: Only the end tags of these reach beyond a table.
+_FAR_ENDS = frozenset("table body html article main div section".split())
 _KEEP_P = frozenset("body html option select tbody td tfoot th thead tr caption".split())
 
 #: Words of class, id and role by topic (fixed values of the features).
@@ -79,7 +86,7 @@ class Page:
     parent, tag, topics: one entry for each element. pieces: (element, text, new block)
     in order; a piece starts a block or goes on with the one before."""
 
-    __slots__ = ("parent", "pieces", "tag", "topics", "links")
+    __slots__ = ("parent", "pieces", "tag", "topics")
 
     def __init__(self) -> None:
         self.parent: list[int] = [-1]
@@ -103,13 +110,51 @@ def _topics(attributes: str) -> int:
     return bits
 
 
+def _tags(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, closing) of the tags; comments and declarations have
+    no name. Every character is looked at a bounded number of times: a tag that never ends
+    is text, and quotes that never close stop to count after ``_OPEN_QUOTES`` of them. The
+    caller may send the position to go on from."""
+    at, bad = 0, 0
+    last = source.rfind(">")
+    while (i := source.find("<", at)) >= 0:
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = len(source) if end < 0 else end + 3
+            yield i, at, "", "", False
+            continue
+        if i > last:
+            return
+        m = _NAME.match(source, i)
+        if m is None:
+            if source[i + 1 : i + 2] not in ("!", "?"):
+                at = i + 1
+                continue
+            at = source.find(">", i) + 1
+            yield i, at, "", "", False
+            continue
+        quoted = _QUOTED.match(source, m.end()) if bad < _OPEN_QUOTES else None
+        if quoted is None:
+            bad += 1
+            at = source.find(">", m.end()) + 1
+            if not at:
+                return
+        else:
+            at = quoted.end()
+        further = yield i, at, m.group(2).lower(), source[m.end() : at - 1], m.group(1) == "/"
+        if further is not None:
+            at = further
+            yield i, at, "", "", False
+
+
 def parse(source: str) -> Page:
-    """Elements and text of a page; never fails."""
+    """Elements and text of a page; never fails, and takes time in proportion to its length."""
     page = Page()
     stack = [0]
+    places: dict[str, list[int]] = {"html": [0]}  # where in the stack open elements stand, by name
     parent, tag, topics, pieces = page.parent, page.tag, page.topics, page.pieces
     at, fresh, n = 0, True, len(source)
-    low = None
+    ends: dict[str, re.Pattern] = {}
 
     def say(text: str) -> None:
         nonlocal fresh
@@ -117,76 +162,69 @@ def parse(source: str) -> Page:
             pieces.append((stack[-1], text, fresh))
             fresh = False
 
+    def nearest(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def close_to(depth: int) -> None:
         nonlocal fresh
-        if any(tag[stack[k]] in _BLOCK for k in range(depth, len(stack))):
-            fresh = True
-        del stack[depth:]
+        while len(stack) > depth:
+            name = tag[stack.pop()]
+            places[name].pop()
+            fresh = fresh or name in _BLOCK
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            say(source[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None or m.group(1) in ("!", "?"):
+    def opened(name: str, attributes: str) -> None:
+        parent.append(stack[-1])
+        tag.append(name)
+        topics.append(_topics(attributes) if attributes else 0)
+        places.setdefault(name, []).append(len(stack))
+        stack.append(len(tag) - 1)
+
+    found = _tags(source)
+    for start, end, name, attributes, closing in found:
+        if start > at:
+            say(source[at:start])
+        at = max(at, end)
+        if not name:
             continue
-        name = name.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    close_to(k)
-                    break
-                if tag[stack[k]] in ("table", "body") and name not in ("table", "body", "html", "article", "main", "div", "section"):
-                    break
+        if closing:
+            k = nearest((name,))
+            if k and (name in _FAR_ENDS or k >= nearest(("table", "body"))):
+                close_to(k)
             continue
         if name == "br":
             say(" ")
             continue
         if name in _VOID:
-            if name == "hr":
-                fresh = True
+            fresh = fresh or name == "hr"
+            continue
+        if name == "html" or (name == "body" and places.get("body")):
             continue
-        if name in ("html", "body"):
-            if name == "html" or (len(stack) > 1 and any(tag[x] == "body" for x in stack)):
-                topics[0] |= 0
-                continue
         if name in _ENDS:
-            ends, barrier = _ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in barrier:
-                    break
-                if tag[stack[k]] in ends:
-                    close_to(k)
-                    if name != "tr":
-                        break
-        elif name in _BLOCK and name not in _KEEP_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in _P_BARRIER:
-                    break
-                if tag[stack[k]] == "p":
-                    close_to(k)
-                    break
+            kinds, barriers = _ENDS[name]
+            wall = nearest(barriers)
+            inner = [p for x in kinds for p in places.get(x, ())[-1:] if p > wall]
+            if inner and name != "tr":
+                close_to(max(inner))
+            elif inner:  # a row ends cells and rows back to its table
+                close_to(min(places[x][bisect_right(places[x], wall)] for x in kinds if places.get(x) and places[x][-1] > wall))
+        elif name in _BLOCK and name not in _KEEP_P and places.get("p") and (k := nearest(("p",))) > nearest(_P_BARRIER):
+            close_to(k)
         if name in _OPAQUE:
-            low = source.lower() if low is None else low
-            if len(low) == n:
-                end = low.find("</" + name, at)
-            else:
-                found = re.compile("</" + name, re.I).search(source, at)
-                end = found.start() if found else -1
-            end = n if end < 0 else end
-            close = source.find(">", end)
-            at = n if close < 0 else close + 1
+            pattern = ends.setdefault(name, re.compile(f"</{name}(?![A-Za-z0-9:-])", re.I))
+            close = pattern.search(source, at)
+            stop = close.start() if close else n
+            if name == "xmp":  # text as it stands, though not markup
+                fresh = True
+                say(source[at:stop].replace("&", "&amp;"))
+                fresh = True
+            after = source.find(">", stop)
+            at = n if after < 0 else after + 1
+            found.send(at)
             continue
         if name in _BLOCK:
             fresh = True
-        if m.group(3).endswith("/") and name not in _BLOCK:
-            continue
-        parent.append(stack[-1])
-        tag.append(name)
-        topics.append(_topics(m.group(3)) if m.group(3) else 0)
-        stack.append(len(tag) - 1)
+        if not (attributes.endswith("/") and name not in _BLOCK):
+            opened(name, attributes)
     if at < n:
         say(source[at:])
     return page
@@ -205,7 +243,7 @@ def node_features(page: Page) -> np.ndarray:
     n = len(page.tag)
     text, linked, points, pieces = [0] * n, [0] * n, [0] * n, [0] * n
     depth, above, in_link = [0] * n, [0] * n, [False] * n
-    children, index, same, paras, links, tags = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [1] * n
+    children, index, paras, links, tags = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n
     in_article, heads = [0] * n, [0] * n
     for i in range(1, n):
         p = page.parent[i]
@@ -238,7 +276,6 @@ def node_features(page: Page) -> np.ndarray:
         heads[p] += heads[i]
         tags[p] += tags[i]
         longest[p] = max(longest[p], longest[i])
-        same[p] += 0
     total = max(1, text[0])
     rows = []
     for i in range(n):
