@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,16 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """Checkpoints go to spark.checkpoint.dir. Where it is unset, a folder of our own serves
+    a local session (tests); on a cluster, whose machines don't share folders, that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiquarry-checkpoint-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="lexiquarry-checkpoint-")
     sc.setCheckpointDir(where)
 
 
@@ -36,12 +42,26 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lexiquarry-{spark.sparkContext.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Removes all tables that ``stored`` wrote in this application. DataFrames that still
+    read them can't be used any more; long sessions call it between jobs."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: smaller than a
-    checkpoint, and later reads take only the columns and rows they need."""
+    checkpoint, and later reads take only the columns and rows they need. It stays until
+    ``clear_stored``, as the rows of a result may still depend on it."""
     spark = df.sparkSession
     shared_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lexiquarry-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,9 @@ them come resemblance, containment and distinct counts. Written down, a sketch i
 Defined results: null text is the empty text, whose sketch is ``0:``; two empty
 sketches resemble each other by 1.0, an empty and another one by 0.0. Documents follow
 each other by doc_id (null last), rows with the same doc_id by text. After the last
-document comes the first, so a lone document is followed by itself.
+document comes the first, so a lone document is followed by itself. Repeated rows follow
+each other. A text of any length is read whole; texts go through a worker a few at a time.
+Other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

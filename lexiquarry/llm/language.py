@@ -5,10 +5,14 @@ Latin-1 letters lower-cased. Its features are hashed: first 1 to 3 and last 1 to
 bytes, the whole word (the lexicon), and its byte trigrams. Transitions between the
 languages of neighbouring words are learned; forward-backward over chains of at most
 ``CHAIN`` words gives each word's posteriors, and a document takes the language with
-the largest mean. So a code-switched text has labels for each word.
+the largest mean. So a code-switched text has labels for each word. A chain starts anew
+after ``CHAIN`` words, and a text of over ``PIECE`` bytes is read in pieces, each with
+chains of its own: a word near such a start has its neighbours on one side only.
 
 The model is fitted on at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS``
-characters, those with the least hash of their doc_id. Only text and lang are used.
+characters, those with the least hash of their doc_id, and on as many chains that join
+runs of words of several of them, so that switches are learned. Only text and lang are
+used.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
 everything when there is no labelled row. Repeated rows are judged alike; other columns
@@ -97,9 +101,11 @@ def word_scores(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
     return scores
 
 
-def _training_batch(texts: list[bytes], y: list[int]):
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+def _training_batch(rows: list[list[tuple[bytes, int]]]):
+    """rows: parts (text, label), one after the other, of each chain of words."""
+    parts = [(t + b" ", y) for row in rows for t, y in row]
+    data = np.frombuffer(b"".join(t for t, _ in parts), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in parts])]).astype(np.int64)
     low = _lowered(data)
     starts, ends, first = letter_words(data, offs)
     counts = np.diff(first)
@@ -111,22 +117,39 @@ def _training_batch(texts: list[bytes], y: list[int]):
     bucket.append(_trigrams(low)[at] if len(at) else at)
     token.append(np.repeat(np.arange(len(starts)), np.maximum(ends - starts - 2, 0)))
     token, bucket = np.concatenate(token), np.concatenate(bucket)
-    return (token, bucket, np.ones(len(token))), np.repeat(np.array(y), counts), *chains(counts, CHAIN)
-
-
-def fit_languages(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 2) -> Crf | None:
-    """A model from text and lang of a bounded sample of ``labelled``."""
-    rows = labelled.select("text", "lang", F.xxhash64("doc_id").alias("at")).filter(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-    last = rows.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    rows = [] if last is None else sorted(rows.filter(F.col("at") <= last).limit(2 * sample).collect(), key=lambda r: (r["at"], r["text"], r["lang"]))[:sample]
+    whole = np.add.reduceat(counts, np.cumsum([0, *map(len, rows)])[:-1])
+    return (token, bucket, np.ones(len(token))), np.repeat(np.array([y for _, y in parts]), counts), *chains(whole, CHAIN)
+
+
+def switched(docs: list[tuple[bytes, int]], rng: np.random.Generator) -> list[tuple[bytes, int]]:
+    """One chain of runs of 2 to 15 words, each from another document."""
+    cut = [(t.split(), y) for t, y in docs]
+    out = []
+    for k in rng.integers(len(cut), size=int(rng.integers(3, 10))):
+        words, y = cut[int(k)]
+        if words:
+            at, n = int(rng.integers(len(words))), int(rng.integers(2, 16))
+            out.append((b" ".join(words[at : at + n]), y))
+    return out or [docs[0]]
+
+
+def fit_languages(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 2, seed: int = 3) -> Crf | None:
+    """A model from text and lang of a bounded sample of ``labelled``: whole documents, and
+    as many chains that switch between the languages of several."""
+    key = F.struct(F.xxhash64("doc_id").alias("at"), F.xxhash64("text", "lang").alias("tie"))
+    rows = labelled.select("text", "lang", key.alias("key")).filter(F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
+    last = rows.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+    # Rows of one key are alike, so it doesn't matter which of them the limit leaves.
+    rows = [] if last is None else sorted(rows.filter(F.col("key") <= F.struct(*[F.lit(x).cast("long") for x in last])).limit(2 * sample).collect(), key=lambda r: (r["key"], r["text"], r["lang"]))[:sample]
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
     number = {x: i for i, x in enumerate(labels)}
+    rng = np.random.default_rng(seed)
     batches = []
     for i in range(0, len(rows), 25):
-        part = rows[i : i + 25]
-        batch = _training_batch([r["text"].encode("utf-8", "surrogatepass") for r in part], [number[r["lang"]] for r in part])
+        part = [(r["text"].encode("utf-8", "surrogatepass"), number[r["lang"]]) for r in rows[i : i + 25]]
+        batch = _training_batch([[x] for x in part] + [switched(part, rng) for _ in part])
         if len(batch[1]):
             batches.append(batch)
     return fit(labels, batches, BUCKETS, epochs)

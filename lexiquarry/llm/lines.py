@@ -6,8 +6,9 @@ stays itself. Lines without words stay.
 
 1. Words are ordered by rarity: counts over all lines in 65,536 hash buckets, each word
    by its bucket's rank, then its hash. This is one order for all lines.
-2. Lines with equal sets: all but the first go. (Sets are known by a 64-bit hash of
-   their word hashes.)
+2. Lines with equal sets: all but the first go. (Sets are known by their size, a 64-bit
+   hash of their word hashes and a 64-bit parity of them; words by 47 bits of a hash within
+   their bucket, of 65,536.)
 3. Different sets: similar ones share a word of their prefixes, the n - ceil(4n/5) + 1
    rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
    of word hashes (their difference is a lower bound of the symmetric difference) sort
@@ -21,7 +22,9 @@ shuffles are bit arrays of fixed size; they only let too much through.
 
 Defined results: null text is one line without words; rows that share a doc_id do not
 remove each other's lines of the same number; null doc_id counts as the largest; other
-columns are ignored; an empty table gives an empty table.
+columns are ignored, whatever their names; repeated rows (id and text) are one row of the
+report and keep each other's lines; a line or text may have any length, though a line's
+words are one array in memory; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -81,6 +84,8 @@ def _parity(toks: Column) -> Column:
     return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
+#: What a set is known by.
+_SET = ("sid", "n", "sig")
 #: What a line's parities are called: of all words, and (long lines) of three quarters.
 _SIGNS = ("sig", "q1", "q2", "q3")
 
@@ -114,10 +119,10 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     """Lines (id, at, sig) that have an earlier line of another, similar set."""
     # Of equal sets only the first line goes on. Few lines have one, and only those join.
     lines = sets.filter("n > 3")
-    again = distinct.filter("c > 1").select("sid", "first")
-    twice = _sieve(again.select(F.xxhash64("sid").alias("h")))
-    marked = lines.withColumn("h", F.xxhash64("sid"))
-    maybe = marked.filter(twice).join(again, "sid", "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+    again = distinct.filter("c > 1").select(*_SET, "first")
+    twice = _sieve(again.select(F.xxhash64(*_SET).alias("h")))
+    marked = lines.withColumn("h", F.xxhash64(*_SET))
+    maybe = marked.filter(twice).join(again, list(_SET), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
     lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     some = lines.select("id", where.alias("at"), *_SIGNS, "prefix")
@@ -189,13 +194,13 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
 def judged_lines(docs: DataFrame) -> DataFrame:
     """For every document row (id, th) the array ``gone``: for each line whether it goes."""
     sets = _line_sets(docs)
-    distinct = stored(sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")))
+    distinct = stored(sets.filter("n > 0").groupBy(*_SET).agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")))
     # A set goes as a whole if its first line does; its other lines go anyway.
     matched = _later_matches(docs, sets, distinct).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
-    matched = sets.select("id", "line_no", "sig", "sid").join(matched, ["id", "line_no", "sig"]).select("sid", F.struct("id", "line_no").alias("first"))
-    matched = matched.join(distinct, ["sid", "first"], "left_semi").select("sid", F.lit(True).alias("matched")).distinct()
-    facts = stored(distinct.select("sid", "first").join(matched, "sid", "left"))
-    flags = sets.select("id", "th", "line_no", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(facts, "sid", "left")
+    matched = sets.select("id", "line_no", *_SET).join(matched, ["id", "line_no", "sig"]).select(*_SET, F.struct("id", "line_no").alias("first"))
+    matched = matched.join(distinct, [*_SET, "first"], "left_semi").select(*_SET, F.lit(True).alias("matched")).distinct()
+    facts = stored(distinct.select(*_SET, "first").join(matched, list(_SET), "left"))
+    flags = sets.select("id", "th", "line_no", *_SET).join(facts, list(_SET), "left")
     gone = F.col("first").isNotNull() & (F.col("matched").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
     flags = flags.select("id", "th", "line_no", gone.alias("gone"))
     each = flags.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("line_no", "gone"))).alias("all"))
@@ -217,8 +222,9 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; a text keeps its other lines, joined by \\n."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": row_key()})
-    gone = stored(judged_lines(docs).filter(F.exists("gone", lambda g: g)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone")))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.col("_gone")[i]), "\n")
-    out = keyed.join(small(gone), ["_id", "_th"], "left").withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
+    gone = stored(judged_lines(docs).filter(F.exists("gone", lambda g: g)))
+    own = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.col("gone")[i]), "\n")
+    text = F.when(F.col("gone").isNotNull(), kept).otherwise(own).alias("text")
+    return keyed.join(small(gone), ["id", "th"], "left").select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

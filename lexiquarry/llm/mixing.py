@@ -12,9 +12,10 @@ of whole blocks before. The number of salts grows with the square root of the ro
 no source, however large, is one task's. Only the table of sources is in one task.
 
 Defined results: null text has size 0; null source is a source of its own, the last; a
-source of size 0 has target 0; repeated rows are documents of their own; an empty table
-gives an empty table; other columns are ignored. The offset comes from the source's
-name, so reruns agree.
+source of size 0 has target 0; repeated rows are documents of their own (in the mix itself
+one document with the copies of all); rows of one size and doc_id are told apart by their
+text's hash; texts may have any length; an empty table gives an empty table; other columns
+are ignored, whatever their names. The offset comes from the source's name, so reruns agree.
 """
 
 from __future__ import annotations
@@ -62,11 +63,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the number of the copy."""
-    taken = _mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": row_key()}).dropDuplicates(["_id", "_th"])
-    out = keyed.join(taken.hint("shuffle_hash"), keyed["_id"].eqNullSafe(taken["_id"]) & (keyed["_th"] == taken["_th"]))
-    return out.select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    """The mix itself: each document as often as it is taken, with the number of the copy in
+    a column ``copy`` (``copy_2`` and so on where the table has that name)."""
+    taken = _mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("taken_id"), F.col("th").alias("taken_th")).agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("th")).dropDuplicates(["id", "th"])
+    out = keyed.join(taken.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("th") == F.col("taken_th")))
+    have = {c.lower() for c in docs.columns}
+    name = next(n for n in ("copy", *(f"copy_{k}" for k in range(2, len(have) + 3))) if n not in have)
+    return out.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(name))
 
 
 def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -88,10 +92,10 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("name"),
         F.isnull("source").alias("unnamed"),
         (digits * 8 + F.expr("(size >> greatest(length(bin(size)) - 4, 0)) & 7")).alias("class"),
-        F.coalesce(F.pmod("doc_id", "salts"), F.lit(0)).alias("salt"),
+        F.coalesce(F.pmod("doc_id", "salts"), F.pmod("th", "salts")).alias("salt"),
     )
     key = ["unnamed", "name", "class", "salt"]
-    ranked = blocks.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("size", F.col("doc_id").asc_nulls_last())))
+    ranked = blocks.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("size", F.col("doc_id").asc_nulls_last(), "th")))
     before = W.partitionBy("unnamed", "name").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.groupBy(*key).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     plan = source_targets(sized, weights, cap).select(

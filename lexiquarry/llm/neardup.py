@@ -19,8 +19,9 @@ So all candidate pairs of different components are decided, without all pairs of
 
 Defined results: texts without words (null, empty) are equal to each other; a document
 without links is a class of its own; rows with the same doc_id and text are one class;
-null doc_id counts as the largest id; other columns are ignored; an empty table gives
-an empty table.
+null doc_id counts as the largest id; other columns are ignored, whatever their names; a
+text of any length is read as a whole, its shingles in one worker's memory; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -208,6 +209,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, size:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, the one with the least doc_id."""
-    kept = stored(near_duplicate_classes(docs, **options).filter("is_kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("th").alias("_th")).distinct())
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": row_key()})
-    return keyed.join(kept.hint("shuffle_hash"), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    kept = stored(near_duplicate_classes(docs, **options).filter("is_kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "th").distinct())
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
+    return keyed.join(kept.hint("shuffle_hash"), ["id", "th"]).dropDuplicates(["id", "th"]).select("row.*")

@@ -20,7 +20,8 @@ so a broadcast of it has no bound.
 
 Defined results: null text has no words; a text without a whole window keeps all words;
 documents that share a doc_id do not remove each other's words; null doc_id counts as
-the largest; other columns are ignored; an empty table gives an empty table.
+the largest; a text of any length is read whole; other columns are ignored, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds the terms in host, path and query. A term counts where
 no letter or digit touches it. One strict term rejects, and so do ``soft_hits`` distinct
 soft terms. Defined results: null or a value without ``://`` has empty host and path and
-no rule; repeated rows are judged alike; all other columns of the input are ignored.
+no rule; repeated rows are judged alike; a url of any length is read whole, once; all other
+columns of the input are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

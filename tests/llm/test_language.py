@@ -28,6 +28,37 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert r["n_switches"] == 1 and r["n_letter_words"] == 9
 
 
+def test_words_of_switched_texts(spark):
+    """Labels of single words in held-out texts whose language switches."""
+    d = docs(spark)
+    model = lg.fit_languages(d.filter("doc_id % 4 != 0"))
+    number = {x: i for i, x in enumerate(model.labels)}
+    held = [(r["text"].encode(), number[r["lang"]]) for r in d.filter("doc_id % 4 = 0").collect()]
+    rng = np.random.default_rng(7)
+    right = words = same = switches = 0
+    for _ in range(60):
+        parts = lg.switched(held, rng)
+        (token, bucket, value), y, first, length = lg._training_batch([parts])
+        scores = np.zeros((len(y), len(model.labels)))
+        np.add.at(scores, token, model.weights[bucket] * value[:, None])
+        best = forward_backward(scores, first, length, model.trans).argmax(axis=1)
+        right += int((best == y).sum())
+        words += len(y)
+        at = np.flatnonzero(y[1:] != y[:-1])
+        switches += len(at)
+        same += int(((best[at] == y[at]) & (best[at + 1] == y[at + 1])).sum())
+    assert right / words > 0.97 and same / switches > 0.9, (right / words, same / switches)
+    # Switches were seen, so staying is likelier but leaving is not ruled out.
+    stay = np.diag(model.trans).mean() - model.trans[~np.eye(len(model.labels), dtype=bool)].mean()
+    assert 0 < stay < 6, stay
+
+
+def test_many_rows_of_one_id_fit_alike(spark):
+    d = docs(spark, 300).selectExpr("cast(null as long) doc_id", "text", "lang")
+    one, two = lg.fit_languages(d, sample=50), lg.fit_languages(d.repartition(7), sample=50)
+    assert np.array_equal(one.weights, two.weights)
+
+
 def test_nulls_no_letters_long_texts_and_empty(spark, monkeypatch):
     d = docs(spark, 60)
     model = lg.fit_languages(d)
