@@ -15,6 +15,28 @@ reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
 
+def fold_sql(first: str, step: str) -> str:
+    """A fold of each user's events as recursive SQL: columns of the first event (e), and of
+    each next one by the row before (s)."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1e6 AS t, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ s AS (SELECT key, seq, n, t, {first} FROM e WHERE n = 1 UNION ALL SELECT e.key, e.seq, e.n, e.t, {step} FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) SELECT key, seq, decision FROM s"""
+
+
+_DAY = "CAST(86400 AS DOUBLE)"
+_TOKENS = "least(CAST(3 AS DOUBLE), s.tokens + greatest(CAST(0 AS DOUBLE), e.t - s.t) * (CAST(1 AS DOUBLE) / 43200))"
+_MINUTE = "least(CAST(2 AS DOUBLE), s.m + greatest(CAST(0 AS DOUBLE), e.t - s.t) * (CAST(2 AS DOUBLE) / 60))"
+_DAILY = f"least(CAST(5 AS DOUBLE), s.d + greatest(CAST(0 AS DOUBLE), e.t - s.t) * (CAST(5 AS DOUBLE) / {_DAY}))"
+_RESTS = f"(s.state = 'OPEN' AND e.t - s.since < {_DAY})"
+_TRIES = "CASE WHEN s.state = 'OPEN' THEN 2 ELSE s.bad + 1 END"
+FOLDS = {
+    "ss6": fold_sql("t AS at_, 'miss' AS decision", f"CASE WHEN e.t - s.at_ < {_DAY} THEN s.at_ ELSE e.t END, CASE WHEN e.t - s.at_ < {_DAY} THEN 'hit' ELSE 'miss' END"),
+    "ss8": fold_sql("CAST(2 AS DOUBLE) AS tokens, 'allow' AS decision", f"CASE WHEN {_TOKENS} >= 1 THEN {_TOKENS} - 1 ELSE {_TOKENS} END, CASE WHEN {_TOKENS} >= 1 THEN 'allow' ELSE 'deny' END"),
+    "ss9": fold_sql("CAST(1 AS DOUBLE) AS m, CAST(4 AS DOUBLE) AS d, 'allow' AS decision", f"CASE WHEN {_MINUTE} >= 1 AND {_DAILY} >= 1 THEN {_MINUTE} - 1 WHEN {_MINUTE} >= 1 THEN {_MINUTE} - 1 + 1 ELSE {_MINUTE} END, CASE WHEN {_MINUTE} >= 1 AND {_DAILY} >= 1 THEN {_DAILY} - 1 WHEN {_DAILY} >= 1 THEN {_DAILY} - 1 + 1 ELSE {_DAILY} END, CASE WHEN {_MINUTE} >= 1 AND {_DAILY} >= 1 THEN 'allow' ELSE 'deny' END"),
+    "ss10": fold_sql("'CLOSED' AS state, CASE WHEN v > 0 THEN 1 ELSE 0 END AS bad, t AS since, 'CLOSED' AS decision", f"CASE WHEN {_RESTS} THEN s.state WHEN e.v > 0 AND {_TRIES} >= 2 THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN {_RESTS} THEN s.bad WHEN e.v > 0 THEN {_TRIES} ELSE 0 END, CASE WHEN {_RESTS} THEN s.since WHEN e.v > 0 AND {_TRIES} < 2 THEN s.since ELSE e.t END, CASE WHEN {_RESTS} THEN 'OPEN' WHEN s.state = 'OPEN' THEN 'HALF_OPEN' ELSE 'CLOSED' END"),
+    "ss13": fold_sql(f"CASE WHEN v > 0 THEN t + {_DAY} ELSE CAST(-1e18 AS DOUBLE) END AS until, 'free' AS decision", f"CASE WHEN e.v > 0 AND e.t >= s.until THEN e.t + {_DAY} ELSE s.until END, CASE WHEN e.t < s.until THEN 'resting' ELSE 'free' END"),
+}
+
+
 def events(spark, d):
     e = table(spark, d, "events")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -26,27 +48,27 @@ def ss2(spark, d):
     return q.fold_batch(events(spark, d), q.retry_queue(3))
 
 
-@reg("ss6_ttl_cache")
+@reg("ss6_ttl_cache", FOLDS["ss6"])
 def ss6(spark, d):
     return q.fold_batch(events(spark, d), q.ttl_cache(86400.0))
 
 
-@reg("ss8_token_bucket")
+@reg("ss8_token_bucket", FOLDS["ss8"])
 def ss8(spark, d):
     return q.fold_batch(events(spark, d).withColumn("value", F.lit(1.0)), q.token_bucket(3, 1 / 43200))
 
 
-@reg("ss9_dual_bucket")
+@reg("ss9_dual_bucket", FOLDS["ss9"])
 def ss9(spark, d):
     return q.fold_batch(events(spark, d), q.dual_bucket(2, 5))
 
 
-@reg("ss10_circuit_breaker")
+@reg("ss10_circuit_breaker", FOLDS["ss10"])
 def ss10(spark, d):
     return q.fold_batch(events(spark, d), q.circuit_breaker(2, 86400.0))
 
 
-@reg("ss13_key_cooldown")
+@reg("ss13_key_cooldown", FOLDS["ss13"])
 def ss13(spark, d):
     return q.fold_batch(events(spark, d), q.cooldown(86400.0))
 
