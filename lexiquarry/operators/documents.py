@@ -113,6 +113,24 @@ def is_garbled_table(text: Column) -> Column:
     return (F.length(text) >= 50) & (F.size(ls) >= 3) & found
 
 
+def with_garbled_table(df: DataFrame, text: str, out: str) -> DataFrame:
+    """is_garbled_table as a column, in steps: lines are cut once, and only of texts that
+    are long enough."""
+    x = df.withColumn(out, F.when(F.length(text) >= 50, lines_of(F.col(text))))
+    ls = F.col(out)
+    counts = F.struct(F.size(ls).alias("n"), F.size(F.filter(ls, lambda s: F.length(s) < 25)).alias("short"), F.size(F.filter(ls, lambda s: s.isin("X", "Χ", "Х", "x", ".", "-", "_", "*"))).alias("marks"))
+    x = x.withColumn(out, F.when(F.size(ls) >= 3, counts))
+    c, n = F.col(text), F.col(f"{out}.n")
+    short, marks = F.col(f"{out}.short") / n, F.col(f"{out}.marks") / n
+    words = sum((F.contains(c, F.lit(w)).cast("int") for w in ("Vốn NĐT", "NSNN", "NSTP", "NSTW", "NSTƯ")), F.lit(0))
+    sample = F.trim(F.substring(c, 1, 200))
+    again = F.contains(F.substring(c, F.lit(201), F.length(c)), F.substring(sample, 1, 20))
+    times = F.when(again, (F.length(c) - F.length(F.replace(c, sample, F.lit("")))) / F.length(sample)).otherwise(1)
+    rare = (F.regexp_count(c, F.lit("[ŧĖΧŲġşŷįďŕŝΈΊϐ]")) > 5) | (F.contains(c, F.lit("<")) & (F.regexp_count(c, F.lit("</?math>|<br/?>|</?sup>")) >= 3))
+    found = F.when((short > 0.7) & (marks > 0.05), True).when((short > 0.5) & ((marks > 0.1) | (words >= 2)), True).when((F.length(c) > 500) & (sample != "") & (times >= 3), True).otherwise(rare)
+    return x.withColumn(out, F.when(F.col(out).isNull(), False).otherwise(found))
+
+
 def is_broken_table(text: Column) -> Column:
     """Pipe counts that differ and miss on a line, dot leaders or wide gaps."""
     counts = F.transform(lines_of(text), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))))

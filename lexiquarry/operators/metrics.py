@@ -27,8 +27,9 @@ def metric_means(items: DataFrame, *by: str) -> DataFrame:
     """Means of the metrics over rows without an error; rows with one count in total."""
     ok = F.col("error").isNull()
     mean = lambda c: F.avg(F.when(ok, F.col(c)))
-    lat = F.array_sort(F.collect_list(F.when(ok, F.col("latency"))))
-    p95 = F.try_element_at(lat, (F.least(F.floor(0.95 * F.size(lat)), F.size(lat) - 1) + 1).cast("int"))
+    # The value at place floor(0.95 n) + 1: just above 0.95 of the values. Partial counts of
+    # distinct values are merged, no list of all.
+    p95 = F.expr("percentile_disc(0.950000001) WITHIN GROUP (ORDER BY latency) FILTER (WHERE error IS NULL)")
     cols = [F.count("*").alias("total"), F.count_if(~ok).alias("failed"), mean("r1").alias("r1"), mean("r3").alias("r3"), mean("r5").alias("r5"), mean("p5").alias("p5"), mean("mrr").alias("mrr"), mean("latency").alias("avg_latency"), p95.alias("p95_latency")]
     return (items.rollup(*by) if by else items.groupBy()).agg(*cols)
 
@@ -51,7 +52,7 @@ def percent_text(n: Column, total: Column) -> Column:
 def spacing_ratio(text: str) -> Column:
     """Spaces over all characters."""
     spaces = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
-    return spaces / (F.length(text) - spaces + spaces + 1)
+    return spaces / (F.length(text) + 1)
 
 
 def words_of(text: Column, least: int) -> Column:
@@ -75,10 +76,23 @@ def even_sample(pages: DataFrame, doc: str, page: str, rate: float = 0.3) -> Dat
 
 
 def missing_in_range(rows: DataFrame, key: str, n: str) -> DataFrame:
-    """Numbers between a key's least and greatest that do not occur."""
-    g = rows.groupBy(key).agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.collect_set(n).alias("have"))
-    gaps = F.array_except(F.sequence("lo", "hi"), "have")
-    return g.withColumn("gap", gaps).filter(F.size("gap") > 0).select(key, F.size("gap").alias("n_gaps"), F.array_min("gap").alias("first_gap"), F.array_max("gap").alias("last_gap"))
+    """Numbers between a key's least and greatest that do not occur: how many, the first and
+    the last. Gaps are counted from neighbours, so one wild number costs nothing."""
+    nxt = rows.select(key, F.col(n).alias("n"), F.lead(n).over(W.partitionBy(key).orderBy(n)).alias("next")).filter("next - n > 1")
+    return nxt.groupBy(key).agg(F.sum(F.col("next") - F.col("n") - 1).cast("int").alias("n_gaps"), F.min(F.col("n") + 1).alias("first_gap"), F.max(F.col("next") - 1).alias("last_gap"))
+
+
+def numbered_within(rows: DataFrame, group: str, order: str, out: str, blocks: int = 200) -> DataFrame:
+    """Numbers from 0 within a group by a numeric order. Rows are ranked within blocks of the
+    order's range, and a block starts after those before it; so no group, however large, is
+    one task's."""
+    span = rows.agg(F.min(order).alias("lo"), F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) / blocks)).alias("width"))
+    r = rows.crossJoin(F.broadcast(span)).withColumn("block", F.coalesce(F.floor((F.col(order) - F.col("lo")) / F.col("width")), F.lit(-1))).drop("lo", "width")
+    before = W.partitionBy(group).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = r.groupBy(group, "block").agg(F.count("*").alias("k")).select(F.col(group).alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    ranked = r.withColumn(out, F.row_number().over(W.partitionBy(group, "block").orderBy(order)) - 1)
+    joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
+    return joined.withColumn(out, F.col(out) + F.col("start")).select(*rows.columns, out)
 
 
 def grid_argmax(axes: dict[str, DataFrame], score: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,8 +124,35 @@ def with_status(rows: DataFrame, status: DataFrame, key: str) -> DataFrame:
 def nearest_match(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
     """For each query vector the best other cached vector under the same filter_key, if
     its cosine is ``least`` or more. Queries: (q_id, filter_key, q_vec); cache: (c_id, filter_key, c_vec)."""
-    pairs = queries.join(cache, "filter_key").filter("q_id != c_id").withColumn("sim", cosine("q_vec", "c_vec")).filter(F.col("sim") >= least)
-    best = pairs.groupBy("q_id").agg(F.max_by(F.struct("c_id", "sim"), F.struct(F.col("sim"), -F.col("c_id"))).alias("b"))
+    # Queries and cache of a key are dealt to a grid of cells of bounded size, each cell is
+    # one product of matrices, and a query keeps the best of its cells.
+    def side(df: DataFrame, i: str, v: str, most: int, cells: str) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy("filter_key").agg(F.ceil(F.count("*") / most).cast("int").alias(cells))
+        return df.select("filter_key", F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")), n
+
+    (q, nq), (c, nc) = side(queries, "q_id", "q_vec", 4096, "nq"), side(cache, "c_id", "c_vec", 16384, "nc")
+    grid = nq.join(nc, "filter_key")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    q = q.join(grid, "filter_key").select("filter_key", place("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("j"), "id", "v")
+    c = c.join(grid, "filter_key").select("filter_key", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), place("nc").alias("j"), "id", "v")
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "c_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return out
+        b = b.sort_values("id")
+        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+        lengths = np.outer(np.sqrt((x**2).sum(axis=1)), np.sqrt((y**2).sum(axis=1)))
+        sims = np.divide(x @ y.T, lengths, out=np.full(lengths.shape, -2.0), where=lengths > 0)
+        ids = b["id"].to_numpy()
+        sims[a["id"].to_numpy()[:, None] == ids[None, :]] = -2.0
+        at = sims.argmax(axis=1)  # of equal ones the first, the least id
+        best = sims[np.arange(len(a)), at]
+        keep = best >= least
+        return pd.DataFrame({"q_id": a["id"].to_numpy()[keep], "c_id": ids[at][keep], "sim": best[keep]})
+
+    found = q.groupBy("filter_key", "i", "j").cogroup(c.groupBy("filter_key", "i", "j")).applyInPandas(cell, "q_id long, c_id long, sim double")
+    best = found.groupBy("q_id").agg(F.max_by(F.struct("c_id", "sim"), F.struct(F.col("sim"), -F.col("c_id"))).alias("b"))
     return best.select("q_id", "b.c_id", "b.sim")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import line_passes as lp
+from lexiquarry.functions import text as t
 from lexiquarry.operators import cleaning as c
 from lexiquarry.operators import documents as o
 from lexiquarry.plans.documents import _LINES
@@ -268,3 +269,71 @@ _PRE = strip_sql(replaced_sql("text", [(rf"(?i)(?:^|\n)(?:{'|'.join(c.PREAMBLES)
  SELECT doc_id, md5({strip_sql("array_to_string(l[CASE WHEN pos > 0 THEN pos ELSE least(len(l), 100) + 1 END:], chr(10))")}) AS h FROM y""")
 def mx44(spark, d):
     return planted(spark, d, CHATTY).select("doc_id", digest(c.without_preamble(F.col("text"))))
+
+
+def _typos_sql() -> str:
+    x = "text"
+    for a, b in t.TYPOS:
+        x = f"replace({x}, {quoted(a)}, {quoted(b)})"
+    return x
+
+
+PICTURES = ["🚀go🔥", "a ⭐b", "none"]
+
+
+@reg("tx2_emoji_strip", f"SELECT doc_id, md5({replaced_sql('text', [('[' + t.EMOJI + ']', '')])}) AS h FROM {planted_sql(PICTURES)}")
+def tx2(spark, d):
+    return planted(spark, d, PICTURES).select("doc_id", digest(t.strip_emoji(F.col("text"))))
+
+
+TYPED = ["hổ sơ bố sung", "họp đồng nghè", "Tỳ lệ trưởng họp"]
+
+
+@reg("tx6_typo_map", f"SELECT doc_id, md5({_typos_sql()}) AS h FROM {planted_sql(TYPED)}")
+def tx6(spark, d):
+    return planted(spark, d, TYPED).select("doc_id", digest(t.fix_typos(F.col("text"))))
+
+
+JOINED = ["NghịĐịnh", "abC", "điềuKhoản"]
+_ACCENTED = "[àáảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịòóỏõọốồổỗộớờởỡợúùủũụứừửữựỳýỷỹỵ]"
+
+
+@reg("tx8_generic_stuck_words", f"SELECT doc_id, md5({replaced_sql('text', [(f'({_ACCENTED})(' + chr(92) + 'p{Lu})', '$1 $2')])}) AS h FROM {planted_sql(JOINED)}")
+def tx8(spark, d):
+    """A space between an accented lower-case letter and an upper-case one."""
+    return planted(spark, d, JOINED).select("doc_id", digest(F.regexp_replace("text", rf"({_ACCENTED})(\p{{Lu}})", "$1 $2")))
+
+
+DATED = ["\n 01 02 03 2020 1200 ", "a\n12\nb", "\n 01 02 03"]
+_DATED = [(r"\n\s*\d{2}\s+\d{2}\s+\d{2}\s+\d{4}\s+\d{4}\s*$", ""), (r"\n\s*\d{2}\s+\d{2}\s+\d{2}\s*$", ""), (r"(?m)^\s*\d{1,3}\s*$", ""), (r"^\s+|\s+$", "")]
+
+
+@reg("tx10_date_noise", f"SELECT doc_id, md5({replaced_sql('text', _DATED)}) AS h FROM {planted_sql(DATED, after=True)}")
+def tx10(spark, d):
+    return planted(spark, d, DATED, after=True).select("doc_id", digest(t.strip_date_noise(F.col("text"))))
+
+
+SEALED = ["Nội dung Ký bởi: A 01.02.2020 10:00:00 +07:00", "Người ký: B 01.02.2020 10:00:00+07:00", "no seal"]
+
+
+@reg("tx15_digital_signature", f"SELECT doc_id, md5(coalesce(nullif(trim({replaced_sql('text', [(r'(?is)(?:Ký bởi|Người ký)' + chr(92) + r's*:.+?[0-9]{2}[.][0-9]{2}[.][0-9]{4}' + chr(92) + r's+[0-9]{2}:[0-9]{2}:[0-9]{2}' + chr(92) + r's*[+-][0-9]{2}:[0-9]{2}', ''), (chr(92) + 'n{3,}', '$n$n')]).replace(chr(92) + 'n' + chr(92) + 'n' + chr(39), chr(10) + chr(10) + chr(39))}), ''), text)) AS h FROM {planted_sql(SEALED)}")
+def tx15(spark, d):
+    return planted(spark, d, SEALED).select("doc_id", digest(t.strip_signature(F.col("text"))))
+
+
+_PIPES = _BLOCKS.format(row=quoted(r"^\s*\|.*\|.*\|\s*$"), source=planted_sql(BARE)).replace("regexp_matches(trim(line)", "regexp_matches(line")
+
+
+@reg("tx17_pipe_table_repair", f"""WITH b AS ({_PIPES}), c AS (SELECT *, n = min(n) OVER w AND count(*) OVER w > 1 AND NOT bool_or(regexp_matches(line, '^\\s*\\|[\\s:|-]+\\|\\s*$')) OVER w AS is_first FROM b WINDOW w AS (PARTITION BY doc_id, is_row, block))
+ SELECT doc_id, md5(string_agg(CASE WHEN is_row AND is_first THEN line || chr(10) || '|' || repeat(' --- |', CAST(length(line) - length(replace(line, '|', '')) - 1 AS INTEGER)) ELSE line END, chr(10) ORDER BY n)) AS h FROM c GROUP BY doc_id""")
+def tx17(spark, d):
+    return planted(spark, d, BARE).select("doc_id", digest(lp.apply(F.col("text"), lp.repair_pipe_tables)))
+
+
+NUMBERED = ["a\n\n7\nb", "12\nwords", "x\n12\ny"]
+
+
+@reg("tx21_orphan_page_numbers", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {planted_sql(NUMBERED)}), a AS (SELECT *, coalesce(regexp_matches(lag(line) OVER w, '^\\s*$'), true) OR coalesce(regexp_matches(lead(line) OVER w, '^\\s*$'), true) AS alone FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+ SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS h FROM a WHERE NOT (regexp_matches(line, '^\\s*[0-9]{{1,4}}\\s*$') AND alone) GROUP BY doc_id""")
+def tx21(spark, d):
+    return planted(spark, d, NUMBERED).select("doc_id", digest(lp.apply(F.col("text"), lp.drop_orphan_numbers)))

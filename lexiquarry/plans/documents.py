@@ -216,31 +216,11 @@ def fn35(spark, d):
     return table(spark, d, "documents").select("doc_id", t.page_of(F.col("text"), 2, 100).alias("page"))
 
 
-@reg("tx2_emoji_strip", answers([("go",), ("a b",)], "s"))
-def tx2(spark, d):
-    return inline(spark, [("🚀go🔥",), ("a ⭐b",)], "s").select("i", t.strip_emoji(F.col("s")).alias("s"))
-
-
-@reg("tx6_typo_map", answers([("hồ sơ bổ sung",), ("hợp đồng nghề",)], "s"))
-def tx6(spark, d):
-    return inline(spark, [("hổ sơ bố sung",), ("họp đồng nghè",)], "s").select("i", t.fix_typos(F.col("s")).alias("s"))
-
-
-@reg("tx10_date_noise", answers([("text",), ("a\n\nb",)], "s"))
-def tx10(spark, d):
-    return inline(spark, [("text\n 01 02 03 2020 1200 ",), ("a\n12\nb",)], "s").select("i", t.strip_date_noise(F.col("s")).alias("s"))
-
-
 @reg("tx11_dot_leaders", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?:\\.\\s*){20,}', '', 'g'), '(?:\\.\\s){10,}', '', 'g')) AS h FROM documents")
 def tx11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(t.strip_dots(F.col("text")).cast("binary")).alias("h"))
 
 
-@reg("tx15_digital_signature", answers([("Nội dung",), ("Ký bởi: A 01.02.2020 10:00:00 +07:00",)], "s"))
-def tx15(spark, d):
-    return inline(spark, [("Nội dung Ký bởi: A 01.02.2020 10:00:00 +07:00",), ("Ký bởi: A 01.02.2020 10:00:00 +07:00",)], "s").select("i", t.strip_signature(F.col("s")).alias("s"))
-
-
 _PARAS = "CASE WHEN length(text) < 200 THEN text ELSE array_to_string(list_transform(list_filter(list_transform(list_zip(p, range(1, len(p) + 1)), lambda z: CASE WHEN list_position(p, z[1]) = z[2] THEN z[1] END), lambda z: z IS NOT NULL), lambda z: z), chr(10) || chr(10)) END"
 
 
@@ -275,7 +255,7 @@ _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim
 @reg("pf5_garbled_table", f"""WITH x AS (SELECT doc_id, text, {_LINES} AS l FROM documents), y AS (SELECT *, len(list_filter(l, lambda s: length(s) < 25)) / greatest(len(l), 1) AS sr, len(list_filter(l, lambda s: list_contains(['X','Χ','Х','x','.','-','_','*'], s))) / greatest(len(l), 1) AS mr, trim(substr(text, 1, 200)) AS sample FROM x)
  SELECT doc_id, length(text) >= 50 AND len(l) >= 3 AND ((sr > 0.5 AND mr > 0.1) OR (sr > 0.7 AND mr > 0.05) OR (length(text) > 500 AND sample <> '' AND (length(text) - length(replace(text, sample, ''))) / greatest(length(sample), 1) >= 3)) AS garbled FROM y""")
 def pf5(spark, d):
-    return table(spark, d, "documents").select("doc_id", o.is_garbled_table(F.col("text")).alias("garbled"))
+    return o.with_garbled_table(table(spark, d, "documents").select("doc_id", "text"), "text", "garbled").select("doc_id", "garbled")
 
 
 @reg("pf9_broken_table", f"WITH x AS (SELECT doc_id, text, list_transform({_LINES}, lambda s: length(s) - length(replace(s, '|', ''))) AS c FROM documents) SELECT doc_id, coalesce((length(text) - length(replace(text, '|', '')) > 2 AND list_max(c) <> list_min(c) AND list_min(c) = 0), false) OR regexp_matches(text, '\\.{{5,}}| {{5,}}') AS broken FROM x")
@@ -408,9 +388,9 @@ def mx38(spark, d):
     return table(spark, d, "conversations").withColumn("k", k).filter("k <= 6").select("conv_id", "turn", "role")
 
 
-@reg("mx37_context_format", "SELECT conv_id, string_agg('[' || turn || '] ' || substr(text, 1, 50), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
+@reg("mx37_context_format", "SELECT conv_id, string_agg('[' || turn || '] ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
 def mx37(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.substring("text", 1, 50)).alias("s"))))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "text").alias("s"))))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["s"]), "\n").alias("context"))
 
 

@@ -118,10 +118,10 @@ def pf1(spark, d):
     return r.search_filter(chunks(spark, d), authority="en", year=2003).select("chunk_id")
 
 
-@reg("pf3_result_projection", f"WITH {_CHUNKS} SELECT chunk_id, doc_type, chunk_type, substr(text, 1, 40) AS head, false AS is_table, [0, 0, 1000, 1000] AS bbox, '' AS summary FROM chunks")
+@reg("pf3_result_projection", f"WITH {_CHUNKS} SELECT chunk_id, doc_type, chunk_type, md5(text) AS head, false AS is_table, [0, 0, 1000, 1000] AS bbox, '' AS summary FROM chunks")
 def pf3(spark, d):
     box = F.coalesce(F.from_json(F.lit("not json"), "array<int>", {"mode": "PERMISSIVE"}), F.array(*[F.lit(x) for x in (0, 0, 1000, 1000)]))
-    return chunks(spark, d).select("chunk_id", "doc_type", "chunk_type", F.substring("text", 1, 40).alias("head"), F.lit(False).alias("is_table"), box.alias("bbox"), F.lit("").alias("summary"))
+    return chunks(spark, d).select("chunk_id", "doc_type", "chunk_type", F.md5(F.col("text").cast("binary")).alias("head"), F.lit(False).alias("is_table"), box.alias("bbox"), F.lit("").alias("summary"))
 
 
 @reg("wn2_hop_quota", f"WITH {_CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY ord) AS k FROM chunks) SELECT ord, hop FROM n WHERE (hop = 2 AND k <= 5) OR (hop = 1 AND k <= 7)")

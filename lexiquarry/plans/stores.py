@@ -152,15 +152,3 @@ def tx1(spark, d):
 def tx16(spark, d):
     x = lp.apply(F.col("text"), lp.rejoin_paragraphs)
     return table(spark, d, "documents").select("doc_id", F.size(F.split(x, "\n")).alias("paragraphs"))
-
-
-@reg("tx17_pipe_table_repair", "SELECT * FROM (VALUES (0, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |'), (1, 'no | table'), (2, '| a | b |')) AS t(i, s)")
-def tx17(spark, d):
-    x = spark.createDataFrame([(0, "| a | b |\n| 1 | 2 |"), (1, "no | table"), (2, "| a | b |")], "i int, s string")
-    return x.select("i", lp.apply(F.col("s"), lp.repair_pipe_tables).alias("s"))
-
-
-@reg("tx21_orphan_page_numbers", "SELECT * FROM (VALUES (0, 'a' || chr(10) || 'b'), (1, 'a' || chr(10) || '12' || chr(10) || 'b')) AS t(i, s)")
-def tx21(spark, d):
-    x = spark.createDataFrame([(0, "a\nb\n7"), (1, "a\n12\nb")], "i int, s string")
-    return x.select("i", lp.apply(F.col("s"), lp.drop_orphan_numbers).alias("s"))

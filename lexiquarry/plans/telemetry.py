@@ -214,7 +214,7 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]
 def st4(spark, d):
     b = table(spark, d, "benchmark").select("item_id", m.words_of(F.col("text"), 3).alias("bw"))
     x = table(spark, d, "documents").select("doc_id", m.words_of(F.col("text"), 3).alias("dw"))
-    return x.join(F.broadcast(b), F.pmod("doc_id", F.lit(40)) == F.pmod("item_id", F.lit(40))).select("item_id", "doc_id", F.round(m.overlap_share(F.col("dw"), F.col("bw")), 6).alias("share"))
+    return x.join(b, F.pmod("doc_id", F.lit(40)) == F.pmod("item_id", F.lit(40))).select("item_id", "doc_id", F.round(m.overlap_share(F.col("dw"), F.col("bw")), 6).alias("share"))
 
 
 @reg("st1_section_coverage", f"WITH a AS (SELECT doc_id, {_WORDS.format('text', 4)} AS w FROM documents) SELECT x.doc_id, round(CASE WHEN len(y.w) = 0 THEN 1.0 ELSE len(list_intersect(x.w, y.w)) / len(y.w) END, 6) AS coverage, CASE WHEN len(y.w) = 0 THEN 1.0 ELSE len(list_intersect(x.w, y.w)) / len(y.w) END >= 0.5 AS accepted FROM a x JOIN a y ON y.doc_id = x.doc_id + 1")

@@ -8,6 +8,7 @@ from lexiquarry.functions import line_passes as lp
 from lexiquarry.operators import documents as o
 from lexiquarry.operators import upkeep as u
 from lexiquarry.plans.documents import answers, inline
+from lexiquarry.operators.metrics import numbered_within
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import table
 
@@ -113,10 +114,8 @@ def mx19(spark, d):
 
 @reg("mx5_bundle_chunks", "SELECT doc_id, source || '::c' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents")
 def mx5(spark, d):
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("::c"), n.cast("string")).alias("chunk_id"))
+    x = numbered_within(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", "n")
+    return x.select("doc_id", F.concat("source", F.lit("::c"), F.col("n").cast("string")).alias("chunk_id"))
 
 
 @reg("mx15_low_text_sample", "SELECT conv_id FROM (SELECT conv_id, min(turn) AS t FROM conversations WHERE turn = 1 AND length(text) < 200 GROUP BY 1) ORDER BY md5(CAST(conv_id AS VARCHAR)) LIMIT 10")
@@ -125,12 +124,12 @@ def mx15(spark, d):
     return c.orderBy(F.md5(F.col("conv_id").cast("string").cast("binary"))).limit(10)
 
 
-@reg("mx36_context_fetch", "SELECT source, string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 5 GROUP BY 1")
+@reg("mx36_context_fetch", "SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 5 GROUP BY 1")
 def mx36(spark, d):
     from pyspark.sql import Window as W
 
     x = table(spark, d, "documents").withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("k <= 5")
-    rows = F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, 20).alias("s"))))
+    rows = F.array_sort(F.collect_list(F.struct("k", F.col("text").alias("s"))))
     return x.groupBy("source").agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("context"))
 
 
@@ -148,10 +147,3 @@ def tx13(spark, d):
 def wn16(spark, d):
     join = F.udf(lp.joined_pages, "array<string>", useArrow=True)
     return inline(spark, [("ends within|the sentence.\nNew",), ("Ends.|Starts",)], "s").select("i", F.array_join(join(F.split("s", r"\|")), "|").alias("pages"))
-
-
-@reg("tx8_generic_stuck_words", answers([("Nghị Định",), ("abC",)], "s"))
-def tx8(spark, d):
-    """A space between an accented lower-case letter and an upper-case one."""
-    accented = "[àáảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịòóỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
-    return inline(spark, [("NghịĐịnh",), ("abC",)], "s").select("i", F.regexp_replace("s", rf"({accented})(\p{{Lu}})", "$1 $2").alias("s"))
