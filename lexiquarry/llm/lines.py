@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. A line goes if an earlier line, by (doc_id, number in
 the document), has a Jaccard similarity of 4/5 or more with it, whether or not that one
@@ -8,64 +8,182 @@ stays itself. Lines without words stay.
    by its bucket's rank, then its hash. This is one order for all lines.
 2. Lines with equal sets: all but the first go. (Sets are known by their size, a 64-bit
    hash of their word hashes and a 64-bit parity of them; words by 47 bits of a hash within
-   their bucket, of 65,536.)
+   their bucket.)
 3. Different sets: similar ones share a word of their prefixes, the n - ceil(4n/5) + 1
-   rarest words. Lines meet by prefix words; sizes, the word's positions, and parities
-   of word hashes (their difference is a lower bound of the symmetric difference) sort
-   out pairs, and Jaccard is verified on the whole sets, cut again from the texts.
-   Before that, every line meets ``HEADS`` lines only: the first ones with its least
-   hashes of prefix words. A line that matches one of these needs no other match.
-
-So groups of near copies mostly meet one line, not each other. Sets of up to
-three words can only match equal ones and take part in step 2 alone. Sieves before
-shuffles are bit arrays of fixed size; they only let too much through.
+   rarest words of the larger and the n - ceil(8n/9) + 1 rarest of the smaller one. Lines
+   meet by prefix words; sizes, the word's positions, and parities of word hashes (their
+   difference is a lower bound of the symmetric difference) sort out pairs, and Jaccard is
+   verified on the whole sets, cut again from the texts. Before that, every line meets three
+   lines only: the first ones that share its words of the least and of the largest hash, and
+   of the least by another order of hashes. A line that matches one of these needs no other match, so groups of
+   near copies mostly meet one line, not each other.
+
+Sets of up to three words can only match equal ones and take part in step 2 alone. Sieves
+before shuffles are bit arrays of fixed size; they only let too much through.
+
+This is the free style: cutting, hashing and ordering words, and meeting by prefix words,
+run in numpy over Arrow batches, as DataFrame operations alone took 1.8 times the CPU that
+the check tool allows. Spark deals the prefix words, packed, to cells of bounded size: by
+word, and for words of many lines also by line, so that no word is one cell's; the number of
+cells grows with the number of prefix words. All else is joins and aggregations of Spark.
 
 Defined results: null text is one line without words; rows that share a doc_id do not
 remove each other's lines of the same number; null doc_id counts as the largest; other
 columns are ignored, whatever their names; repeated rows (id and text) are one row of the
-report and keep each other's lines; a line or text may have any length, though a line's
-words are one array in memory; an empty table gives an empty table.
+report and keep each other's lines; a line or text may have any length, though a text's
+words are in one worker's memory together; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import row_key, shuffle_width, small, stored
+from lexiquarry.llm import textcore as tc
+from lexiquarry.llm.common import bounded_batches, row_key, shuffle_width, small, stored
 
 BUCKETS = 1 << 16
-#: First lines that each line meets before the others.
-HEADS = 6
 #: Lines with more words have a parity of 256 bits instead of 64.
 LONG_LINE = 110
+#: Bytes of packed prefix words that a cell has on average, and words of a bucket beyond
+#: which its words are dealt to one more cell.
+CELL_BYTES = 8 << 20
+HOT_WORDS = 1 << 20
+#: Pairs looked at together.
+PAIRS = 1 << 19
 _SIEVE = 1 << 22
 _LAST = (1 << 63) - 1
-_MASK = (1 << 47) - 1
-
-
-def _words(text: Column) -> Column:
-    """Words and empty strings of a text."""
-    return F.split(text, "[ \\t\\n\\x0B\\f\\r]")
-
-
-def _constant(values: list[int]) -> Column:
-    """A constant array of longs; Spark folds the parsing away."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
-
-
-def rarity_ranks(texts: DataFrame) -> list[int]:
-    """Each bucket's rank by the number of its words in all texts. One count for each of a fixed number of buckets comes to the driver."""
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w != ''")
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
-    have = {r["b"]: r["count"] for r in counts}
-    order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for i, b in enumerate(order):
-        ranks[b] = i
-    return ranks
+_U = np.uint64
+_MASK = _U((1 << 47) - 1)
+_OTHER = _U(0x3A5C_96E1_0F3D_B827)
+#: What a set is known by; what a line's parities are called (of all words, and for long
+#: lines of three quarters); its words of least and largest hash, by two orders.
+_SET = ("sid", "n", "sig")
+_SIGNS = ("sig", "q1", "q2", "q3")
+_ENDS = ("e0", "e1", "e2")
+_POSTING = np.dtype([("tok", "<u8"), ("id", "<i8"), ("at", "<i8"), ("sig", "<u8"), ("q1", "<u8"), ("q2", "<u8"), ("q3", "<u8"), ("p", "<u2"), ("f", "u1")])
+_LONG_SIDE, _SHORT_SIDE, _DONE = 1, 2, 4
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a slice's words, and the row of each."""
+    starts, ends, first = tc.word_spans(data, offs)
+    counts = np.diff(first)
+    return tc.hash_spans(data, starts, ends), np.repeat(np.arange(len(counts)), counts)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """Words of all texts by bucket. One count for each of a fixed number of buckets comes
+    to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            raw, offs = tc.utf8(b.column(0))
+            for i, j in tc.slices(offs, _SLICE):
+                h, _ = _words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                total += np.bincount((h >> _U(48)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "c"])
+
+    got = _texts(docs).select("text").mapInArrow(count, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["b"].to_numpy()] = got["c"].to_numpy()
+    return out
+
+
+def _distinct(toks: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words of each row, and their rows; ``row`` is sorted. One sort by the
+    row and the upper bits does, unless these leave two words of a row alike."""
+    if len(row) and row[-1] < 1 << 23:
+        key = (row.astype(_U) << _U(40)) | (toks >> _U(24))
+        order = np.argsort(key)
+        k, t = key[order], toks[order]
+        again = k[1:] == k[:-1]
+        if not (again & (t[1:] != t[:-1])).any():
+            new = np.concatenate([[True], ~again])
+            return t[new], (k[new] >> _U(40)).astype(np.int64)
+    return tc.distinct_by_row(toks, row)[:2]
+
+
+#: Bytes of text cut together; numpy is quickest while its arrays fit the processor's cache.
+_SLICE = 1 << 19
+
+
+def _line_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all lines of a slice's rows, and the row of each line."""
+    breaks = np.flatnonzero(data == 10)
+    row = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs, breaks, "right") - 1])
+    start = np.concatenate([offs[:-1], breaks + 1])
+    order = np.lexsort((start, row))
+    return np.append(start[order], len(data)), row[order]
+
+
+def _per_row(f: np.ufunc, values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """f over each row's values; 0 for rows without."""
+    some = edges[1:] > edges[:-1]
+    out = np.zeros(len(some), values.dtype)
+    if some.any():
+        out[some] = f.reduceat(values, edges[:-1][some])
+    return out
+
+
+def _parity(toks: np.ndarray, edges: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    bit = _U(1) << (toks & _U(63))
+    return _per_row(np.bitwise_xor, bit if among is None else np.where(among, bit, _U(0)), edges)
+
+
+def _prefix_size(n: np.ndarray, top: int, bottom: int) -> np.ndarray:
+    """Of a set with at least top/bottom of its words in common, a prefix of this size
+    holds one of them."""
+    return n - (n * top + bottom - 1) // bottom + 1
+
+
+_LINE = f"id long, th long, line_no int, n int, sid long, {', '.join(f'{c} long' for c in (*_SIGNS, *_ENDS))}, prefix array<long>"
+
+
+def _line_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Size, hash, parities, end words and prefix of every line; the prefix by rarity."""
+    order = np.argsort(counts, kind="stable")
+    ranks = np.empty(BUCKETS, _U)
+    ranks[order] = np.arange(BUCKETS, dtype=_U) << _U(47)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offs = tc.utf8(b.column(2))
+            ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j in tc.slices(offs, _SLICE):
+                data = raw[offs[i] : offs[j]]
+                lines, row = _line_starts(data, offs[i : j + 1] - offs[i])
+                h, line = _words(data, lines)
+                toks, owner = _distinct(ranks[(h >> _U(48)).astype(np.int64)] | (h & _MASK), line)
+                n = np.bincount(owner, minlength=len(row))
+                edges = np.concatenate([[0], np.cumsum(n)])
+                with np.errstate(over="ignore"):
+                    acc = np.concatenate([np.zeros(1, _U), np.cumsum(tc.mix64(toks ^ _U(0x5DEECE66D)), dtype=_U)])
+                    sid = tc.mix64(acc[edges[1:]] - acc[edges[:-1]] + n.astype(_U))
+                short = n <= LONG_LINE
+                quarter = np.where(short[owner], _U(9), (toks >> _U(6)) & _U(3))
+                signs = [pa.array(tc.signed(_parity(toks, edges)))] + [pa.array(tc.signed(_parity(toks, edges, quarter == _U(k))), mask=short) for k in (1, 2, 3)]
+                low, other = toks & _MASK, (toks ^ _OTHER) & _MASK
+                ends = [pa.array(tc.signed(_per_row(f, x, edges))) for x, f in ((low, np.minimum), (low, np.maximum), (other, np.minimum))]
+                k = np.where(n > 3, _prefix_size(n, 4, 5), 0)
+                kept = toks[np.arange(len(toks)) - edges[owner] < k[owner]] if len(toks) else toks
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(tc.signed(kept)))
+                per = np.bincount(row, minlength=j - i)
+                line_no = np.arange(len(row)) - (np.cumsum(per) - per)[row]
+                cols = [pa.array(ids[i:j][row]), pa.array(ths[i:j][row]), pa.array(line_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tc.signed(sid)), *signs, *ends, prefix]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "line_no", "n", "sid", *_SIGNS, *_ENDS, "prefix"])
+
+    return stored(_texts(docs).mapInArrow(run, _LINE))
 
 
 def _sieve(keys: DataFrame) -> Column:
@@ -79,43 +197,148 @@ def _sieve(keys: DataFrame) -> Column:
     return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
-def _parity(toks: Column) -> Column:
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-
-
-#: What a set is known by.
-_SET = ("sid", "n", "sig")
-#: What a line's parities are called: of all words, and (long lines) of three quarters.
-_SIGNS = ("sig", "q1", "q2", "q3")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        row_key().alias("th"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    return texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
-def _hashed(line: str) -> Column:
-    """The distinct word hashes of a line."""
-    return F.array_remove(F.array_distinct(F.transform(_words(F.col(line)), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
-def _line_sets(docs: DataFrame) -> DataFrame:
-    """Size, hash, parities and prefix of every line; the prefix by rarity."""
-    ranks = _constant(rarity_ranks(docs.select(F.coalesce("text", F.lit("")).alias("text"))))
-    hashes = _lines(docs).select("id", "th", "line_no", _hashed("line").alias("hashes"))
-    placed = F.transform("hashes", lambda h: F.shiftleft(F.coalesce(ranks[F.shiftrightunsigned(h, 48).cast("int")], F.lit(0)), 47).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))
-    sets = hashes.select("id", "th", "line_no", F.sort_array(placed).alias("toks")).withColumn("n", F.size("toks"))
-    quarter = lambda j: F.when(F.col("n") > LONG_LINE, _parity(F.filter("toks", lambda x: F.shiftright(x, 6).bitwiseAND(3) == j)))
-    prefix = F.when(F.col("n") > 3, F.slice("toks", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
-    return stored(sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix")))
-
-
-def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
+def _whole_sets(lines: DataFrame) -> DataFrame:
+    """id, at, sig and sorted distinct word hashes of lines (id, line_no, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offs = tc.utf8(b.column(2))
+            for i, j in tc.slices(offs, _SLICE):
+                h, row = _words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                toks, owner = _distinct(h, row)
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=j - i))])
+                at = (b.column(1).to_numpy()[i:j].astype(np.int64) << 32) | np.diff(edges)
+                sets = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(tc.signed(toks)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(at), pa.array(tc.signed(_parity(toks, edges))), sets], ["id", "at", "sig", "toks"])
+
+    return lines.mapInArrow(run, "id long, at long, sig long, toks array<long>")
+
+
+def _packed(lines: DataFrame, cells: int, counts: np.ndarray) -> DataFrame:
+    """Prefix words of lines, packed by cell. A word of many lines has several cells: of the
+    smaller side each line is in one, of the larger side in all of them."""
+    by_rank = np.sort(counts, kind="stable")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            get = {c: b.column(k) for k, c in enumerate(("id", "at", *_SIGNS, "done", "prefix"))}
+            offs = get["prefix"].offsets.to_numpy().astype(np.int64)
+            line = np.repeat(np.arange(b.num_rows), np.diff(offs))
+            if not len(line):
+                continue
+            toks = get["prefix"].values.to_numpy()[offs[0] : offs[-1]].view(_U)
+            out = np.zeros(len(line), _POSTING)
+            out["tok"] = toks
+            out["p"] = np.arange(len(line)) - (offs[:-1] - offs[0])[line]
+            for c in ("id", "at"):
+                out[c] = get[c].to_numpy()[line]
+            for c in _SIGNS:
+                out[c] = get[c].fill_null(0).to_numpy().view(_U)[line]
+            n = out["at"] & 0xFFFFFFFF
+            done = get["done"].fill_null(False).to_numpy(zero_copy_only=False)[line]
+            out["f"] = _LONG_SIDE + np.where(out["p"] < _prefix_size(n, 8, 9), _SHORT_SIDE, 0) + np.where(done, _DONE, 0)
+            salts = 1 + by_rank[(toks >> _U(47)).astype(np.int64)] // HOT_WORDS
+            salt = np.zeros(len(out), _U)
+            if (salts > 1).any():
+                hot = np.flatnonzero(salts > 1)
+                copies = np.repeat(hot, salts[hot])
+                every = (np.arange(len(copies)) - np.repeat(np.cumsum(salts[hot]) - salts[hot], salts[hot])).astype(_U)
+                larger = out[copies]
+                larger["f"] &= 255 - _SHORT_SIDE
+                salt[hot] = tc.mix64(out["id"][hot].view(_U) ^ out["at"][hot].view(_U)) % salts[hot].astype(_U)
+                out["f"][hot] &= 255 - _LONG_SIDE
+                out, salt = np.concatenate([out, larger]), np.concatenate([salt, every])
+                live = (out["f"] & (_LONG_SIDE | _SHORT_SIDE)) > 0
+                out, salt = out[live], salt[live]
+            with np.errstate(over="ignore"):
+                cell = (tc.mix64(out["tok"] + salt * _U(0x9E3779B97F4A7C15)) % _U(cells)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            per = np.bincount(cell, minlength=cells)
+            at = np.flatnonzero(per)
+            ends = np.concatenate([[0], np.cumsum(per[at])]) * _POSTING.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out[order].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(at), blobs], ["cell", "postings"])
+
+    return lines.mapInArrow(run, "cell long, postings binary")
+
+
+def _meetings(arr: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Postings (later line, earlier line) of the pairs of a cell that filters leave open."""
+    a, b = arr[(arr["f"] & _LONG_SIDE) > 0], arr[(arr["f"] & _SHORT_SIDE) > 0]
+    if not len(a) or not len(b):
+        return
+    a = a[np.lexsort((a["at"] & 0xFFFFFFFF, a["tok"]))]
+    atok = np.ascontiguousarray(a["tok"])
+    new = np.concatenate([[True], atok[1:] != atok[:-1]])
+    known = atok[new]
+    key = ((np.cumsum(new) - 1) << 32) | (a["at"] & 0xFFFFFFFF)
+    place = np.minimum(np.searchsorted(known, b["tok"]), len(known) - 1)
+    good = known[place] == b["tok"]
+    b, place = b[good], place[good]
+    size = b["at"] & 0xFFFFFFFF
+    lo, hi = np.searchsorted(key, (place << 32) | size), np.searchsorted(key, (place << 32) | (size * 5 // 4), "right")
+    sides = []
+    for arr, n in ((a, key & 0xFFFFFFFF), (b, size)):
+        sides.append((n.astype(np.int32), (n - 1 - arr["p"]).astype(np.int32), np.ascontiguousarray(arr["sig"])))
+    (an, aleft, asig), (bn, bleft, bsig) = sides
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    for first in range(0, int(total[-1]), PAIRS):
+        last = min(first + PAIRS, int(total[-1]))
+        one, end = np.searchsorted(total, [first, last - 1], "right") - 1
+        rows = np.arange(one, end + 1)
+        start = np.maximum(total[rows], first)
+        per = np.minimum(total[rows + 1], last) - start
+        y = np.repeat(rows, per)
+        x = np.arange(first, last) - np.repeat(total[rows] - lo[rows], per)
+        both = an[x] + bn[y]
+        least = (4 * both + 8) // 9
+        keep = np.flatnonzero((1 + np.minimum(aleft[x], bleft[y]) >= least) & (np.bitwise_count(asig[x] ^ bsig[y]) <= both - 2 * least))
+        x, y, most = x[keep], y[keep], (both - 2 * least)[keep]
+        p, q = a[x], b[y]
+        d = [p[c] ^ q[c] for c in _SIGNS]
+        rest = d[0] ^ d[1] ^ d[2] ^ d[3]
+        quarters = sum(np.bitwise_count(v).astype(np.int64) for v in (rest, *d[1:]))
+        both_long = ((p["at"] & 0xFFFFFFFF) > LONG_LINE) & ((q["at"] & 0xFFFFFFFF) > LONG_LINE)
+        keep = ~both_long | (quarters <= most)
+        p, q = p[keep], q[keep]
+        pl, ql = p["at"] >> 32, q["at"] >> 32
+        later = (p["id"] > q["id"]) | ((p["id"] == q["id"]) & (pl > ql))
+        same = (p["id"] == q["id"]) & (pl == ql)
+        equal = (p["at"] & 0xFFFFFFFF) == (q["at"] & 0xFFFFFFFF)
+        settled = np.where(later, p["f"] & _DONE, q["f"] & _DONE) > 0
+        keep = ~same & ~settled & (~equal | later)
+        p, q, later = p[keep], q[keep], later[keep]
+        if len(p):
+            yield np.where(later, p, q), np.where(later, q, p)
+
+
+_PAIR = [f"{s}{c}" for s in ("x_", "y_") for c in ("id", "at", "sig")]
+
+
+def _met(packed: DataFrame, cells: int) -> DataFrame:
+    """Pairs of lines (x later than y) that meet in a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        cell = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for x, y in _meetings(np.concatenate(held)) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(s[c]).view(np.int64)) for s in (x, y) for c in ("id", "at", "sig")], _PAIR)
+
+        for b in batches:
+            for c, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if c != cell:
+                    yield from settle()
+                    held, cell = [], c
+                held.append(np.frombuffer(blob.as_buffer(), _POSTING))
+        yield from settle()
+
+    dealt = packed.repartition(cells, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in _PAIR)).distinct()
+
+
+def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame, counts: np.ndarray) -> DataFrame:
     """Lines (id, at, sig) that have an earlier line of another, similar set."""
     # Of equal sets only the first line goes on. Few lines have one, and only those join.
     lines = sets.filter("n > 3")
@@ -125,43 +348,16 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     maybe = marked.filter(twice).join(again, list(_SET), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
     lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    some = lines.select("id", where.alias("at"), *_SIGNS, "prefix")
-    own = ["id", "at", *_SIGNS, "p"]
-
-    def size(at: str) -> Column:
-        return F.col(at).bitwiseAND((1 << 32) - 1)
-
-    def earlier(a: str, b: str) -> Column:
-        """Line a stands before line b (the size in ``at`` decides nothing here)."""
-        return (F.col(f"{a}id") < F.col(f"{b}id")) | ((F.col(f"{a}id") == F.col(f"{b}id")) & (F.shiftright(f"{a}at", 32) < F.shiftright(f"{b}at", 32)))
-
-    def alike(a: str, b: str) -> Column:
-        """Sizes and parities leave the pair open."""
-        na, nb = size(f"{a}at"), size(f"{b}at")
-        least = F.ceil((na + nb) * 4 / 9)
-        delta = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in _SIGNS]
-        quarters = [delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3]), *delta[1:]]
-        apart = F.coalesce(sum((F.bit_count(q) for q in quarters[1:]), F.bit_count(quarters[0])), F.bit_count(delta[0]))
-        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (apart <= na + nb - 2 * least)
-
-    def possible(a: str, b: str) -> Column:
-        """The positions of a common word, too."""
-        na, nb = size(f"{a}at"), size(f"{b}at")
-        common = 1 + F.least(na - 1 - F.col(f"{a}p"), nb - 1 - F.col(f"{b}p"))
-        return (common >= F.ceil((na + nb) * 4 / 9)) & alike(a, b)
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("tok", F.col("done").alias(f"{name}done"), *[F.col(c).alias(f"{name}{c}") for c in own])
-
-    pair = [f"{s}{c}" for s in ("x_", "y_") for c in ("id", "at", "sig")]
+    some = lines.select("id", where.alias("at"), *_SIGNS, *_ENDS, "prefix")
+    size = lambda at: F.col(at).bitwiseAND((1 << 32) - 1)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The x lines of the pairs that match, by both lines' whole sets from the texts."""
         ends = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"), F.col("y_sig").alias("sig"))).distinct()
         keep = _sieve(ends.select(F.xxhash64("id", F.shiftright("at", 32)).alias("h")))
-        pool = _lines(docs).withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep)
-        pool = pool.select("id", "line_no", _hashed("line").alias("toks")).withColumns({"n": F.size("toks"), "sig": _parity(F.col("toks"))})
-        pool = pool.select("id", where.alias("at"), "sig", "toks").join(ends, ["id", "at", "sig"])
+        texts = _texts(docs).select("id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        pool = texts.withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep).select("id", "line_no", "line")
+        pool = _whole_sets(pool).join(ends, ["id", "at", "sig"])
         pool = stored(pool.groupBy("id", "at", "sig").agg(F.first("toks").alias("toks")))
         p = pairs
         for s in ("x", "y"):
@@ -170,61 +366,61 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         match = 5 * both >= 4 * (F.size("x_toks") + F.size("y_toks") - both)
         return stored(p.filter(match).select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).distinct())
 
-    # First every line meets the first line with the same least hash of its prefix, for
-    # some hash functions.
-    least = lambda k: F.array_min(F.transform("prefix", lambda x: F.xxhash64(F.lit(k), x)))
-    ends = some.select("id", "at", "sig", F.explode(F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(HEADS)])).alias("end"))
+    # First every line meets the first lines with the same end words.
+    ends = some.select("id", "at", "sig", F.explode(F.array(*[F.xxhash64(F.lit(k), c) for k, c in enumerate(_ENDS)])).alias("end"))
     heads = ends.groupBy("end").agg(F.min(F.struct("id", "at", "sig")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     heads = heads.select("end", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "at", "sig")])
     na, nb = size("h_at"), size("at")
     near = (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (F.bit_count(F.col("h_sig").bitwiseXOR(F.col("sig"))) <= na + nb - 2 * F.ceil((na + nb) * 4 / 9))
-    star = ends.join(heads, "end").filter(earlier("h_", "") & near)
+    earlier = (F.col("h_id") < F.col("id")) | ((F.col("h_id") == F.col("id")) & (F.shiftright("h_at", 32) < F.shiftright("at", 32)))
+    star = ends.join(heads, "end").filter(earlier & near)
     star = star.select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
     found = verified(stored(star.distinct()))
-    done = some.join(small(found.withColumn("done", F.lit(True))), ["id", "at", "sig"], "left")
-    words = done.select("id", "at", *_SIGNS, "done", F.posexplode("prefix").alias("p", "tok")).repartition(shuffle_width(docs.sparkSession), "tok")
-    x, y = side(words, "x_"), side(words, "y_")
-    # ``done`` is true or null. The condition is over both sides, and what it asks of y
-    # always holds, so that both sides read the same shuffle.
-    settled = F.coalesce(F.col("x_done") & (F.col("y_done") | F.col("y_done").isNull()), F.lit(False))
-    rest = x.join(y, (x["tok"] == y["tok"]) & ~settled & earlier("y_", "x_") & possible("y_", "x_")).select(*pair).distinct()
-    return found.unionByName(verified(stored(rest)))
-
-
-def judged_lines(docs: DataFrame) -> DataFrame:
-    """For every document row (id, th) the array ``gone``: for each line whether it goes."""
-    sets = _line_sets(docs)
+    done = some.join(small(found.withColumn("done", F.lit(True))), ["id", "at", "sig"], "left").select("id", "at", *_SIGNS, "done", "prefix")
+    postings = sets.filter("n > 3").agg(F.sum(F.size("prefix"))).first()[0] or 0
+    cells = max(shuffle_width(docs.sparkSession), -(-postings * _POSTING.itemsize // CELL_BYTES))
+    return found.unionByName(verified(stored(_met(_packed(done, cells, counts), cells))))
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """For every document row (id, th) that loses lines their numbers, sorted: ``removed``."""
+    counts = word_counts(docs)
+    sets = _line_sets(docs, counts)
     distinct = stored(sets.filter("n > 0").groupBy(*_SET).agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")))
     # A set goes as a whole if its first line does; its other lines go anyway.
-    matched = _later_matches(docs, sets, distinct).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
-    matched = sets.select("id", "line_no", *_SET).join(matched, ["id", "line_no", "sig"]).select(*_SET, F.struct("id", "line_no").alias("first"))
-    matched = matched.join(distinct, [*_SET, "first"], "left_semi").select(*_SET, F.lit(True).alias("matched")).distinct()
-    facts = stored(distinct.select(*_SET, "first").join(matched, list(_SET), "left"))
-    flags = sets.select("id", "th", "line_no", *_SET).join(facts, list(_SET), "left")
-    gone = F.col("first").isNotNull() & (F.col("matched").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
-    flags = flags.select("id", "th", "line_no", gone.alias("gone"))
-    each = flags.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("line_no", "gone"))).alias("all"))
-    return each.select("id", "th", F.col("all.gone").alias("gone"))
+    matched = _later_matches(docs, sets, distinct, counts).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
+    maybe = _sieve(matched.select(F.xxhash64("id", "line_no").alias("h")))
+    matched = sets.select("id", "line_no", *_SET, F.xxhash64("id", "line_no").alias("h")).filter(maybe).join(matched, ["id", "line_no", "sig"])
+    matched = matched.select(*_SET, F.struct("id", "line_no").alias("first")).distinct().withColumn("matched", F.lit(True))
+    repeated = distinct.filter("c > 1").select(*_SET, "first", F.lit(False).alias("matched"))
+    # Of lines that share an id and a number, only the one that is its set's first counts.
+    matched = matched.join(distinct, [*_SET, "first"], "left_semi")
+    facts = stored(repeated.unionByName(matched).groupBy(*_SET).agg(F.max("matched").alias("matched"), F.min("first").alias("first")))
+    told = _sieve(facts.select(F.xxhash64(*_SET).alias("h")))
+    rows = sets.filter("n > 0").select("id", "th", "line_no", *_SET, F.xxhash64(*_SET).alias("h")).filter(told).join(facts, list(_SET))
+    gone = rows.filter(F.col("matched") | (F.col("first") != F.struct("id", "line_no")))
+    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed lines' numbers (from 0) of every document."""
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
-    removed = F.filter(F.transform("gone", lambda g, i: F.when(g, i)), lambda x: x.isNotNull())
-    out = keys.join(judged_lines(docs), ["id", "th"])
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"), lines.cast("long").alias("n_lines"))
+    out = keys.join(small(stored(removed_lines(docs))), ["id", "th"], "left")
     return out.select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"),
-        F.size("gone").cast("long").alias("n_lines"),
-        F.size(removed).cast("long").alias("n_removed"),
-        F.concat_ws(",", F.transform(removed, lambda x: x.cast("string"))).alias("removed_lines"),
+        "n_lines",
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed_lines"),
     )
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; a text keeps its other lines, joined by \\n."""
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
-    gone = stored(judged_lines(docs).filter(F.exists("gone", lambda g: g)))
+    gone = stored(removed_lines(docs))
     own = F.col("row.text")
-    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.col("gone")[i]), "\n")
-    text = F.when(F.col("gone").isNotNull(), kept).otherwise(own).alias("text")
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNotNull(), kept).otherwise(own).alias("text")
     return keyed.join(small(gone), ["id", "th"], "left").select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
