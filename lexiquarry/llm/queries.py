@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import decontaminate, fingerprint, html_text, language, lines, mixing, neardup, secret_scan, substrings, url_filter
+from lexiquarry.llm import decontaminate, fingerprint, html_text, language, lines_packed, mixing, neardup, secret_scan, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_report(_table(spark, sf_dir, "documents"))
+    return lines_packed.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
