@@ -13,7 +13,7 @@
    passages. Their cosine with a passage is scaled by the window's length over the
    passage's: so it is the share of the passage's weight that the window holds, and a
    short item in other text scores as a long one does. Windows whose words can't bring
-   ``COSINE`` to any passage are done; the rest are projected, and their scaled cosine
+   ``COSINE`` to any passage, by the largest shares in groups of passages, are done; the rest are projected, and their scaled cosine
    with all passages decides; a hit is a candidate for the passage's whole item. Who keeps
    half of an item's words keeps half of the words of one of its passages, at random
    about half its weight. (No strict bound: a paraphrase that keeps little but the most
@@ -53,6 +53,8 @@ FEATURES = 1 << 20
 RANK = 256
 #: Passages that one pass over the documents searches for (or those of one item).
 PART = 1024
+#: Parts of a block whose passages are ruled out together.
+GROUPS = 24
 WINDOW = 48
 #: Least cosine, times the window's length over the passage's: the share of the
 #: passage's weight that the window holds, whatever else it holds.
@@ -115,7 +117,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 class Block:
     """At most RANK passages in a latent space that they span. vocabulary: their features;
     basis: a row for each of these; shares: the largest share of a passage's weight that
-    one such word brings; latent: the passages, over their squared length; lost: what the
+    one such word brings, for each of GROUPS groups of passages; latent: the passages, over their squared length; lost: what the
     space leaves out of them, alike; items: the number of each one's item."""
 
     vocabulary: np.ndarray
@@ -249,11 +251,12 @@ def _index(spark: SparkSession, items: list[tuple], codes: np.ndarray, rank: int
     for b in range(count):
         at, of = np.flatnonzero(keys >> 20 == b), np.flatnonzero(block == b)
         vocabulary = keys[at] & (FEATURES - 1)
-        shares, latent, lost = np.zeros(len(at)), np.zeros((len(of), basis.shape[1])), np.zeros(len(of))
+        shares, latent, lost = np.zeros((len(at), GROUPS), np.float32), np.zeros((len(of), basis.shape[1])), np.zeros(len(of))
         for k, i in enumerate(of):
             f, w, size = _weights(pieces[i][1], idf)
             slots = np.searchsorted(vocabulary, f)
-            shares[slots] = np.maximum(shares[slots], w * idf[f] / size**2)
+            group = k * GROUPS // len(of)
+            shares[slots, group] = np.maximum(shares[slots, group], w * idf[f] / size**2)
             latent[k] = (w / size**2) @ basis[at[slots]]
             lost[k] = np.sqrt(max(0.0, size**-2 - (latent[k] ** 2).sum()))
         blocks.append(Block(vocabulary, basis[at].astype(np.float16), shares, latent.astype(np.float32), lost.astype(np.float32), np.array([pieces[i][0] for i in of])))
@@ -323,9 +326,11 @@ def _candidates(words: np.ndarray, first: np.ndarray, index: Index, window: int,
         before = np.concatenate([[0], np.cumsum(active)])
         slots = np.searchsorted(block.vocabulary, f[active])
         heavy = w[active].astype(np.float32)
-        # No passage can get more from a window than the largest shares of its words.
-        most = np.concatenate([[0.0], np.cumsum(block.shares[slots])])
-        near = np.flatnonzero(most[before[stop]] - most[before[start]] >= cosine - 1e-6)
+        # No passage of a group can get more from a window than the group's largest shares
+        # of its words.
+        most = np.zeros((len(slots) + 1, block.shares.shape[1]))
+        np.cumsum(block.shares[slots], axis=0, dtype=np.float64, out=most[1:])
+        near = np.flatnonzero((most[before[stop]] - most[before[start]]).max(axis=1, initial=0.0) >= cosine - 1e-6)
         reach = np.concatenate([[0.0], np.cumsum(heavy, dtype=np.float64)])
         for c in range(0, len(near), 4096):
             part = near[c : c + 4096]
@@ -369,9 +374,11 @@ def leaks_of(words: np.ndarray, first: np.ndarray, index: Index, window: int = W
         target = index.words[item]
         n = len(target)
         a, b = max(int(first[row]), start - n), min(int(first[row + 1]), start + window + n)
-        near = words[a:b].tolist()
-        share = common_subsequence(near, target.tolist()) / n
+        near, sought = words[a:b].tolist(), target.tolist()
         have = set(near)
+        if sum(map(have.__contains__, sought)) < PARAPHRASE * n:  # nor can a subsequence be longer
+            continue
+        share = common_subsequence(near, sought) / n
         answer = len(index.answers[item] & have) / max(1, len(index.answers[item]))
         if share >= COPY or (share >= PARAPHRASE and answer >= ANSWER):
             if n < SHORT and share < 1:
