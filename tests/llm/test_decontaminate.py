@@ -120,3 +120,22 @@ def test_long_items_are_found(spark):
     docs = [(n, f"{text(100)} {item} {text(100)}") for n, item in items] + [(0, text(900))]
     leaks = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in leaks.collect() if r["lcs"] == 1} == {(n, n) for n, _ in items}
+
+
+def test_ruling_out_by_groups_of_passages_loses_no_window(spark):
+    docs, items, _ = make(6)
+    index = dc.build_index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).opened()
+    texts = [dc._item_words(t) for _, t in docs]
+    words, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    screened = set(c[:3] for c in dc._candidates(words, first, index, dc.WINDOW, dc.COSINE))
+    for block in index.blocks:
+        block.shares = np.ones_like(block.shares)  # rules out no window that has a word of the block
+    every = set(c[:3] for c in dc._candidates(words, first, index, dc.WINDOW, dc.COSINE))
+    assert screened == every and len(every) > 50
+
+
+def test_a_subsequence_is_no_longer_than_the_words_that_are_there():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, int(rng.integers(0, 40))).tolist(), rng.integers(0, 12, int(rng.integers(1, 20))).tolist()
+        assert dc.common_subsequence(a, b) <= sum(x in set(a) for x in b)
