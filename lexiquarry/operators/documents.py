@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiquarry.sources.keyed_store import KeyedStore
+
 # Ordered rules of the classifiers.
 DOC_TYPES = (
     (("QCVN",), "QCVN"), (("TCVN",), "TCVN"), (("VBHN",), "VB_HOP_NHAT"), (("NĐ-", "NĐ/", "ND-", "ND/"), "NGHI_DINH"), (("NQ-", "NQ/", "QH15", "QH14"), "NGHI_QUYET"),
@@ -215,11 +217,14 @@ def chunk_audit(chunks: DataFrame) -> DataFrame:
     return n.join(F.broadcast(dup)).withColumn("ratio", F.col("children") / F.greatest(F.col("parents"), F.lit(1)))
 
 
-def claimed(state: DataFrame, stale: Column) -> DataFrame:
-    """Which rows a worker may claim: pending, failed with retries left, or stale claims."""
-    s = F.col("status")
-    ok = (s == "PENDING") | ((s == "FAILED") & (F.col("retries") < 3)) | ((s == "CLAIMED") & stale)
-    return state.withColumn("claimable", ok).withColumn("new_status", F.when(ok, "CLAIMED").otherwise(s))
+def claim(store: KeyedStore, files: DataFrame, stale: float = 120.0) -> list[int]:
+    """Claims files (key, owner, claimed_at) in a store with status and retries: what is new,
+    pending, failed with retries left, or claimed so long ago that it is stale. Of a file that
+    another worker holds nothing changes. Returns the folders that were written."""
+    s = F.col("held.status")
+    ok = F.coalesce((s == "PENDING") | ((s == "FAILED") & (F.col("held.retries") < 3)) | ((s == "CLAIMED") & (F.col("held.claimed_at") < F.col("new.claimed_at") - stale)), F.col("held").isNull())
+    take = {c: F.when(ok, F.col(f"new.{c}")).otherwise(F.col(f"held.{c}")) for c in ("owner", "claimed_at")}
+    return store.upsert(files, take | {"status": F.when(ok, "CLAIMED").otherwise(s), "retries": F.coalesce("held.retries", F.lit(0))})
 
 
 def collision_free_ids(rows: DataFrame, doc_id: str, path: str) -> DataFrame:

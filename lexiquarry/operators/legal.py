@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import fold, integer_token, squash
 from lexiquarry.operators.documents import is_garbled_table
+from lexiquarry.sources.keyed_store import KeyedStore
 
 # Patterns that results must equal.
 STANDARD = r"(?iu)(?<![\p{L}\p{N}_])(QCVN|TCVN|TCCS|QCĐP|QCDP)\s*(\d+)\s*[:/]\s*(\d{4})"
@@ -138,3 +139,14 @@ def anchored_chunks(docs: DataFrame, key: str, text: str, marker: str, most: int
     chunk = F.when(F.col("parts") > 1, F.substring(F.col("s"), F.col("k") * part + 1, F.lit(part))).otherwise(F.col("s"))
     name = F.concat(F.col(key).cast("string"), F.lit("::p1::"), F.col("n").cast("string"), F.when(F.col("parts") > 1, F.concat(F.lit("::part"), (F.col("k") + 1).cast("string"))).otherwise(""))
     return rows.select(key, name.alias("chunk_id"), chunk.alias("chunk"))
+
+
+def version_update(status: KeyedStore, edges: KeyedStore, versions: DataFrame) -> None:
+    """Tells the stores of new versions (new, supersedes, amends; nulls: none): what is superseded
+    becomes SUPERSEDED, what is amended OUTDATED unless it is superseded, and each gets an
+    edge. status holds (id, status), edges (key, src, rel, dst). Telling it again changes nothing."""
+    pair = lambda rel, column: F.when(F.col(column).isNotNull(), F.struct(F.lit(rel).alias("rel"), F.col(column).alias("dst")))
+    said = versions.select(F.col("new").alias("src"), F.inline(F.array_compact(F.array(pair("SUPERSEDES", "supersedes"), pair("AMENDS", "amends")))))
+    hit = said.groupBy(F.col("dst").alias("id")).agg(F.when(F.bool_or(F.col("rel") == "SUPERSEDES"), "SUPERSEDED").otherwise("OUTDATED").alias("status"))
+    status.upsert(hit, {"status": F.when(F.col("held.status") == "SUPERSEDED", F.col("held.status")).otherwise(F.col("new.status"))})
+    edges.upsert(said.select(F.concat_ws(">", F.col("src").cast("string"), "rel", F.col("dst").cast("string")).alias("key"), "src", "rel", "dst"), {})

@@ -65,6 +65,20 @@ def overlap_share(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1)))
 
 
+def best_covered(items: DataFrame, docs: DataFrame, item: str, doc: str, k: int) -> DataFrame:
+    """(item, doc, share, rank): of each item (item, bw: distinct words) the k documents
+    (doc, dw: distinct words) that have the largest share of its words; ties go by doc.
+    Documents that share no word are in no answer, except for an item without words, which
+    all cover. Words meet by a join, so only pairs with a word in common are counted."""
+    w = W.partitionBy(item).orderBy(F.desc("share"), doc)
+    asked = items.filter(F.size("bw") > 0).select(item, F.size("bw").alias("n"), F.explode("bw").alias("word"))
+    met = docs.select(doc, F.explode("dw").alias("word")).join(asked, "word").groupBy(item, doc, "n").agg(F.count("*").alias("c"))
+    scored = met.select(item, doc, F.round(F.col("c") / F.col("n"), 6).alias("share"))
+    first = docs.select(doc).orderBy(doc).limit(k).withColumn("bare", F.lit(True))
+    bare = items.filter(F.size("bw") == 0).select(item, F.lit(True).alias("bare")).join(first, "bare").select(item, doc, F.lit(1.0).alias("share"))
+    return scored.unionByName(bare).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def even_sample(pages: DataFrame, doc: str, page: str, rate: float = 0.3) -> DataFrame:
     """Every step-th page after the first, n = clamp(floor(rate * pages), 2, 5) of them."""
     total = F.count("*").over(W.partitionBy(doc))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,38 +37,24 @@ def l2_normalise(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("size", F.when(n == 0, F.lit(1.0)).otherwise(n)).withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("size"))).drop("size")
 
 
-def dense_scores(rows: DataFrame, query: DataFrame, vector: str) -> DataFrame:
-    """rows with their cosine to the one vector of ``query`` (a table of one row)."""
-    q = query.select(F.col(vector).alias("query_vector")).limit(1)
-    return rows.join(F.broadcast(q)).withColumn("score", cosine(vector, "query_vector")).drop("query_vector")
-
-
 def term_frequencies(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): words of lower-cased letters and digits."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
     return rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def sparse_scores(rows: DataFrame, query_terms: DataFrame, key: str, text: str) -> DataFrame:
-    """Inner product of the term counts of each text with ``query_terms`` (term, qtf), the
-    terms of one query: every occurrence adds its qtf, so only hits are aggregated."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    hits = rows.select(key, F.explode(words).alias("term")).join(F.broadcast(query_terms), "term")
-    return hits.groupBy(key).agg(F.sum("qtf").cast("double").alias("score"))
-
-
-def top_k(df: DataFrame, k: int, score: str, key: str) -> DataFrame:
-    """The k best with their rank; ties go by key."""
-    best = df.orderBy(F.desc(score), F.asc(key)).limit(k)
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc(key))))
+def first_of_each(df: DataFrame, k: int, query: str, score: str, key: str) -> DataFrame:
+    """The k best of each query with their rank; ties go by key."""
+    order = W.partitionBy(query).orderBy(F.desc(score), F.asc(key))
+    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
-    """Fused scores of ranked lists (key, rank)."""
-    union = lists[0].select(key, "rank")
+def reciprocal_rank_fusion(lists: list[DataFrame], query: str, key: str, k: int = RRF_K) -> DataFrame:
+    """Fused scores of ranked lists (query, key, rank)."""
+    union = lists[0].select(query, key, "rank")
     for x in lists[1:]:
-        union = union.unionByName(x.select(key, "rank"))
-    return union.groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fused"))
+        union = union.unionByName(x.select(query, key, "rank"))
+    return union.groupBy(query, key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fused"))
 
 
 def boosted(df: DataFrame) -> DataFrame:
@@ -121,39 +107,62 @@ def with_status(rows: DataFrame, status: DataFrame, key: str) -> DataFrame:
     return out.withColumn("text", F.when(F.col("status") == "OUTDATED", F.concat(F.lit("[OUTDATED] "), F.col("text"))).otherwise(F.col("text")))
 
 
-def nearest_match(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
-    """For each query vector the best other cached vector under the same filter_key, if
-    its cosine is ``least`` or more. Queries: (q_id, filter_key, q_vec); cache: (c_id, filter_key, c_vec)."""
-    # Queries and cache of a key are dealt to a grid of cells of bounded size, each cell is
-    # one product of matrices, and a query keeps the best of its cells.
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column as a matrix of unit rows; zero rows stay."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    m = flat.reshape(len(column), -1).astype(np.float64)
+    n = np.sqrt((m**2).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+#: Queries that meet a cell's vectors together: their similarities are the largest matrix.
+_TOGETHER = 256
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+    """(q_id, c_id, sim, rank): for each query (q_id, filter_key, q_vec) the k rows (c_id,
+    filter_key, c_vec) of the largest cosine under the same filter_key, from ``least`` on; exact.
+    A row of the query's own id is left out. Cosines are rounded to nine digits, ties go by c_id;
+    a null filter_key meets no other; zero vectors match nothing."""
+    # Queries and rows of a key are dealt to a grid of cells of bounded size, each cell is
+    # some products of matrices, and a query keeps the best of its cells.
     def side(df: DataFrame, i: str, v: str, most: int, cells: str) -> tuple[DataFrame, DataFrame]:
         n = df.groupBy("filter_key").agg(F.ceil(F.count("*") / most).cast("int").alias(cells))
-        return df.select("filter_key", F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")), n
+        return df.select(F.col("filter_key").alias("filter_key"), F.col(i).cast("long").alias("id"), F.col(v).alias("v")), n
 
-    (q, nq), (c, nc) = side(queries, "q_id", "q_vec", 4096, "nq"), side(cache, "c_id", "c_vec", 16384, "nc")
+    (q, nq), (c, nc) = side(queries, "q_id", "q_vec", 4096, "nq"), side(rows, "c_id", "c_vec", 16384, "nc")
     grid = nq.join(nc, "filter_key")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     q = q.join(grid, "filter_key").select("filter_key", place("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("j"), "id", "v")
     c = c.join(grid, "filter_key").select("filter_key", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), place("nc").alias("j"), "id", "v")
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "c_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        if not len(a) or not len(b):
-            return out
-        b = b.sort_values("id")
-        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-        lengths = np.outer(np.sqrt((x**2).sum(axis=1)), np.sqrt((y**2).sum(axis=1)))
-        sims = np.divide(x @ y.T, lengths, out=np.full(lengths.shape, -2.0), where=lengths > 0)
-        ids = b["id"].to_numpy()
-        sims[a["id"].to_numpy()[:, None] == ids[None, :]] = -2.0
-        at = sims.argmax(axis=1)  # of equal ones the first, the least id
-        best = sims[np.arange(len(a)), at]
-        keep = best >= least
-        return pd.DataFrame({"q_id": a["id"].to_numpy()[keep], "c_id": ids[at][keep], "sim": best[keep]})
-
-    found = q.groupBy("filter_key", "i", "j").cogroup(c.groupBy("filter_key", "i", "j")).applyInPandas(cell, "q_id long, c_id long, sim double")
-    best = found.groupBy("q_id").agg(F.max_by(F.struct("c_id", "sim"), F.struct(F.col("sim"), -F.col("c_id"))).alias("b"))
-    return best.select("q_id", "b.c_id", "b.sim")
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(a) and len(b):
+            b = b.sort_by("id")
+            ids, own, y = b["id"].to_numpy(), a["id"].to_numpy(), _rows(b["v"])
+            x = _rows(a["v"])
+            for at in range(0, len(own), _TOGETHER):
+                mine = own[at : at + _TOGETHER]
+                sims = np.round(x[at : at + _TOGETHER] @ y.T, 9)
+                sims[mine[:, None] == ids[None, :]] = -np.inf
+                bar = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k]) if sims.shape[1] > k else np.full(len(mine), least)
+                i, j = np.nonzero((sims >= bar[:, None]) & np.isfinite(sims))
+                order = np.lexsort((j, -sims[i, j], i))  # of equal ones the least id first
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append((mine[i[keep]], ids[j[keep]], sims[i[keep], j[keep]]))
+        return pa.table([np.concatenate(p) for p in zip(*found, strict=True)], names=["q_id", "c_id", "sim"])
+
+    met = q.filter("v IS NOT NULL").groupBy("filter_key", "i", "j").cogroup(c.filter("v IS NOT NULL").groupBy("filter_key", "i", "j")).applyInArrow(cell, "q_id long, c_id long, sim double")
+    order = W.partitionBy("q_id").orderBy(F.desc("sim"), "c_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def nearest_match(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
+    """For each query vector the best other cached vector under the same filter_key, if
+    its cosine is ``least`` or more. Queries: (q_id, filter_key, q_vec); cache: (c_id, filter_key, c_vec)."""
+    return nearest(queries, cache, 1, least).drop("rank")
 
 
 def decayed_top(turns: DataFrame, decay: float = 0.8, keep: int = 20) -> DataFrame:

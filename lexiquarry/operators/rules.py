@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiquarry.operators.intervals import interval_join
+
 # Fixed values of the rules: words, dates, tables and messages that results must equal.
 EXCLUDED_WORDS = ("thuốc nổ", "kho đạn", "pháo hoa", "lọc dầu", "hóa dầu", "hạt nhân", "lò phản ứng", "công trình biển", "giàn khoan")
 NEW_LAW_DATE = "2026-07-01"
@@ -114,12 +116,11 @@ def scope_gate(projects: DataFrame, cutoff_06: str, cutoff_04: str) -> DataFrame
     return out.withColumn("edition_04", F.when(F.array_contains("codes", "QCVN 04"), F.when(at < F.lit(cutoff_04).cast("date"), "original").otherwise("amended")))
 
 
-def edition_at(rows: DataFrame, day: str, editions: DataFrame) -> DataFrame:
-    """Range join: the edition with valid_from <= day < valid_to. editions is a short
-    list; nulls are open ends."""
-    lo = F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(day))
-    hi = F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))
-    return rows.join(F.broadcast(editions), lo & hi, "left")
+def edition_at(rows: DataFrame, key: str, day: str, editions: DataFrame) -> DataFrame:
+    """rows (``key`` is theirs alone) with the edition for which valid_from <= day < valid_to;
+    nulls are open ends, a day without an edition has none."""
+    met = interval_join(rows.select(key, day), day, editions, "valid_from", "valid_to").drop(day)
+    return rows.join(met, key, "left")
 
 
 def charging_findings(params: DataFrame, grace_before: str = "2026-12-15") -> DataFrame:

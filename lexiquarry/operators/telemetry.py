@@ -72,11 +72,14 @@ def windowed_rate(events: DataFrame, ts: str, length: str, slide: str, bad: Colu
     return g.select(F.col("w.start").alias("start"), *keys, "bad", "n", (F.col("bad") / F.col("n")).alias("share"))
 
 
-def sustained(windows: DataFrame, holds: Column, k: int, start: str = "start") -> DataFrame:
-    """Windows that end a run of at least k windows, each holding."""
-    w = W.partitionBy(F.lit(0)).orderBy(start)
-    runs = windows.withColumn("holds", holds).withColumn("grp", F.sum(F.when(~F.col("holds"), 1).otherwise(0)).over(w))
-    return runs.filter("holds").withColumn("len", F.row_number().over(W.partitionBy("grp").orderBy(start))).filter(F.col("len") >= k).drop("grp", "holds")
+def sustained(windows: DataFrame, holds: Column, k: int, seconds: int, *keys: str, start: str = "start") -> DataFrame:
+    """Windows that end a run of at least k windows of a series (``keys``), each holding and
+    each ``seconds`` after the one before; ``len`` is the run's length so far."""
+    at = F.unix_seconds(F.col(start).cast("timestamp"))
+    w = W.partitionBy(*keys).orderBy(start)
+    # Windows in a row keep their time less their number.
+    runs = windows.filter(holds).withColumn("run", at - F.row_number().over(w) * seconds)
+    return runs.withColumn("len", F.row_number().over(W.partitionBy(*keys, "run").orderBy(start))).filter(F.col("len") >= k).drop("run")
 
 
 def latest_top(df: DataFrame, key: str, value: str, ts: str, tie: str, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import dedup_paragraphs
@@ -118,7 +119,9 @@ def report_scores(text: Column) -> Column:
 
 def flagged(rows: DataFrame, key: str, score: str, text: str, least: float) -> DataFrame:
     """Keys whose five best scores have a mean below ``least``, with three texts."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(score, text)))), 1, 5)
-    g = rows.groupBy(key).agg(top.alias("top"))
+    # Ranked before they are gathered, so a key's other rows stay where they are.
+    order = W.partitionBy(key).orderBy(F.col(score).desc_nulls_last(), F.col(text).desc_nulls_last())
+    best = rows.select(key, score, text, F.row_number().over(order).alias("_n")).filter("_n <= 5")
+    g = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", score, text))).alias("top"))
     mean = F.aggregate(F.transform("top", lambda x: x[score]), F.lit(0.0), lambda a, x: a + x) / F.size("top")
     return g.withColumn("mean", mean).filter(F.col("mean") < least).select(key, "mean", F.transform(F.slice("top", 1, 3), lambda x: F.substring(x[text], 1, 500)).alias("texts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiquarry.operators import chunk_udtf
 from lexiquarry.operators import chunking as k
 from lexiquarry.plans.planted import planted, planted_sql, quoted
 from lexiquarry.plans.registry import Registry
@@ -35,6 +36,17 @@ def ch1(spark, d):
     return c.groupBy("doc_id", "strategy").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(each, lambda x: x["chunk"]), "\u0001").cast("binary")).alias("h"))
 
 
+reg("ch1_chunk_udtf", ORACLES["ch1_strategy_chain"])(lambda spark, d: _by_udtf(spark, d))
+
+
+def _by_udtf(spark, d):
+    """The chain as a table function, called from SQL."""
+    chunk_udtf.register(spark)
+    c = spark.sql("SELECT doc_id, c.strategy, c.n, c.chunk FROM {docs}, LATERAL chunk_text(text) c", docs=planted(spark, d, KINDS).select("doc_id", "text"))
+    each = F.array_sort(F.collect_list(F.struct("n", "chunk")))
+    return c.groupBy("doc_id", "strategy").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(each, lambda x: x["chunk"]), "\u0001").cast("binary")).alias("h"))
+
+
 _TURNS = planted_sql(["Điều 1. Phạm vi\nĐiều 2. Đối tượng", "| a | b |\n| 1 | 2 |", "short turn", "| x | y |\n| 3 | 4 |", "words of a turn"], "conversations", ("conv_id", "turn"))
 _MERGE = """list_reduce([{'done': [], 'buf': ''}] || list_transform(t, lambda x: {'done': [], 'buf': x}), lambda a, x: {'done': CASE WHEN length(a.buf) >= 300 THEN list_append(a.done, a.buf) ELSE a.done END, 'buf': CASE WHEN a.buf = '' OR length(a.buf) >= 300 THEN x.buf ELSE a.buf || chr(10) || x.buf END})"""
 _BLOCKS = "CASE WHEN m.buf = '' THEN m.done WHEN len(m.done) > 0 AND length(m.buf) < 150 THEN list_append(m.done[1:len(m.done) - 1], m.done[len(m.done)] || chr(10) || m.buf) ELSE list_append(m.done, m.buf) END"

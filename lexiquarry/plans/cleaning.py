@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import line_passes as lp
+from lexiquarry.functions import segment
 from lexiquarry.functions import text as t
 from lexiquarry.operators import cleaning as c
 from lexiquarry.operators import documents as o
@@ -61,6 +62,16 @@ def tx7(spark, d):
     return planted(spark, d, STUCK).select("doc_id", digest(c.split_stuck_words(F.col("text"))))
 
 
+@reg("tx7_learned_splits")
+def tx7_learned(spark, d):
+    """Stuck words by a model of the documents' own words, over all of them; two words of every
+    document's are stuck together first."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    stuck = docs.withColumn("text", F.regexp_replace("text", r"(\p{Ll}{4,}) (\p{Ll}{4,}) ", "$1$2 "))
+    counts = segment.word_counts(docs, "text")
+    return segment.with_words_apart(stuck, "doc_id", "text", counts).select("doc_id", digest(F.col("text")), "n_split")
+
+
 @reg("tx9_syllable_boundaries")
 def tx9(spark, d):
     return planted(spark, d, ["tựtrảvềvịtrí", "cácthiếtbị phảiđược", "thu yền ngu yên"]).select("doc_id", digest(c.split_syllables(F.col("text"))))

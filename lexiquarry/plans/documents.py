@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as t
 from lexiquarry.operators import documents as o
+from lexiquarry.operators import phrases
+from lexiquarry.operators.intervals import interval_join
 from lexiquarry.plans.registry import Registry
-from lexiquarry.session import table
+from lexiquarry.session import scratch_dir, table
+from lexiquarry.sources.keyed_store import KeyedStore
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -230,11 +233,12 @@ def mx8(spark, d):
     return x.select("doc_id", F.md5(t.dedup_paragraphs(F.col("text")).cast("binary")).alias("h"))
 
 
-@reg("mx14_phrase_coverage", "WITH b AS (SELECT item_id, string_split(text, chr(10))[1] AS phrase FROM benchmark) SELECT d.doc_id, count(*) FILTER (contains(d.text, phrase)) AS hits, count(*) AS phrases FROM documents d, b GROUP BY 1")
+@reg("mx14_phrase_coverage", """WITH b AS (SELECT item_id, lower(string_split(text, chr(10))[1]) AS phrase, item_id % 4 = 0 AS is_banned FROM benchmark), w AS (SELECT list_sort(list(item_id) FILTER (NOT is_banned)) AS wanted FROM b),
+ h AS (SELECT doc_id, coalesce(list_sort(list(item_id) FILTER (NOT is_banned AND contains(lower(text), phrase))), []) AS hits, coalesce(list_sort(list(item_id) FILTER (is_banned AND contains(lower(text), phrase))), []) AS banned FROM documents, b GROUP BY 1)
+ SELECT doc_id, hits, list_filter(wanted, lambda x: NOT list_contains(hits, x)) AS misses, banned, round(greatest(100.0 * len(hits) / len(wanted) - 10.0 * len(banned), 0.0), 1) AS score FROM h, w""")
 def mx14(spark, d):
-    phrases = table(spark, d, "benchmark").select(F.split("text", "\n")[0].alias("p")).agg(F.collect_list("p").alias("ps"))
-    x = table(spark, d, "documents").join(F.broadcast(phrases))
-    return x.select("doc_id", F.size(F.filter("ps", lambda p: F.contains(F.col("text"), p))).cast("long").alias("hits"), F.size("ps").cast("long").alias("phrases"))
+    p = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.split("text", "\n")[0].alias("phrase"), (F.col("item_id") % 4 == 0).alias("is_banned"))
+    return phrases.phrase_scores(table(spark, d, "documents"), "doc_id", "text", p)
 
 
 @reg("pf4_noise_chunks", answers([("true",), ("true",), ("false",), ("true",)], "noise"))
@@ -280,13 +284,25 @@ def wn17(spark, d):
     return x.select("i", F.size(o.merged_segments(F.split("s", r"\|"))).cast("string").alias("n"))
 
 
-@reg("wn18_sentence_packing")
+# Ends of sentences without look-around: dots behind digits are set aside first, and starts of
+# lines that need what follows them are looked for twice, as two of them may share a line feed.
+_ENDS = "regexp_replace(regexp_replace(text, '([0-9])\\.', '\\1' || chr(2), 'g'), '\\.\\s+', chr(1), 'g')"
+for _mark in ("'\\n([0-9]+[.)' || chr(2) || '][\\s' || chr(1) || '])'",) * 2 + ("'\\n([a-z]\\)[\\s' || chr(1) || '])'",) * 2 + ("'\\n([A-Z])'",):
+    _ENDS = f"regexp_replace({_ENDS}, {_mark}, chr(1) || '\\1', 'g')"
+_SENTENCES = f"list_filter(list_transform(string_split(replace({_ENDS}, chr(2), '.'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_JOINED = "CASE WHEN a.buf = '' THEN x.buf ELSE a.buf || ' ' || x.buf END"
+_FOLD = f"list_reduce([{{'done': CAST([] AS VARCHAR[]), 'buf': ''}}] || list_transform({_SENTENCES}, lambda x: {{'done': CAST([] AS VARCHAR[]), 'buf': x}}), lambda a, x: {{'done': CASE WHEN length({_JOINED}) >= 300 THEN list_append(a.done, {_JOINED}) ELSE a.done END, 'buf': CASE WHEN length({_JOINED}) >= 300 THEN '' ELSE {_JOINED} END}})"
+_PACKS = "CASE WHEN m.buf = '' THEN m.done WHEN len(m.done) > 0 AND length(m.buf) < 150 THEN list_append(m.done[1:len(m.done) - 1], m.done[len(m.done)] || ' ' || m.buf) WHEN length(m.buf) > 100 THEN list_append(m.done, m.buf) ELSE m.done END"
+_PACKED = f"packed AS (SELECT doc_id, text, {_PACKS} AS packs FROM (SELECT doc_id, text, {_FOLD} AS m FROM documents))"
+
+
+@reg("wn18_sentence_packing", f"WITH {_PACKED} SELECT doc_id, i - 1 AS n, length(packs[i]) AS len, md5(packs[i]) AS h FROM (SELECT doc_id, packs, unnest(range(1, len(packs) + 1)) AS i FROM packed)")
 def wn18(spark, d):
     k = table(spark, d, "documents").select("doc_id", F.posexplode(o.packed_sentences(F.col("text"))).alias("n", "chunk"))
     return k.select("doc_id", "n", F.length("chunk").alias("len"), F.md5(F.col("chunk").cast("binary")).alias("h"))
 
 
-@reg("ch7_fallback_chunks")
+@reg("ch7_fallback_chunks", f"WITH {_PACKED} SELECT doc_id, 'parent' AS chunk_type, 0 AS n, length(text) AS len FROM documents WHERE length(text) > 30 UNION ALL SELECT doc_id, 'child', i, length(packs[i]) FROM (SELECT doc_id, packs, unnest(range(1, len(packs) + 1)) AS i FROM packed WHERE length(text) > 300)")
 def ch7(spark, d):
     return o.fallback_chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_type", "n", F.length("chunk").alias("len"))
 
@@ -338,12 +354,22 @@ def ag19(spark, d):
 _STATE = "s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'CLAIMED' ELSE 'COMPLETED' END AS status, o_custkey % 5 AS retries, o_orderdate < TIMESTAMP '1998-01-01' AS stale FROM orders)"
 
 
-@reg("sk10_claim_upsert", f"WITH {_STATE} SELECT o_orderkey, CASE WHEN status = 'PENDING' OR (status = 'FAILED' AND retries < 3) OR (status = 'CLAIMED' AND stale) THEN 'CLAIMED' ELSE status END AS new_status FROM s")
+@reg("sk10_claim_upsert", f"""WITH {_STATE}, c AS (SELECT *, o_orderkey % 3 = 0 AND (status = 'PENDING' OR (status = 'FAILED' AND retries < 3) OR (status = 'CLAIMED' AND stale)) AS mine FROM s)
+ SELECT o_orderkey, CASE WHEN mine THEN 'CLAIMED' ELSE status END AS status, CASE WHEN mine THEN 'w1' WHEN status = 'CLAIMED' THEN 'w0' END AS owner FROM c UNION ALL SELECT o_orderkey + 1000000000, 'CLAIMED', 'w1' FROM orders WHERE o_orderkey % 300 = 0""")
 def sk10(spark, d):
+    """Worker w1 claims a third of the files and some new ones, w2 the same a moment later, in vain."""
     x = table(spark, d, "orders")
     k = F.col("o_orderkey") % 4
-    s = x.select("o_orderkey", F.when(k == 0, "PENDING").when(k == 1, "FAILED").when(k == 2, "CLAIMED").otherwise("COMPLETED").alias("status"), (F.col("o_custkey") % 5).alias("retries"), (F.col("o_orderdate") < "1998-01-01").alias("stale"))
-    return o.claimed(s, F.col("stale")).select("o_orderkey", "new_status")
+    s = x.select("o_orderkey", F.when(k == 0, "PENDING").when(k == 1, "FAILED").when(k == 2, "CLAIMED").otherwise("COMPLETED").alias("status"), (F.col("o_custkey") % 5).cast("int").alias("retries"))
+    s = s.withColumns({"owner": F.when(F.col("status") == "CLAIMED", "w0"), "claimed_at": F.lit(1000.0)})
+    old = x.filter("o_orderdate < '1998-01-01'").select("o_orderkey", F.lit(0.0).alias("old"))
+    s = s.join(old, "o_orderkey", "left").withColumn("claimed_at", F.coalesce("old", "claimed_at")).drop("old")
+    store = KeyedStore(spark, scratch_dir(spark), "o_orderkey", "o_orderkey long, status string, retries int, owner string, claimed_at double")
+    store.create(s)
+    files = x.filter("o_orderkey % 3 = 0").select("o_orderkey").unionByName(x.filter("o_orderkey % 300 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey")))
+    for worker, now in (("w1", 1060.0), ("w2", 1061.0)):
+        o.claim(store, files.withColumns({"owner": F.lit(worker), "claimed_at": F.lit(now)}))
+    return store.read().select("o_orderkey", "status", "owner")
 
 
 @reg("sk11_collision_suffix", "SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) > 1 THEN c_mktsegment || '_DUP_' || substr(md5(c_name), 1, 6) ELSE c_mktsegment END AS unique_id FROM customer")
@@ -369,9 +395,16 @@ def sk3(spark, d):
     return table(spark, d, "documents").filter(~((F.col("doc_id") == 7) | (F.col("source") == "src3"))).select("doc_id")
 
 
-@reg("sk2_status_upsert", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'OUTDATED' ELSE 'ACTIVE' END AS status FROM documents")
+@reg("sk2_status_upsert", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'OUTDATED' ELSE 'ACTIVE' END AS status, source, 0 AS written_again FROM documents UNION ALL SELECT doc_id + 1000000000, 'OUTDATED', NULL, 0 FROM documents WHERE doc_id % 100 = 0")
 def sk2(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "src1", "OUTDATED").otherwise("ACTIVE").alias("status"))
+    """One source's documents and some new ones become outdated; the same upsert again writes nothing."""
+    x = table(spark, d, "documents").select("doc_id", F.lit("ACTIVE").alias("status"), "source")
+    store = KeyedStore(spark, scratch_dir(spark), "doc_id", "doc_id long, status string, source string")
+    store.create(x)
+    ids = x.filter("source = 'src1'").select("doc_id").unionByName(x.filter("doc_id % 100 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+    new = ids.withColumn("status", F.lit("OUTDATED"))
+    again = [store.upsert(new, {"status": F.col("new.status")}) for _ in range(2)][1]
+    return store.read().withColumn("written_again", F.lit(len(again)))
 
 
 @reg("mx17_children_per_parent", "SELECT r_name, count(n_nationkey) AS children FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
@@ -406,11 +439,19 @@ def mx31(spark, d):
     return table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", ((F.size("w") > 5) & (short > 0.3 * F.size("w"))).alias("broken"))
 
 
-@reg("jn13_line_in_segment", "SELECT l.n_nationkey, s.r_regionkey FROM nation l JOIN region s ON l.n_nationkey * 10 + 5 >= s.r_regionkey * 50 AND l.n_nationkey * 10 + 5 < s.r_regionkey * 50 + 50")
+@reg("jn13_line_in_segment", """WITH l AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey % 100 AS x, 15 * l_linenumber + l_quantity % 10 AS y FROM lineitem),
+ s AS (SELECT *, top + 28 AS bottom, edge + 80 AS side FROM (SELECT o_orderkey AS page, k, 30 * k + o_custkey % 13 AS top, o_orderkey % 7 AS edge FROM orders, (SELECT unnest(range(0, 4)) AS k)))
+ SELECT s.page, k, count(*) AS n, string_agg(n, ' ' ORDER BY y, n) AS lines FROM l JOIN s ON l.page = s.page AND y >= top AND y < bottom AND x >= edge AND x < side GROUP BY 1, 2""")
 def jn13(spark, d):
-    mid = F.col("n_nationkey") * 10 + 5
-    seg = table(spark, d, "region")
-    return table(spark, d, "nation").join(F.broadcast(seg), (mid >= F.col("r_regionkey") * 50) & (mid < F.col("r_regionkey") * 50 + 50)).select("n_nationkey", "r_regionkey")
+    """Lines whose centre lies in a segment's box, from top to bottom."""
+    i, k = table(spark, d, "lineitem"), F.col("k")
+    lines = i.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 100).alias("x"), (15 * F.col("l_linenumber") + F.col("l_quantity") % 10).alias("y"))
+    s = table(spark, d, "orders").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    s = s.select(F.col("o_orderkey").alias("page"), k.cast("long").alias("k"), (30 * k + F.col("o_custkey") % 13).alias("top"), (F.col("o_orderkey") % 7).alias("edge"))
+    s = s.withColumns({"bottom": F.col("top") + 28, "side": F.col("edge") + 80})
+    met = interval_join(lines, "y", s, "top", "bottom", ("page",)).filter("x >= edge AND x < side")
+    held = F.array_sort(F.collect_list(F.struct("y", "n")))
+    return met.groupBy("page", "k").agg(F.count("*").alias("n"), F.array_join(F.transform(held, lambda v: v["n"].cast("string")), " ").alias("lines"))
 
 
 @reg("jn6_alias_resolution", "SELECT c_custkey, c_custkey % 100 AS target FROM customer")

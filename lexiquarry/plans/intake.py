@@ -119,10 +119,11 @@ def fn30(spark, d):
     return _features(spark, d).select("event_id", n.page_difficulty(*map(F.col, _FEATURES)).alias("score"))
 
 
-@reg("mx27_blank_pages", "SELECT doc_id, doc_id % 4 <> 0 AND length(trim(substr(text, 1, CAST(doc_id % 90 AS INTEGER)))) <= 60 AND (doc_id % 11) / 10 > 0.9 AS blank FROM documents")
+@reg("mx27_blank_pages", "SELECT doc_id, doc_id % 4 <> 0 AND length(trim(coalesce(text, ''))) <= 60 AND greatest(0, 1 - length(coalesce(text, '')) / 4000.0) > 0.9 AS blank FROM documents")
 def mx27(spark, d):
-    text = F.substring("text", F.lit(1), (F.col("doc_id") % 90).cast("int"))
-    return table(spark, d, "documents").select("doc_id", n.is_blank_page(F.col("doc_id") % 11 / 10, text, F.col("doc_id") % 4 == 0).alias("blank"))
+    """A page of 4000 characters is full; what a text leaves of it is white."""
+    white = F.greatest(F.lit(0.0), 1 - F.length(F.coalesce("text", F.lit(""))) / 4000.0)
+    return table(spark, d, "documents").select("doc_id", n.is_blank_page(white, F.col("text"), F.col("doc_id") % 4 == 0).alias("blank"))
 
 
 TOC = ["MỤC LỤC\n1.1 Phạm vi 5\n1.2. Đối tượng 7", "1. QUY ĐỊNH CHUNG 5 1.1 x", "1. Mot 2\n2. Hai 3\n3. Ba 4\n4. Bon 5", "plain page"]
@@ -216,7 +217,7 @@ def mx21(spark, d):
 
 
 reg("mx7_bundle_topology", rules.ORACLES["sk8_topology_status"])(rules.QUERIES["sk8_topology_status"])
-reg("vg6_timeline_twin", rules.ORACLES["vg5_longest_timeline"])(lambda spark, d: g.longest_chain(rules.edges(spark, d).filter("rel = 'REPLACES'"), rules.starts(spark), 6).select("start", F.size("path").cast("long").alias("hops")))
+reg("vg6_timeline_twin", rules.ORACLES["vg5_legal_timeline"])(rules.QUERIES["vg5_legal_timeline"])
 
 
 @reg("wn6_hop2_expansion", """WITH f AS (SELECT user_id, event_id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS text, value FROM events WHERE event_type = 'view'), s AS (SELECT user_id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS text, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2), p AS (SELECT user_id FROM f GROUP BY 1 HAVING NOT (count(*) >= 4 OR avg(value) >= 70))

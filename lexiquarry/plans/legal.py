@@ -8,7 +8,8 @@ from lexiquarry.functions.text import STOPWORDS, content_tokens, token_recall
 from lexiquarry.operators import legal as g
 from lexiquarry.plans.documents import FOLDED, answers, inline
 from lexiquarry.plans.registry import Registry
-from lexiquarry.session import table
+from lexiquarry.session import scratch_dir, table
+from lexiquarry.sources.keyed_store import KeyedStore
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -173,8 +174,19 @@ def st6(spark, d):
     return one("documents", "doc").unionByName(one("pages", "page"))
 
 
-@reg("sk6_version_update", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'SUPERSEDED' WHEN o_orderkey % 10 = 5 THEN 'OUTDATED' ELSE 'ACTIVE' END AS status FROM orders")
+@reg("sk6_version_update", """WITH e AS (SELECT o_orderkey + 1 AS src, CASE WHEN o_orderkey % 10 = 0 THEN 'SUPERSEDES' ELSE 'AMENDS' END AS rel, o_orderkey AS dst FROM orders WHERE o_orderkey % 10 IN (0, 5) UNION ALL SELECT o_orderkey + 2, 'AMENDS', o_orderkey FROM orders WHERE o_orderkey % 20 = 0)
+ SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'SUPERSEDED' WHEN o_orderkey % 10 = 5 THEN 'OUTDATED' ELSE 'ACTIVE' END AS value FROM orders UNION ALL SELECT src || '>' || rel || '>' || dst, rel FROM e""")
 def sk6(spark, d):
+    """New versions supersede or amend documents, twice over: status and edges as they are then.
+    What is superseded stays so when it is amended later."""
     o = table(spark, d, "orders").select("o_orderkey")
-    new = o.filter("o_orderkey % 10 = 0").withColumn("s", F.lit("SUPERSEDED")).unionByName(o.filter("o_orderkey % 10 = 5").withColumn("s", F.lit("OUTDATED")))
-    return o.join(new, "o_orderkey", "left").select("o_orderkey", F.coalesce("s", F.lit("ACTIVE")).alias("status"))
+    status = KeyedStore(spark, scratch_dir(spark), "id", "id long, status string")
+    edges = KeyedStore(spark, scratch_dir(spark), "key", "key string, src long, rel string, dst long")
+    status.create(o.select(F.col("o_orderkey").alias("id"), F.lit("ACTIVE").alias("status")))
+    edges.create(spark.createDataFrame([], edges.schema))
+    key, none = F.col("o_orderkey"), F.lit(None).cast("long")
+    told = o.select((key + 1).alias("new"), F.when(key % 10 == 0, key).otherwise(none).alias("supersedes"), F.when(key % 10 == 5, key).otherwise(none).alias("amends"))
+    later = o.filter("o_orderkey % 20 = 0").select((key + 2).alias("new"), none.alias("supersedes"), key.alias("amends"))
+    for versions in (told, later, told, later):
+        g.version_update(status, edges, versions.filter("supersedes IS NOT NULL OR amends IS NOT NULL"))
+    return status.read().select(F.col("id").cast("string").alias("key"), F.col("status").alias("value")).unionByName(edges.read().select("key", F.col("rel").alias("value")))

@@ -5,35 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiquarry.operators import inverted_index, vector_index
 from lexiquarry.operators import retrieval as r
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import table
+from lexiquarry.sources.index_store import stored_index
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
+#: Queries are the rows whose id 20 divides, against all rows; a row is no answer to itself.
 _COS = """
- q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
- dense AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
-   / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(qv, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score
-   FROM embeddings, q)"""
+ e AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+ dense AS (SELECT a.vec_id AS q_id, b.vec_id, b.label, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.n * b.n), 9) AS score
+   FROM e a JOIN e b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id)"""
 _SPARSE = """
  w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents),
  tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
- qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) GROUP BY 1),
- sparse AS (SELECT doc_id, CAST(sum(tf * qtf) AS DOUBLE) AS score FROM tf JOIN qt USING (term) GROUP BY 1)"""
+ qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
+ sparse AS (SELECT item_id, doc_id, CAST(sum(tf * qtf) AS DOUBLE) AS score FROM tf JOIN qt USING (term) GROUP BY 1, 2)"""
 
 
-def dense(spark, d):
+def _best(source: str, k: int, q: str, key: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {q} ORDER BY score DESC, {key}) AS rank FROM {source} QUALIFY rank <= {k}"
+
+
+def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1)
-    return r.dense_scores(e, q, "embedding")
+    one = F.lit(0).alias("filter_key")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), one, F.col("embedding").alias("q_vec"))
+    return q, e.select(F.col("vec_id").alias("c_id"), one, F.col("embedding").alias("c_vec"))
+
+
+def dense(spark, d, k, least=-2.0):
+    """(q_id, vec_id, score, rank) of the k nearest rows."""
+    return r.nearest(*_vectors(spark, d), k, least).select("q_id", F.col("c_id").alias("vec_id"), F.col("sim").alias("score"), "rank")
+
+
+def text_index(spark, d):
+    """The inverted index of the documents' words."""
+    def build(path):
+        tf = r.term_frequencies(table(spark, d, "documents"), "doc_id", "text")
+        inverted_index.build(tf.select(F.col("doc_id").alias("key"), "term", F.col("tf").alias("weight")), path)
 
+    return inverted_index.InvertedIndex(spark, stored_index(spark, "words", f"{d}/documents.parquet", build))
 
-def sparse(spark, d):
-    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    q = r.term_frequencies(b.orderBy("item_id").limit(1), "item_id", "text").select("term", F.col("tf").alias("qtf"))
-    return r.sparse_scores(docs, q, "doc_id", "text")
+
+def items(spark, d):
+    b = table(spark, d, "benchmark").filter("item_id % 20 = 0")
+    return r.term_frequencies(b, "item_id", "text").select(F.col("item_id").alias("qid"), "term", F.col("tf").alias("weight"))
+
+
+def sparse(spark, d, k):
+    """(item_id, doc_id, score, rank) of the k best documents."""
+    found = inverted_index.search(text_index(spark, d), items(spark, d), k)
+    return found.select(F.col("qid").alias("item_id"), F.col("key").alias("doc_id"), "score", "rank")
 
 
 @reg("vg1_l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n)), 6) AS total, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
@@ -42,58 +68,79 @@ def vg1(spark, d):
     return v.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("embedding")[0], 6).alias("first"))
 
 
-@reg("vg3_cosine_topk", f"WITH {_COS} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM dense ORDER BY score DESC, vec_id LIMIT 20")
+@reg("vg3_cosine_topk", f"WITH {_COS} SELECT q_id, vec_id, round(score, 6) AS score, rank FROM ({_best('dense', 20, 'q_id', 'vec_id')})")
 def vg3(spark, d):
-    return r.top_k(dense(spark, d), 20, "score", "vec_id").select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return dense(spark, d, 20).select("q_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@reg("vg3_sparse_topk", f"WITH {_SPARSE} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sparse ORDER BY score DESC, doc_id LIMIT 20")
+@reg("vg3_sparse_topk", f"WITH {_SPARSE} SELECT item_id, doc_id, score, rank FROM ({_best('sparse', 20, 'item_id', 'doc_id')})")
 def vg3_sparse(spark, d):
-    return r.top_k(sparse(spark, d), 20, "score", "doc_id")
+    return sparse(spark, d, 20)
+
+
+@reg("vg3_approximate_topk")
+def vg3_approximate(spark, d):
+    """The nearest rows by cells and product codes; recall against vg3_cosine_topk is tested."""
+    def build(path):
+        vector_index.build(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), path)
+
+    index = vector_index.load(spark, stored_index(spark, "vectors", f"{d}/embeddings.parquet", build))
+    q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v"))
+    return vector_index.search(index, q, 10).select("q_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("score"), "rank")
 
 
-@reg("vg4_cache_similarity", f"WITH {_COS} SELECT vec_id, round(score, 6) AS score FROM dense WHERE score >= 0.98 AND vec_id <> (SELECT min(vec_id) FROM embeddings) OR vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY dense.score DESC, vec_id LIMIT 1")
+@reg("vg4_cache_similarity", f"WITH {_COS} SELECT q_id, vec_id, round(score, 6) AS score FROM ({_best('dense', 1, 'q_id', 'vec_id')}) WHERE score >= 0.3")
 def vg4(spark, d):
-    return dense(spark, d).filter("score >= 0.98").orderBy(F.desc("score"), "vec_id").limit(1).select("vec_id", F.round("score", 6).alias("score"))
+    return dense(spark, d, 1, 0.3).select("q_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 _FUSED = f"""WITH {_COS}, {_SPARSE},
- dl AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM dense ORDER BY score DESC, vec_id LIMIT 50),
- sl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sparse ORDER BY score DESC, doc_id LIMIT 50),
- fused AS (SELECT doc_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT * FROM dl UNION ALL SELECT * FROM sl) GROUP BY 1)"""
+ dl AS (SELECT q_id, vec_id AS doc_id, rank FROM ({_best('dense', 50, 'q_id', 'vec_id')}) WHERE q_id IN (SELECT item_id FROM benchmark)),
+ sl AS (SELECT item_id AS q_id, doc_id, rank FROM ({_best('sparse', 50, 'item_id', 'doc_id')})),
+ fused AS (SELECT q_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT * FROM dl UNION ALL SELECT * FROM sl) GROUP BY 1, 2)"""
 
 
-def fused(spark, d):
-    dl = r.top_k(dense(spark, d), 50, "score", "vec_id").select(F.col("vec_id").alias("doc_id"), "rank")
-    return r.reciprocal_rank_fusion([dl, r.top_k(sparse(spark, d), 50, "score", "doc_id")], "doc_id")
+def fused(spark, d, k):
+    """(q_id, doc_id, fused, rank): the k best of both lists; an item's vector is that of its id."""
+    items_ = table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("q_id"))
+    dl = dense(spark, d, 50).join(items_, "q_id", "left_semi").select("q_id", F.col("vec_id").alias("doc_id"), "rank")
+    sl = sparse(spark, d, 50).select(F.col("item_id").alias("q_id"), "doc_id", "rank")
+    both = r.reciprocal_rank_fusion([dl, sl], "q_id", "doc_id").withColumn("fused", F.round("fused", 9))
+    return r.first_of_each(both, k, "q_id", "fused", "doc_id")
 
 
-@reg("wn1_rrf_fusion", f"{_FUSED} SELECT doc_id, round(fused, 9) AS fused FROM fused ORDER BY round(fused, 9) DESC, doc_id LIMIT 10")
+@reg("wn1_rrf_fusion", f"{_FUSED} SELECT q_id, doc_id, fused, row_number() OVER (PARTITION BY q_id ORDER BY fused DESC, doc_id) AS rank FROM fused QUALIFY rank <= 10")
 def wn1(spark, d):
-    return fused(spark, d).withColumn("fused", F.round("fused", 9)).orderBy(F.desc("fused"), "doc_id").limit(10)
+    return fused(spark, d, 10)
 
 
 _HITS = f"""{_COS},
- hits AS (SELECT vec_id, label, score, (label % 7) / 10.0 AS rerank, label = 0 AS is_table, CASE label % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'OUTDATED' ELSE 'DRAFT' END AS status FROM dense)"""
+ hits AS (SELECT q_id, vec_id, score, (label % 7) / 10.0 AS rerank, label = 0 AS is_table, CASE label % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'OUTDATED' ELSE 'DRAFT' END AS status FROM ({_best('dense', 50, 'q_id', 'vec_id')}))"""
 
 
 def hits(spark, d):
-    h = dense(spark, d).select("vec_id", "label", "score", ((F.col("label") % 7) / 10.0).alias("rerank"), (F.col("label") == 0).alias("is_table"))
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    h = dense(spark, d, 50).join(labels, "vec_id").select("q_id", "vec_id", "label", "score", ((F.col("label") % 7) / 10.0).alias("rerank"), (F.col("label") == 0).alias("is_table"))
     return h.withColumn("status", F.when(F.col("label") % 3 == 0, "ACTIVE").when(F.col("label") % 3 == 1, "OUTDATED").otherwise("DRAFT"))
 
 
-@reg("wn3_rerank_boost", f"WITH {_HITS} SELECT vec_id, round(0.8 * rerank + 0.2 * score + CASE WHEN is_table THEN 0.2 ELSE 0 END + CASE status WHEN 'ACTIVE' THEN 0.15 WHEN 'OUTDATED' THEN -0.3 ELSE 0 END, 6) AS final FROM hits ORDER BY final DESC, vec_id LIMIT 15")
+@reg("wn3_rerank_boost", f"WITH {_HITS}, f AS (SELECT q_id, vec_id, round(0.8 * rerank + 0.2 * score + CASE WHEN is_table THEN 0.2 ELSE 0 END + CASE status WHEN 'ACTIVE' THEN 0.15 WHEN 'OUTDATED' THEN -0.3 ELSE 0 END, 6) AS final FROM hits) SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, vec_id) AS rank FROM f QUALIFY rank <= 15")
 def wn3(spark, d):
-    return r.boosted(hits(spark, d)).select("vec_id", F.round("final", 6).alias("final")).orderBy(F.desc("final"), "vec_id").limit(15)
+    f = r.boosted(hits(spark, d)).select("q_id", "vec_id", F.round("final", 6).alias("final"))
+    return r.first_of_each(f, 15, "q_id", "final", "vec_id")
 
 
-@reg("flagship_hybrid_search", f"""{_FUSED} SELECT f.doc_id, round(f.fused, 9) AS fused, round(0.8 * f.fused + 0.2 * d.score + CASE WHEN d.label = 0 THEN 0.2 ELSE 0 END, 6) AS final, x.lang
- FROM (SELECT * FROM fused ORDER BY fused DESC, doc_id LIMIT 30) f JOIN dense d ON d.vec_id = f.doc_id JOIN documents x ON x.doc_id = f.doc_id ORDER BY final DESC, doc_id LIMIT 10""")
+@reg("flagship_hybrid_search", f"""{_FUSED}, f AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY fused DESC, doc_id) <= 30),
+ s AS (SELECT f.q_id, f.doc_id, f.fused, round(0.8 * f.fused + 0.2 * d.score + CASE WHEN d.label = 0 THEN 0.2 ELSE 0 END, 6) AS final, x.lang FROM f JOIN dense d ON d.q_id = f.q_id AND d.vec_id = f.doc_id JOIN documents x ON x.doc_id = f.doc_id)
+ SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY final DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def flagship(spark, d):
-    top = fused(spark, d).orderBy(F.desc("fused"), "doc_id").limit(30)
-    scored = top.join(dense(spark, d).select(F.col("vec_id").alias("doc_id"), "score", "label"), "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    """Hybrid search for all queries: both lists fused, the best 30 of each scored, the best 10 returned."""
+    q, c = _vectors(spark, d)
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    pairs = fused(spark, d, 30).drop("rank").join(q.select("q_id", "q_vec"), "q_id").join(c.select(F.col("c_id").alias("doc_id"), "c_vec"), "doc_id").filter("q_id != doc_id")
+    scored = pairs.withColumn("score", F.round(r.cosine("q_vec", "c_vec"), 9)).join(label, "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     final = 0.8 * F.col("fused") + 0.2 * F.col("score") + F.when(F.col("label") == 0, 0.2).otherwise(0.0)
-    return scored.select("doc_id", F.round("fused", 9).alias("fused"), F.round(final, 6).alias("final"), "lang").orderBy(F.desc("final"), "doc_id").limit(10)
+    return r.first_of_each(scored.select("q_id", "doc_id", "fused", F.round(final, 6).alias("final"), "lang"), 10, "q_id", "final", "doc_id")
 
 
 _CHUNKS = """chunks AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS chunk_id, text, source AS doc_type, lang AS authority, CASE doc_id % 5 WHEN 0 THEN 'parent' WHEN 1 THEN 'amendment' ELSE 'child' END AS chunk_type, CAST(2000 + doc_id % 20 AS VARCHAR) || '-01-02' AS doc_date, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS hop FROM documents)"""
@@ -188,7 +235,7 @@ def jn11(spark, d):
 
 
 @reg("wn20_nearest_semantic_match", """WITH e AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
- p AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.n * b.n) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
+ p AS (SELECT a.vec_id AS q_id, b.vec_id AS c_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (a.n * b.n), 9) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS r FROM p WHERE sim >= 0.2) SELECT q_id, c_id, round(sim, 6) AS sim FROM k WHERE r = 1""")
 def wn20(spark, d):
     e = table(spark, d, "embeddings")

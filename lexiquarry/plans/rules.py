@@ -112,10 +112,15 @@ def pf17(spark, d):
     return projects(spark, d).select("o_orderkey", r.excluded_word(F.col("name")).alias("word")).filter("word IS NOT NULL")
 
 
-@reg("jn12_edition_by_date", "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'e1' WHEN o_orderdate < TIMESTAMP '1999-06-01' THEN 'e2' ELSE 'e3' END AS edition FROM orders")
+_EDITIONS = "f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS valid_from FROM orders WHERE o_orderkey % 50 = 0), e AS (SELECT 'e' || valid_from AS edition, valid_from, lead(valid_from) OVER (ORDER BY valid_from) AS valid_to FROM f)"
+
+
+@reg("jn12_edition_by_date", f"WITH {_EDITIONS} SELECT o_orderkey, edition FROM orders LEFT JOIN e ON CAST(o_orderdate AS DATE) >= valid_from AND (valid_to IS NULL OR CAST(o_orderdate AS DATE) < valid_to)")
 def jn12(spark, d):
-    e = spark.createDataFrame([("e1", None, "1997-01-01"), ("e2", "1997-01-01", "1999-06-01"), ("e3", "1999-06-01", None)], "edition string, f string, t string").select("edition", F.col("f").cast("date").alias("valid_from"), F.col("t").cast("date").alias("valid_to"))
-    return r.edition_at(table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day", e).select("o_orderkey", "edition")
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    e = o.filter("o_orderkey % 50 = 0").select(F.col("day").alias("valid_from")).distinct()  # a row for each day
+    e = e.select(F.concat(F.lit("e"), F.col("valid_from").cast("string")).alias("edition"), "valid_from", F.lead("valid_from").over(W.partitionBy(F.lit(0)).orderBy("valid_from")).alias("valid_to"))
+    return r.edition_at(o, "o_orderkey", "day", e).select("o_orderkey", "edition")
 
 
 _EV = "x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'basement' WHEN 1 THEN 'semi_basement' ELSE 'outdoor' END IN ('basement', 'semi_basement') AS base, p_size AS cars, p_size * 2 AS motos, 40.0 * p_size AS area, p_partkey % 2 = 0 AS wall, p_partkey % 9 AS space, p_partkey % 7 < 6 AS alarm, 7.0 + p_partkey % 20 AS power FROM part)"
@@ -198,27 +203,66 @@ def jn8(spark, d):
     return g.neighbours(n, edges(spark, d), 7)
 
 
-_REACH = "r(start, id, depth) AS (SELECT id, id, 0 FROM (SELECT unnest([3, 7, 11]) AS id) UNION SELECT start, e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.id WHERE depth < {0})"
+_STARTS = "(SELECT event_id AS id FROM events WHERE event_id % 20 = 7)"
+_REACH = "r(start, id, depth) AS (SELECT id, id, 0 FROM {1} UNION SELECT start, e.dst, depth + 1 FROM r JOIN {2} e ON e.src = r.id WHERE depth < {0})"
 
 
-def starts(spark):
-    return spark.createDataFrame([(3,), (7,), (11,)], "id long")
+def starts(spark, d):
+    """The nodes that are asked about."""
+    return table(spark, d, "events").filter("event_id % 20 = 7").select(F.col("event_id").alias("id"))
 
 
-@reg("vg7_variable_length_relations", f"WITH RECURSIVE {_EDGE}, {_REACH.format(3)} SELECT start, id, min(depth) AS depth FROM r GROUP BY 1, 2")
+@reg("vg7_variable_length_relations", f"WITH RECURSIVE {_EDGE}, {_REACH.format(10, _STARTS, 'edges')} SELECT start, id, min(depth) AS depth FROM r GROUP BY 1, 2")
 def vg7(spark, d):
-    return g.reachable(edges(spark, d), starts(spark), 3)
+    return g.reachable(edges(spark, d), starts(spark, d), 10)
 
 
-@reg("vg8_guided_documents", f"WITH RECURSIVE {_EDGE}, rev AS (SELECT dst AS src, src AS dst FROM edges WHERE rel = 'AMENDS'), r(start, id, depth) AS (SELECT id, id, 0 FROM (SELECT unnest([3, 7, 11]) AS id) UNION SELECT start, e.dst, depth + 1 FROM r JOIN rev e ON e.src = r.id WHERE depth < 2) SELECT start, id, min(depth) AS depth FROM r GROUP BY 1, 2")
+@reg("vg8_guided_documents", f"WITH RECURSIVE {_EDGE}, rev AS (SELECT dst AS src, src AS dst FROM edges WHERE rel = 'AMENDS'), {_REACH.format(2, _STARTS, 'rev')} SELECT start, id, min(depth) AS depth FROM r GROUP BY 1, 2")
 def vg8(spark, d):
     back = edges(spark, d).filter("rel = 'AMENDS'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return g.reachable(back, starts(spark), 2)
+    return g.reachable(back, starts(spark, d), 2)
+
+
+# For timelines an edge's relation is that of its newer event; half of the nodes lack a date or status.
+_KINDS = {"click": "REPLACES", "view": "AMENDS", "purchase": "PROMULGATES", "signup": "GOVERNS_TRANSITIONAL"}
+_KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " ELSE 'REFERENCES' END"
+_LAW = f"""law AS (SELECT DISTINCT src, rel, dst, day AS cutoff_date, '+' || day AS grace_period_end, CASE WHEN dst % 3 = 0 THEN 'if ' || dst END AS condition FROM (SELECT unnest([lag(event_id) OVER w, lag(event_id, 3) OVER w]) AS src, {_KIND} AS rel, event_id AS dst, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE src IS NOT NULL AND src <> dst),
+ node AS (SELECT event_id AS id, CASE WHEN event_id % 5 > 0 THEN 'n' || event_id END AS number, CASE WHEN event_id % 2 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS effective_date, CASE WHEN event_id % 4 = 0 THEN 'DRAFT' END AS status FROM events)"""
+_TIMELINE = f"""WITH RECURSIVE {_LAW}, s AS {_STARTS}, c AS (SELECT src, dst, min(rel) AS rel FROM law WHERE rel IN ('REPLACES', 'REFERENCES') GROUP BY 1, 2),
+ p(start, tip, path, rels) AS (SELECT id, id, [id], CAST([] AS VARCHAR[]) FROM s UNION ALL SELECT start, c.dst, list_append(path, c.dst), list_append(rels, c.rel) FROM p JOIN c ON c.src = tip WHERE len(path) <= 10 AND NOT list_contains(path, c.dst)),
+ best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path) DESC, path) = 1),
+ near AS (SELECT dst AS start, 'in' AS way, src AS id, rel, cutoff_date, grace_period_end, condition FROM law UNION ALL SELECT src, 'out', dst, rel, cutoff_date, grace_period_end, condition FROM law),
+ numbered AS (SELECT near.*, CASE WHEN way = 'in' THEN CASE rel WHEN 'REPLACES' THEN 1 WHEN 'PROMULGATES' THEN 2 WHEN 'AMENDS' THEN 3 WHEN 'GOVERNS_TRANSITIONAL' THEN 8 END ELSE CASE rel WHEN 'PROMULGATES' THEN 5 WHEN 'AMENDS' THEN 6 WHEN 'GOVERNS_TRANSITIONAL' THEN 9 END END AS section FROM near JOIN s ON s.id = near.start),
+ every AS (
+  SELECT start, section, CAST(row_number() OVER (PARTITION BY start, section ORDER BY id) AS INTEGER) AS ord, id, CASE WHEN section IN (1, 2, 3, 8) THEN rel WHEN section = 9 THEN 'TRANSITIONAL_PREDECESSOR' END AS relation_to_next,
+   CASE WHEN section >= 8 THEN cutoff_date END AS cutoff_date, CASE WHEN section >= 8 THEN grace_period_end END AS grace_period_end, CASE WHEN section >= 8 THEN condition END AS condition FROM numbered WHERE section IS NOT NULL
+  UNION ALL SELECT start, 7, CAST(i AS INTEGER), path[i + 1], rels[i + 1], NULL, NULL, NULL FROM (SELECT start, path, rels, unnest(range(1, len(path))) AS i FROM best)
+  UNION ALL SELECT b.start, 4, 1, b.start, CASE WHEN o.p THEN 'PROMULGATES' WHEN o.a THEN 'AMENDS' ELSE b.rels[1] END, NULL, NULL, NULL FROM best b LEFT JOIN (SELECT start, bool_or(way = 'out' AND rel = 'PROMULGATES') AS p, bool_or(way = 'out' AND rel = 'AMENDS') AS a FROM numbered GROUP BY 1) o ON o.start = b.start)
+ SELECT e.start, e.section, e.ord, e.id, coalesce(n.number, CAST(e.id AS VARCHAR)) AS number, coalesce(n.effective_date, 'unknown') AS effective_date, coalesce(n.status, CASE WHEN section = 4 THEN 'UNKNOWN' WHEN section IN (7, 9) THEN 'OUTDATED' ELSE 'ACTIVE' END) AS status, e.relation_to_next, e.cutoff_date, e.grace_period_end, e.condition FROM every e JOIN node n ON n.id = e.id"""
+
+
+def law_edges(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    day = F.to_date("ts").cast("string")
+    e = table(spark, d, "events").select(F.array(F.lag("event_id").over(w), F.lag("event_id", 3).over(w)).alias("both"), F.coalesce(F.try_element_at(kinds, "event_type"), F.lit("REFERENCES")).alias("rel"), F.col("event_id").alias("dst"), day.alias("cutoff_date"))
+    e = e.select(F.explode("both").alias("src"), "rel", "dst", "cutoff_date").filter("src IS NOT NULL AND src != dst")
+    return e.withColumns({"grace_period_end": F.concat(F.lit("+"), "cutoff_date"), "condition": F.when(F.col("dst") % 3 == 0, F.concat(F.lit("if "), F.col("dst").cast("string")))})
+
 
+def law_nodes(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i.alias("id"), F.when(i % 5 > 0, F.concat(F.lit("n"), i.cast("string"))).alias("number"), F.when(i % 2 == 0, F.to_date("ts").cast("string")).alias("effective_date"), F.when(i % 4 == 0, "DRAFT").alias("status"))
 
-@reg("vg5_longest_timeline", f"WITH RECURSIVE {_EDGE}, c AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'REPLACES'), p(start, tip, path) AS (SELECT id, id, [id] FROM (SELECT unnest([3, 7, 11]) AS id) UNION ALL SELECT start, c.dst, list_append(path, c.dst) FROM p JOIN c ON c.src = tip WHERE len(path) <= 6 AND NOT list_contains(path, c.dst)) SELECT start, max(len(path)) AS hops FROM p GROUP BY 1")
+
+@reg("vg5_legal_timeline", _TIMELINE)
 def vg5(spark, d):
-    return g.longest_chain(edges(spark, d).filter("rel = 'REPLACES'"), starts(spark), 6).select("start", F.size("path").cast("long").alias("hops"))
+    return g.timeline(law_nodes(spark, d), law_edges(spark, d), starts(spark, d), 10)
+
+
+@reg("vg5_longest_timeline", f"WITH RECURSIVE {_EDGE}, c AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'REPLACES'), p(start, tip, path) AS (SELECT id, id, [id] FROM {_STARTS} UNION ALL SELECT start, c.dst, list_append(path, c.dst) FROM p JOIN c ON c.src = tip WHERE len(path) <= 10 AND NOT list_contains(path, c.dst)) SELECT start, max(len(path)) AS hops FROM p GROUP BY 1")
+def vg5_longest(spark, d):
+    return g.longest_chain(edges(spark, d).filter("rel = 'REPLACES'"), starts(spark, d), 10).select("start", F.size("path").cast("long").alias("hops"))
 
 
 @reg("vg9_graph_dump", f"WITH {_EDGE} SELECT src, rel, dst FROM edges ORDER BY src, rel, dst LIMIT 30")

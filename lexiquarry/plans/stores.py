@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import line_passes as lp
 from lexiquarry.plans.registry import Registry
-from lexiquarry.session import table
+from lexiquarry.session import scratch_dir, table
 from lexiquarry.sources import readers as rd
 from lexiquarry.sources import writers as wr
 from lexiquarry.streaming import queue as q
@@ -75,7 +75,10 @@ def ss13(spark, d):
 
 @reg("ss5_queue_metrics", "SELECT count(*) AS depth, count(*) FILTER (event_type = 'error') AS dead, count(*) FILTER (event_type = 'view') AS pending FROM events")
 def ss5(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("depth"), F.count_if(F.col("event_type") == "error").alias("dead"), F.count_if(F.col("event_type") == "view").alias("pending"))
+    """Taken in the pass that fills the queue."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    got = wr.write_observed(e, lambda x: q.enqueue(x, f"{scratch_dir(spark)}/queue"), depth=F.count("*"), dead=F.count_if(F.col("event_type") == "error"), pending=F.count_if(F.col("event_type") == "view"))
+    return spark.createDataFrame([(got["depth"], got["dead"], got["pending"])], "depth long, dead long, pending long")
 
 
 @reg("sc1_reader_dispatch", "SELECT * FROM (VALUES ('a.pdf', 'pdf', NULL), ('b.DOCX', 'word', NULL), ('c.md', 'markdown', NULL), ('d.zip', 'failed', 'unsupported format: zip'), ('noext', 'failed', 'unsupported format: ')) AS t(path, route, error)")

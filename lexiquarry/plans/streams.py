@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lexiquarry.plans.registry import Registry
 from lexiquarry.plans.stores import _DAY, events, fold_sql
 from lexiquarry.session import scratch_dir, table
+from lexiquarry.plans import telemetry
 from lexiquarry.streaming import queue as q
+from lexiquarry.streaming import windows as win
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -71,3 +73,48 @@ def ss14(spark, d):
 @reg("ss20_answer_events", "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant'), e AS (SELECT conv_id, turn, [('context', NULL)] || list_transform(w, lambda x: ('token', x)) || [('trace', NULL), ('done', NULL)] AS e FROM w), u AS (SELECT conv_id, turn, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS n FROM e) SELECT conv_id, turn, n, x[1] AS type, x[2] AS data FROM u")
 def ss20(spark, d):
     return q.answer_events(table(spark, d, "conversations").filter("role = 'assistant'"), "conv_id", "turn", "text")
+
+
+def event_stream(spark, d, slices: int = 4):
+    """The events as a stream of files in order of time, a file for each trigger. A last event,
+    far behind the others, closes their windows and stays in an open one itself."""
+    path = f"{scratch_dir(spark)}/events"
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    at = F.unix_micros("ts")
+    cuts = e.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000).alias("cuts"), F.max("ts").alias("last")).first()
+    bounds = [None, *sorted(set(cuts["cuts"] or [])), None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = e.filter((at > lo) if lo is not None else F.lit(True)).filter((at <= hi) if hi is not None else F.lit(True))
+        part.write.mode("append").parquet(path)
+    if cuts["last"] is not None:
+        last = e.limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(cuts["last"]) + F.expr("INTERVAL 30 DAYS")).alias("ts"), "user_id", "event_type", "value")
+        last.write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _told(spark, d, stream):
+    """What a stream told, its times as the table has them."""
+    kind = table(spark, d, "events").schema["ts"].dataType
+    out = win.drain(stream, scratch_dir(spark))
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("start", "end") if c in out.columns})
+
+
+@reg("ss15_counter_rate_stream", telemetry.ORACLES["ss15_counter_rate"])
+def ss15_stream(spark, d):
+    s = win.rates(event_stream(spark, d), "ts", "10 minutes", "1 hour", F.col("event_type") == "error")
+    return _told(spark, d, s).withColumn("share", F.round("share", 6))
+
+
+@reg("ss17_group_rate_stream", telemetry.ORACLES["ss17_group_rate"])
+def ss17_stream(spark, d):
+    s = win.rates(event_stream(spark, d), "ts", "10 minutes", "1 day", F.col("value") > 50, "event_type")
+    return _told(spark, d, s).withColumn("share", F.round("share", 6))
+
+
+@reg("ss19_conjunctive_alert_stream", f"WITH {telemetry._HOLDS} SELECT a.grp, a.start + INTERVAL 6 HOUR AS \"end\", CAST(2 AS BIGINT) AS held FROM r a JOIN r b ON a.grp = b.grp AND b.start = a.start - INTERVAL 6 HOUR")
+def ss19_stream(spark, d):
+    e = event_stream(spark, d).withColumn("grp", F.col("user_id") % 4)
+    errors = win.counted(e, "ts", "10 minutes", "6 hours", F.lit(True), "grp", where=F.col("event_type") == "error").select("w", "grp", "bad")
+    every = win.counted(e, "ts", "10 minutes", "6 hours", F.lit(True), "grp").select("w", "grp", "n")
+    both = win.conjunction(errors, every, "grp")
+    return _told(spark, d, win.sustained(both, (F.col("bad") >= 1) & (F.col("n") > 2), "6 hours", 2, "grp"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 TEXT_CHARS, SUMMARY_CHARS = 14000, 2048
@@ -50,3 +52,10 @@ def markdown_export(chunks: DataFrame) -> DataFrame:
 def write_archive(rows: DataFrame, path: str) -> None:
     """Compressed JSON lines."""
     rows.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def write_observed(rows: DataFrame, write: Callable[[DataFrame], None], **metrics: Column) -> dict:
+    """Writes rows and returns metrics of them, taken in the same pass."""
+    seen = Observation()
+    write(rows.observe(seen, *[m.alias(n) for n, m in metrics.items()]))
+    return seen.get
