@@ -3,7 +3,9 @@
 Every element is a node with features: its tag and its parent's, words of class, id and
 role (its own and its ancestors') by topic, depth, text, links and tags of its subtree,
 and its place among its siblings. Boosted trees give each node's log-odds of holding
-main text. Decoding takes the best choice of all nodes at once under one rule: below a
+main text. Names are one sign among others: in over half of the invented pages the main
+text stands in a container without any, and what tells it is its share of the page's prose,
+its links against its siblings' and its place. Decoding takes the best choice of all nodes at once under one rule: below a
 dropped node all is dropped. So no descendant contradicts its ancestor. Text is kept
 if its element and all ancestors are.
 
@@ -235,7 +237,8 @@ def _level(x: float) -> int:
     return min(63, int(x).bit_length() * 3 + (0 if x < 4 else (int(x) >> (int(x).bit_length() - 2)) & 1))
 
 
-N_FEATURES = 16 + 2 * (_N_TOPICS + 1) + 2 + 6
+#: Words of a piece from which it counts as prose.
+_PROSE = 8
 
 
 def node_features(page: Page) -> np.ndarray:
@@ -256,19 +259,36 @@ def node_features(page: Page) -> np.ndarray:
         paras[i] = page.tag[i] == "p"
         links[i] = page.tag[i] == "a"
         heads[i] = page.tag[i] in ("h1", "h2")
-    longest = [0] * n
+    longest, prose = [0] * n, [0] * n
+    before, prose_before, after_title, titled = [-1] * n, [0] * n, [0] * n, False
+    said, told, at = 0, 0, 0
     for node, s, _ in page.pieces:
+        # Elements are numbered as they open, so those up to this one have begun.
+        for i in range(at, node + 1):
+            before[i], prose_before[i], after_title[i] = said, told, titled
+        at = max(at, node + 1)
+        titled = titled or page.tag[node] == "h1"
         k = len(s.split())
+        said += k
+        if k >= _PROSE and not in_link[node]:
+            prose[node] += k
+            told += k
         text[node] += k
         longest[node] = max(longest[node], k)
         pieces[node] += 1
         points[node] += s.count(".") + s.count(",")
         if in_link[node]:
             linked[node] += k
+    for i in range(at, n):
+        before[i], prose_before[i], after_title[i] = said, told, titled
     own = list(text)
+    widest, long_ones = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         text[p] += text[i]
+        prose[p] += prose[i]
+        widest[p] = max(widest[p], text[i])
+        long_ones[p] += prose[i] > 0
         linked[p] += linked[i]
         points[p] += points[i]
         paras[p] += paras[i]
@@ -276,7 +296,7 @@ def node_features(page: Page) -> np.ndarray:
         heads[p] += heads[i]
         tags[p] += tags[i]
         longest[p] = max(longest[p], longest[i])
-    total = max(1, text[0])
+    total, whole = max(1, text[0]), max(1, prose[0])
     rows = []
     for i in range(n):
         p = max(page.parent[i], 0)
@@ -298,6 +318,20 @@ def node_features(page: Page) -> np.ndarray:
             min(63, children[i]),
             int(20 * text[i] / max(1, text[p])),
         ]
+        # Against the page and the siblings.
+        row += [
+            _level(prose[i]),
+            int(20 * prose[i] / whole),
+            int(20 * prose[p] / whole),
+            int(20 * (linked[p] - linked[i]) / max(1, text[p] - text[i])) if i else 0,
+            int(20 * text[i] / max(1, widest[p])) if i else 20,
+            int(20 * before[i] / total),
+            int(20 * prose_before[i] / whole),
+            int(after_title[i]),
+            min(63, long_ones[p]),
+            min(63, long_ones[i]),
+            _level(own[p]),
+        ]
         row += [(page.topics[i] >> k) & 1 for k in range(_N_TOPICS + 1)]
         row += [(above[i] >> k) & 1 for k in range(_N_TOPICS + 1)]
         row += [int(in_article[i]), min(heads[i], 3)]
@@ -405,6 +439,25 @@ class _Maker:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{w(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>"
         return f"<figure><img src=x><figcaption>{w(2, 12)}</figcaption></figure>"
 
+    def name(self) -> str:
+        """An attribute that says nothing."""
+        r = self.rng
+        part = lambda: "".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(1, 7)))
+        plain = r.choice([part(), f"{part()}-{part()}", f"{part()}-{r.randint(1, 12)}", f"{part()}__{part()}", r.choice(["blog", "single", "col", "row", "grid", "wrap", "inner", "box", "site", "cell"]) + r.choice(["", "-single", "-2", "-lg", "-wide"])])
+        return r.choice(["", "", f' class="{plain}"', f' class="{plain}"', f' id="{plain}"', ' align="center"'])
+
+    def shell(self, body: str) -> str:
+        """The container of the main text. In over half of the pages nothing names it."""
+        r = self.rng
+        k = r.random()
+        if k < 0.25:
+            return r.choice(["<article{}>{}</article>", "<article{}>{}</article>", "<main{}>{}</main>", "<main><article{}>{}</article></main>"]).format(self.attr("main", 0.3), body)
+        if k < 0.42:
+            return r.choice(["<div{}>{}</div>", "<section{}>{}</section>", "<div id=page><div{}>{}</div></div>"]).format(self.attr("main", 0.95), body)
+        side = r.choice([self.links(), self.junk(), self.words(1, 6)])
+        plain = r.choice(["<div{0}>{1}</div>", "<div{0}>{1}</div>", "<div{0}>{1}</div>", "{1}", "{1}", "<section{0}>{1}</section>", "<center>{1}</center>", "<table{0}><tr><td>{2}</td><td>{1}</td></tr></table>", "<table><tr><td{0}>{1}</td></tr></table>", "<div><div{0}>{1}</div></div>", "<div><div><div{0}>{1}</div></div></div>", "<font>{1}</font>"])
+        return plain.format(self.name(), body, side)
+
     def page(self) -> str:
         """The page; main text stands between the marks \x01 and \x02."""
         r = self.rng
@@ -412,19 +465,22 @@ class _Maker:
         if r.random() < 0.8:
             inner.append(r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(f"\x01{self.words(1, 12)}\x02"))
         for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14])):
-            inner.append(re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(<|$)", "\\1\x01\\2\x02\\3", self.block()))
+            block = re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(<|$)", "\\1\x01\\2\x02\\3", self.block())
+            if r.random() < 0.1:  # a part of the text whose name also means something else
+                block += re.sub(r"(>|^)([^<>]*[^<>\s][^<>]*)(<|$)", "\\1\x01\\2\x02\\3", f"<p>{self.words(8, 60)}</p>")
+                odd = f"{r.choice(['more', 'top', 'bottom', 'header', 'related', 'widget', 'page', 'share', 'contact', 'rail'])}-{r.choice(['text', 'body', 'content', 'story', 'entry'])}"
+                block = r.choice([f'<div class="{odd}">{block}</div>', f"<div{self.name()}>{block}</div>", f"<section{self.name()}>{block}</section>"])
+            inner.append(block)
             if r.random() < 0.12:
                 inner.append(self.junk(True))
         if r.random() < 0.3:
             inner.append(self.junk(True))
         body = "".join(inner)
-        shell = r.choice(["<article{}>{}</article>", "<article{}>{}</article>", "<main{}>{}</main>", "<div{}>{}</div>", "<section{}>{}</section>", "<main><article{}>{}</article></main>", "<div id=page><div{}>{}</div></div>"])
-        plain = shell.startswith("<article") or shell.startswith("<main")
-        body = shell.format(self.attr("main", 0.3 if plain else 0.95), body)
+        body = self.shell(body)
         parts = [self.junk() for _ in range(r.randint(0, 4))] + [body] + [self.junk() for _ in range(r.randint(0, 4))]
         out = "".join(parts)
         for _ in range(r.randint(0, 2)):
-            out = f"<div{r.choice(['', ' class=wrap', ' id=root'])}>{out}</div>"
+            out = f"<div{r.choice(['', ' class=wrap', ' id=root', self.name()])}>{out}</div>"
         return f"<html><head><title>{self.words(1, 5)}</title><style>p{{x:y}}</style></head><body>{out}</body></html>"
 
 
@@ -449,7 +505,7 @@ def training_nodes(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_extractor(pages: int = 1500, seed: int = SEED) -> Trees:
     """The trees; always the same for the same arguments."""
-    return fit_trees(*training_nodes(pages, seed))
+    return fit_trees(*training_nodes(pages, seed), trees=60)
 
 
 def extract(source: str, trees: Trees) -> str:

@@ -61,6 +61,46 @@ def test_hand_made_pages(trees):
     assert exact >= 0.8 * len(PAGES), wrong
 
 
+SENTENCES = [
+    ["The council met on Tuesday to discuss the plan for the harbour.", "After three hours of debate it put off the vote until the spring.", "Nobody in the hall had expected that."],
+    ["Residents who live near the quay had asked for more time to read the report.", "It runs to four hundred pages, most of them tables.", "A short version was promised for the end of the month."],
+    ["A second hearing is planned for March.", "Engineers will then answer questions about flooding and the cost of the new wall.", "The mayor said that she would be there."],
+]
+TEXT = f"<h1>{T}</h1>" + "".join(f"<p>{' '.join(p)}</p>" for p in SENTENCES)
+CONTAINERS = {
+    "article": "<article>{}</article>",
+    "content": "<div class=content>{}</div>",
+    "cell": "<table><tr><td>{}</td></tr></table>",
+    "plain": "<div>{}</div>",
+    "c1": "<div class=c1>{}</div>",
+    "column": "<div id=col-2>{}</div>",
+    "blog": "<div class=blog-single>{}</div>",
+    "center": "<center>{}</center>",
+    "nested": "<div><div><div>{}</div></div></div>",
+    "body": "{}",
+    "section": "<section>{}</section>",
+}
+CHROME = {
+    "semantic": (f"<header><nav>{MENU}</nav></header>", "<footer><p>All rights reserved by nobody.</p></footer>"),
+    "classes": (f'<div class="header"><a href="/">The Quay Paper</a></div><div class="menu">{MENU}</div>', '<div class="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with this at all.</p></div></div><div class="footer">Contact us</div>'),
+    "sidebar": (f'<nav>{MENU}</nav><div class="cookie-notice"><p>We use cookies here.</p><button>ok</button></div>', f'<aside><h3>Read next</h3>{MENU}</aside><footer>Imprint</footer>'),
+}
+
+
+@pytest.mark.parametrize("container", CONTAINERS)
+def test_articles_in_any_container(trees, container):
+    want = "\n".join([T, *(" ".join(p) for p in SENTENCES)])
+    for name, (before, after) in CHROME.items():
+        got = hx.extract(f"<html><body>{before}{CONTAINERS[container].format(TEXT)}{after}</body></html>", trees)
+        assert got == want, (container, name, got)
+
+
+def test_names_that_mean_two_things_lose_no_prose(trees):
+    for name in ("more-text", "top-story", "page-body"):
+        page = f"<body><nav>{MENU}</nav><article><h1>{T}</h1><p>{P1}</p><div class={name}><p>{P2}</p><p>{P3}</p></div></article></body>"
+        assert hx.extract(page, trees) == BODY, name
+
+
 @pytest.mark.parametrize("page", ["<div>" * 160_000, "<a " * 330_000, '<a "' * 250_000, '<a ">" ' * 140_000, "<b><table>" + "<div>" * 60_000 + "</b>" * 60_000, "<" * 1_000_000])
 def test_hostile_pages_are_read_in_linear_time(page):
     t = time.process_time()

@@ -45,6 +45,25 @@ def test_decoding_never_contradicts_an_ancestor():
         assert all(not k or i == 0 or keep[page.parent[i]] for i, k in enumerate(keep))
 
 
+def test_decoding_is_the_best_of_all_choices():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        page = hx.Page()
+        for i in range(1, n):
+            page.parent.append(int(rng.integers(i)))
+            page.tag.append("div")
+            page.topics.append(0)
+        scores = rng.normal(size=n)
+        value = lambda keep: sum(s if k else -s for s, k in zip(scores, keep, strict=True))
+        allowed = [k for k in itertools.product((False, True), repeat=n) if k[0] and all(not k[i] or k[page.parent[i]] for i in range(1, n))]
+        assert abs(value(hx.decode(page, scores)) - max(map(value, allowed))) < 1e-9
+
+
 def test_odd_rows(spark, trees):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "<b" + "<" * 5000), (6, "u", PAGE), (6, "u", PAGE), (None, "u", "<article><p>" + "word " * 200_000 + "</p></article>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_chars int")
