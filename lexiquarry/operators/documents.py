@@ -100,6 +100,13 @@ def without_noise(chunks: DataFrame, doc: str, text: str) -> DataFrame:
     return k.withColumn("_any", F.bool_or(~F.col("_noise")).over(W.partitionBy(doc))).filter("NOT _noise OR NOT _any").drop("_noise", "_any")
 
 
+def _tags_and_odd(text: Column) -> tuple[Column, Column]:
+    """Counts of tags and of odd characters, looked for only in texts that can have any."""
+    tags = F.when(F.contains(text, F.lit("<")), F.regexp_count(text, F.lit("</?math>|<br/?>|</?sup>"))).otherwise(0)
+    odd = F.when(F.octet_length(text) > F.length(text), F.regexp_count(text, F.lit("[ŧĖΧŲġşŷįďŕŝΈΊϐ]"))).otherwise(0)
+    return tags, odd
+
+
 def is_garbled_table(text: Column) -> Column:
     """Short lines, table words, single marks, odd characters, tags or repetition."""
     ls = lines_of(text)
@@ -107,8 +114,7 @@ def is_garbled_table(text: Column) -> Column:
     short = F.size(F.filter(ls, lambda x: F.length(x) < 25)) / n
     marks = F.size(F.filter(ls, lambda x: x.isin("X", "Χ", "Х", "x", ".", "-", "_", "*"))) / n
     words = sum((F.contains(text, F.lit(w)).cast("int") for w in ("Vốn NĐT", "NSNN", "NSTP", "NSTW", "NSTƯ")), F.lit(0))
-    tags = F.regexp_count(text, F.lit("</?math>|<br/?>|</?sup>"))
-    odd = F.regexp_count(text, F.lit("[ŧĖΧŲġşŷįďŕŝΈΊϐ]"))
+    tags, odd = _tags_and_odd(text)
     sample = F.trim(F.substring(text, 1, 200))
     times = (F.length(text) - F.length(F.replace(text, sample, F.lit("")))) / F.greatest(F.length(sample), F.lit(1))
     found = ((short > 0.5) & ((words >= 2) | (marks > 0.1))) | ((short > 0.7) & (marks > 0.05)) | (odd > 5) | (tags >= 3) | ((F.length(text) > 500) & (sample != "") & (times >= 3))
@@ -128,7 +134,8 @@ def with_garbled_table(df: DataFrame, text: str, out: str) -> DataFrame:
     sample = F.trim(F.substring(c, 1, 200))
     again = F.contains(F.substring(c, F.lit(201), F.length(c)), F.substring(sample, 1, 20))
     times = F.when(again, (F.length(c) - F.length(F.replace(c, sample, F.lit("")))) / F.length(sample)).otherwise(1)
-    rare = (F.regexp_count(c, F.lit("[ŧĖΧŲġşŷįďŕŝΈΊϐ]")) > 5) | (F.contains(c, F.lit("<")) & (F.regexp_count(c, F.lit("</?math>|<br/?>|</?sup>")) >= 3))
+    tags, odd = _tags_and_odd(c)
+    rare = (odd > 5) | (tags >= 3)
     found = F.when((short > 0.7) & (marks > 0.05), True).when((short > 0.5) & ((marks > 0.1) | (words >= 2)), True).when((F.length(c) > 500) & (sample != "") & (times >= 3), True).otherwise(rare)
     return x.withColumn(out, F.when(F.col(out).isNull(), False).otherwise(found))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("retrieval", "telemetry", "rules", "documents", "stores", "legal", "upkeep", "cleaning", "chunking", "streams", "intake")
+MODULES: tuple[str, ...] = ("retrieval", "telemetry", "rules", "documents", "stores", "legal", "upkeep", "cleaning", "chunking", "streams", "intake", "bound")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

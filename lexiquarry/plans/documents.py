@@ -1,7 +1,4 @@
-"""Classification, text passes, chunking, audits and state bound to the tables.
-
-Texts with the domain's markers are not in the tables: those queries use small inline
-rows, written down again in their SQL."""
+"""Classification, text passes, chunking, audits and state bound to the tables."""
 
 from __future__ import annotations
 
@@ -11,6 +8,7 @@ from lexiquarry.functions import text as t
 from lexiquarry.operators import documents as o
 from lexiquarry.operators import phrases
 from lexiquarry.operators.intervals import interval_join
+from lexiquarry.plans.planted import quoted
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import scratch_dir, table
 from lexiquarry.sources.keyed_store import KeyedStore
@@ -19,66 +17,9 @@ reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
 
-def inline(spark, values: list[tuple], names: str):
-    """Rows with their number ``i``."""
-    return spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, " + ", ".join(f"{n} string" for n in names.split()))
-
-
-def q(x) -> str:
-    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
-
-
-def answers(values: list[tuple], names: str) -> str:
-    """SQL of expected rows: i and columns, all text."""
-    rows = ", ".join(f"({i}, " + ", ".join(q(x) for x in v) + ")" for i, v in enumerate(values))
-    return f"SELECT * FROM (VALUES {rows}) AS t(i, {names.replace(' ', ', ')})"
-
-
 #: DuckDB's spelling of functions.text.fold over the column text.
 FOLDED = "translate(lower(text), '" + "".join(t.ACCENTED.values()) + "', '" + "".join(k * len(v) for k, v in t.ACCENTED.items()) + "')"
 
-_KINDS = [("16/2025/NĐ-CP", "", "", ""), ("", "QCVN 06.pdf", "", "BXD"), ("", "TT01-2023-BTP.pdf", "", "BTP"), ("TB340", "", "", ""), ("", "a/QD08.docx", "", "UBND Hà Nội"), ("", "x.pdf", "theo 12/2020/QH14", "BTC"), ("", "readme.md", "", ""), ("01/2024/TT-BXD", "y.pdf", "", "hđnd tỉnh")]
-
-
-@reg("cl1_document_type", answers([("NGHI_DINH",), ("QCVN",), ("THONG_TU",), ("THONG_BAO",), ("QUYET_DINH",), ("NGHI_QUYET",), ("VAN_BAN",), ("THONG_TU",)], "doc_type"))
-def cl1(spark, d):
-    k = inline(spark, _KINDS, "number file head authority")
-    return k.select("i", o.document_type(F.col("number"), F.col("file"), F.col("head")).alias("doc_type"))
-
-
-@reg("cl2_legal_level", answers([("NGHI_DINH",), ("KY_THUAT",), ("THONG_TU",), ("THONG_TU",), ("DIA_PHUONG",), ("NGHI_QUYET",), ("UNKNOWN",), ("DIA_PHUONG",)], "legal_level"))
-def cl2(spark, d):
-    k = inline(spark, _KINDS, "number file head authority")
-    return k.select("i", o.legal_level(o.document_type(F.col("number"), F.col("file"), F.col("head")), F.col("authority")).alias("legal_level"))
-
-
-@reg("cl3_discipline", answers([("TONG_HOP",), ("XAY_DUNG",), ("TU_PHAP",), ("TONG_HOP",), ("TONG_HOP",), ("TAI_CHINH",), ("TONG_HOP",), ("XAY_DUNG",)], "discipline"))
-def cl3(spark, d):
-    k = inline(spark, _KINDS, "number file head authority")
-    return k.select("i", o.discipline(F.col("authority"), F.col("number"), F.col("file")).alias("discipline"))
-
-
-@reg("mx34_taxonomy_bundle", answers([("NGHI_DINH NGHI_DINH TONG_HOP",), ("QCVN KY_THUAT XAY_DUNG",), ("THONG_TU THONG_TU TU_PHAP",), ("THONG_BAO THONG_TU TONG_HOP",), ("QUYET_DINH DIA_PHUONG TONG_HOP",), ("NGHI_QUYET NGHI_QUYET TAI_CHINH",), ("VAN_BAN UNKNOWN TONG_HOP",), ("THONG_TU DIA_PHUONG XAY_DUNG",)], "labels"))
-def mx34(spark, d):
-    k = inline(spark, _KINDS, "number file head authority").withColumn("kind", o.document_type(F.col("number"), F.col("file"), F.col("head")))
-    return k.select("i", F.concat_ws(" ", "kind", o.legal_level(F.col("kind"), F.col("authority")), o.discipline(F.col("authority"), F.col("number"), F.col("file"))).alias("labels"))
-
-
-_QUERIES = ["", "so sánh 87/2023/NĐ-CP và 88/2023/NĐ-CP", "QCVN 06:2022 và QCVN 07:2023", "Điều 15 nói gì", "1417/QĐ-TTg", "sửa đổi nghị định", "trước ngày ban hành", "\"phòng cháy chữa cháy\"", "giấy phép xây dựng", "khác nhau giữa hai loại"]
-_INTENT = [("semantic", "0.5", "empty_query"), ("complex", "0.85", "multiple_doc_refs"), ("complex", "0.85", "multiple_doc_refs"), ("exact", "0.9", "article_reference"), ("exact", "0.9", "doc_number_no_year"), ("complex", "0.85", "amendment_keyword"), ("complex", "0.85", "timeline_keyword"), ("exact", "0.9", "quoted_exact_term"), ("semantic", "0.75", "default_semantic"), ("complex", "0.85", "comparison_keyword")]
-
-
-@reg("cl5_query_intent", answers(_INTENT, "intent confidence rule"))
-def cl5(spark, d):
-    x = inline(spark, [(s,) for s in _QUERIES], "query").select("i", o.query_intent(F.col("query")).alias("c"))
-    return x.select("i", "c.intent", F.col("c.confidence").cast("string").alias("confidence"), "c.rule")
-
-
-@reg("cl6_fusion_weights", answers([("0.6,0.4",), ("0.7,0.3",), ("0.7,0.3",), ("0.3,0.7",), ("0.3,0.7",), ("0.7,0.3",), ("0.7,0.3",), ("0.3,0.7",), ("0.6,0.4",), ("0.7,0.3",)], "weights"))
-def cl6(spark, d):
-    x = inline(spark, [(s,) for s in _QUERIES], "query")
-    return x.select("i", F.array_join(o.fusion_weights(o.query_intent(F.col("query"))["intent"]).cast("array<string>"), ",").alias("weights"))
-
 
 @reg("cl4_source_category", "SELECT page_id, CASE WHEN url LIKE '%example.org%' THEN 'QUOC_HOI' WHEN url LIKE '%/en/%' THEN 'CHINH_PHU' WHEN url LIKE '%.html%' THEN 'QUY_CHUAN' ELSE 'KHAC' END AS category FROM pages")
 def cl4(spark, d):
@@ -87,68 +28,6 @@ def cl4(spark, d):
     return table(spark, d, "pages").select("page_id", o.first_match(rules, F.lit("KHAC")).alias("category"))
 
 
-_IDS = ["QCVN 06:2020/BXD", "qcvn-1-2019-bxd", "TCVN 7336:2021", "TCVN ISO 19650-1:2021", "TCXDVN 33:2006", "15/2021/NĐ-CP", "10_2021_nd_cp", "VBPL/a b", "free text", ""]
-
-
-@reg("fn15_canonical_id", answers([("VBPL/QCVN_06_2020/BXD",), ("VBPL/QCVN_01_2019/BXD",), ("VBPL/TCVN_7336_2021",), ("VBPL/TCVN_ISO_19650-1_2021",), ("VBPL/TCXDVN_33_2006",), ("VBPL/15/2021/NĐ-CP",), ("VBPL/10/2021/NĐ-CP",), ("VBPL/a_b",), ("VBPL/free_text",), ("",)], "canonical"))
-def fn15(spark, d):
-    return inline(spark, [(x,) for x in _IDS], "id").select("i", t.canonical_id(F.col("id")).alias("canonical"))
-
-
-@reg("fn14_document_id", answers([("vb/16/2025/NĐ-CP",), ("vb/my_file",), ("vb/draft_my_file",), ("fixed",), ("vb/QCVN_06_2022",)], "doc_id"))
-def fn14(spark, d):
-    x = inline(spark, [("vb", "16/2025/NĐ-CP", "a.pdf", None), ("vb", "", "my file.pdf", None), ("vb", "draft", "my file.pdf", ""), ("vb", "1/2", "a", "fixed"), ("vb", "QCVN 06:2022", "a.pdf", None)], "ns number file override")
-    return x.select("i", t.document_id(F.col("ns"), F.col("number"), F.col("file"), F.col("override")).alias("doc_id"))
-
-
-@reg("fn17_file_metadata", answers([("2023-05-01", "TT", "BTP", "01/2023/TT-BTP"), ("unknown", "QD", "TTg", "08/QD-TTg"), ("unknown", "unknown", "unknown", ""), ("2020-01-02", "ND", "CP", "15/2020/ND-CP")], "date type authority doc_number"))
-def fn17(spark, d):
-    x = inline(spark, [("20230501_TT01-2023-BTP.pdf",), ("QD08-TTg.docx",), ("notes.txt",), ("20200102-ND15-CP.pdf",)], "file").select("i", t.file_metadata(F.col("file")).alias("m"))
-    return x.select("i", "m.*")
-
-
-@reg("fn2_diacritic_fold", answers([("dieu 15 khoan",), ("thong tu",), ("nghi dinh",)], "folded"))
-def fn2(spark, d):
-    return inline(spark, [("Điều 15 KHOẢN",), ("Thông tư",), ("Nghị định",)], "s").select("i", t.fold(F.col("s")).alias("folded"))
-
-
-@reg("fn3_integer_token", answers([("7",), ("0",), ("12",)], "n"))
-def fn3(spark, d):
-    return inline(spark, [("007",), ("000",), (" 12",)], "s").select("i", t.integer_token(F.col("s")).alias("n"))
-
-
-@reg("fn7_polarity", answers([("-1",), ("1",), ("0",), ("0",)], "polarity"))
-def fn7(spark, d):
-    x = inline(spark, [("Nghiêm cấm hút thuốc",), ("Được phép xây dựng",), ("Chiều cao không quá 50 m",), ("",)], "s")
-    return x.select("i", t.polarity(F.col("s")).cast("string").alias("polarity"))
-
-
-@reg("fn5_measures", answers([("m=50,m=7.5",), ("kg=3,m2=1.5",), ("",)], "found"))
-def fn5(spark, d):
-    x = inline(spark, [("cao 50 m và 7,50 mét, 50 met",), ("1.5 m² nặng 3 kg",), ("không có",)], "s")
-    return x.select("i", F.array_join(F.array_sort(t.measures(F.col("s"))), ",").alias("found"))
-
-
-@reg("fn6_measure_relation", answers([("conflict",), ("unsupported",), ("ok",)], "relation"))
-def fn6(spark, d):
-    x = inline(spark, [("cao 50 m", "cao 75 m"), ("cao 50 m", "nặng 3 kg"), ("cao 50 m, 75 m", "cao 75 m")], "p h")
-    return x.select("i", t.measure_relation(F.col("p"), F.col("h")).alias("relation"))
-
-
-_CLAIMS = [("Chiều cao nhà không quá 50 m", "Chiều cao nhà không quá 75 m"), ("Được phép xây tường gạch bao quanh nhà", "Cấm xây tường gạch bao quanh nhà"), ("Hành lang rộng 2 m dùng chung cho tầng", "Hành lang rộng 2 m dùng chung cho tầng"), ("Cửa thoát nạn mở ra ngoài", ""), ("Cửa thoát nạn mở ra ngoài", "Máy bơm dự phòng đặt riêng biệt")]
-
-
-@reg("cv3_entailment_decision", answers([("rejected_contradiction",), ("rejected_contradiction",), ("verified_entailment",), ("unverified",), ("unverified",)], "status"))
-def cv3(spark, d):
-    return o.heuristic_entailment(inline(spark, _CLAIMS, "premise hypothesis")).select("i", "status")
-
-
-@reg("cv4_heuristic_entailment", answers([("0.040,0.080,0.880",), ("0.040,0.080,0.880",), ("0.950,0.020,0.030",), ("0.050,0.900,0.050",), ("0.120,0.800,0.080",)], "probs"))
-def cv4(spark, d):
-    p = F.array_join(F.transform("probs", lambda x: F.format_string("%.3f", x)), ",")
-    return o.heuristic_entailment(inline(spark, _CLAIMS, "premise hypothesis")).select("i", p.alias("probs"))
-
-
 @reg("cv6_faithfulness", "WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: x <> '') AS sents, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4)) AS w FROM documents), p AS (SELECT a.doc_id, a.sents, b.w FROM s a JOIN s b ON b.doc_id = a.doc_id + 2), c AS (SELECT doc_id, sents, list_transform(sents, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: length(v) >= 4))) AS ts, w FROM p) SELECT doc_id, round(len(list_filter(ts, lambda t: len(t) = 0 OR len(list_intersect(t, w)) >= 0.4 * len(t))) / greatest(len(sents), 1), 6) AS faithful FROM c")
 def cv6(spark, d):
     docs = table(spark, d, "documents")
@@ -164,7 +43,7 @@ def fn1(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(t.squash(F.col("text")).cast("binary")).alias("h"))
 
 
-@reg("fn8_content_tokens", "SELECT doc_id, len(list_filter(list_distinct(list_filter(string_split(regexp_replace(" + FOLDED + ", '[^a-z0-9%]+', ' ', 'g'), ' '), lambda w: length(w) > 1)), lambda w: NOT list_contains([" + ",".join(q(w) for w in t.STOPWORDS) + "], w))) AS n FROM documents")
+@reg("fn8_content_tokens", "SELECT doc_id, len(list_filter(list_distinct(list_filter(string_split(regexp_replace(" + FOLDED + ", '[^a-z0-9%]+', ' ', 'g'), ' '), lambda w: length(w) > 1)), lambda w: NOT list_contains([" + ",".join(quoted(w) for w in t.STOPWORDS) + "], w))) AS n FROM documents")
 def fn8(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t.content_tokens(F.col("text"))).cast("long").alias("n"))
 
@@ -186,17 +65,6 @@ def fn13(spark, d):
     return x.select("doc_id", F.when(~F.col("statutory"), "NON_STATUTORY").when(F.col("expected").isNull(), "NO_SOURCE").when(F.lower(h) == F.lower("expected"), "VERIFIED").otherwise("TAMPERED").alias("status"))
 
 
-@reg("fn21_front_matter_strip", answers([("body\n",), ("no matter",), ("x",)], "body"))
-def fn21(spark, d):
-    return inline(spark, [("---\ntitle: a\n---\nbody\n",), ("no matter",), ("﻿---\na: 1\n---\nx",)], "s").select("i", t.front_matter_stripped(F.col("s")).alias("body"))
-
-
-@reg("fn23_safe_json", answers([("[1,2,3,4]",), ("[0,0,1000,1000]",)], "bbox"))
-def fn23(spark, d):
-    x = inline(spark, [("[1,2,3,4]",), ("oops",)], "s")
-    return x.select("i", F.to_json(F.coalesce(F.from_json("s", "array<int>"), F.array(*[F.lit(v) for v in (0, 0, 1000, 1000)]))).alias("bbox"))
-
-
 @reg("fn27_token_estimate", "SELECT conv_id, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def fn27(spark, d):
     parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("parts"))
@@ -209,11 +77,6 @@ def fn28(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.when(F.floor(F.sum(F.length("text")) / 4) < 500, "small").otherwise("large").alias("tier"))
 
 
-@reg("fn33_hop_coercion", answers([("2",), (None,), ("3",), (None,)], "hop"))
-def fn33(spark, d):
-    return inline(spark, [("2",), ("true",), ("3.0",), ("2.5",)], "s").select("i", t.coerced_hop(F.col("s")).cast("string").alias("hop"))
-
-
 @reg("fn35_pagination", "SELECT doc_id, substr(text, 101, 100) AS page FROM documents")
 def fn35(spark, d):
     return table(spark, d, "documents").select("doc_id", t.page_of(F.col("text"), 2, 100).alias("page"))
@@ -241,12 +104,6 @@ def mx14(spark, d):
     return phrases.phrase_scores(table(spark, d, "documents"), "doc_id", "text", p)
 
 
-@reg("pf4_noise_chunks", answers([("true",), ("true",), ("false",), ("true",)], "noise"))
-def pf4(spark, d):
-    x = inline(spark, [("short",), ("[d1] KT. BỘ TRƯỞNG Nguyễn Văn A và các thành viên khác",), ("Điều 1. Phạm vi điều chỉnh của nghị định này là các công trình dân dụng",), ("Kính gửi: Các đơn vị trực thuộc trong toàn thành phố",)], "s")
-    return x.select("i", o.is_noise(F.col("s")).cast("string").alias("noise"))
-
-
 @reg("pf4_keep_all_if_noise", "WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT *, length(trim(line)) < 40 AS noise, bool_or(length(trim(line)) >= 40) OVER (PARTITION BY doc_id) AS good FROM c) SELECT doc_id, count(*) AS n FROM n WHERE NOT noise OR NOT good GROUP BY 1")
 def pf4_docs(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -278,12 +135,6 @@ def pf16(spark, d):
     return table(spark, d, "documents").join(done, "doc_id", "left_semi").select("doc_id")
 
 
-@reg("wn17_segment_merge", answers([("2",), ("1",), ("0",)], "n"))
-def wn17(spark, d):
-    x = inline(spark, [("a" * 200 + "|" + "b" * 150 + "|" + "c" * 310,), ("a" * 320 + "|short",), (" | ",)], "s")
-    return x.select("i", F.size(o.merged_segments(F.split("s", r"\|"))).cast("string").alias("n"))
-
-
 # Ends of sentences without look-around: dots behind digits are set aside first, and starts of
 # lines that need what follows them are looked for twice, as two of them may share a line feed.
 _ENDS = "regexp_replace(regexp_replace(text, '([0-9])\\.', '\\1' || chr(2), 'g'), '\\.\\s+', chr(1), 'g')"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexiquarry.operators import chunking as ck
 from lexiquarry.operators import documents as o
-from lexiquarry.operators import graph as g
 from lexiquarry.operators import hooks as h
 from lexiquarry.operators import intake as n
 from lexiquarry.plans import rules
@@ -15,6 +14,7 @@ from lexiquarry.plans.chunking import _CHAIN, KINDS
 from lexiquarry.plans.planted import planted, planted_sql, quoted
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import scratch_dir, table
+from lexiquarry.sources import corpus_source
 from lexiquarry.sources import readers as rd
 
 reg = Registry()
@@ -80,6 +80,29 @@ def sc9(spark, d):
     return rd.qa_list(spark, path).select("question", "category")
 
 
+@reg("sc8_export_source", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_type, n - 1 AS n, text FROM (SELECT doc_id, source AS doc_type, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE lang = 'en' AND source = 'src1')")
+def sc8_source(spark, d):
+    """Exports by the data source; the folder and the type are filters that it takes over."""
+    path = scratch_dir(spark)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("text"), (i + 1).alias("page")))
+    x = table(spark, d, "documents").select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.create_map(F.lit("doc_type"), F.col("source")).alias("metadata"), lines.alias("chunks"))
+    x.write.partitionBy("lang").json(path)
+    corpus_source.register(spark)
+    rows = spark.read.format("corpus_files").option("kind", "export").option("most", str(1 << 30)).load(path)
+    return rows.filter((F.col("folder") == "lang=en") & (F.col("doc_type") == "src1")).select("doc_id", "doc_type", "n", "text")
+
+
+@reg("sc9_qa_source", "SELECT text AS question, 'c' || item_id % 3 AS category FROM benchmark WHERE item_id % 3 = 1")
+def sc9_source(spark, d):
+    """Question lists with lines that are no JSON, by the data source."""
+    path = scratch_dir(spark)
+    b = table(spark, d, "benchmark")
+    good = b.select(F.to_json(F.struct(F.col("text").alias("question"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.lit(1).alias("unknown"))).alias("value"))
+    good.unionAll(b.select(F.concat(F.lit('{"question": '), F.col("item_id").cast("string")).alias("value"))).write.text(path)
+    corpus_source.register(spark)
+    return spark.read.format("corpus_files").option("kind", "qa").load(path).filter("category = 'c1'").select("question", "category")
+
+
 @reg("sk5_cascade_status", "WITH l AS (SELECT DISTINCT doc_id FROM labels), e AS (SELECT DISTINCT vec_id FROM embeddings), x AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS in_labels, e.vec_id IS NOT NULL AS in_vectors FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN e ON e.vec_id = d.doc_id) SELECT *, CASE WHEN in_labels AND in_vectors THEN 'full' WHEN in_labels OR in_vectors THEN 'partial' ELSE 'none' END AS outcome FROM x")
 def sk5(spark, d):
     stores = {"in_labels": table(spark, d, "labels"), "in_vectors": table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import STOPWORDS, content_tokens, token_recall
 from lexiquarry.operators import legal as g
-from lexiquarry.plans.documents import FOLDED, answers, inline
+from lexiquarry.plans.documents import FOLDED
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import scratch_dir, table
 from lexiquarry.sources.keyed_store import KeyedStore
@@ -15,32 +15,6 @@ reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
 
-@reg("fn4_reference_extraction", answers([("qcvn 6:2022",), ("nd 15:2021,tt 1:2024",), ("",)], "refs"))
-def fn4(spark, d):
-    x = inline(spark, [("theo QCVN 06:2022/BXD và QCVN 6:2022",), ("Nghị định 15/2021/NĐ-CP, 01/2024/TT-BXD",), ("không",)], "s")
-    return x.select("i", F.array_join(F.array_sort(g.references(F.col("s"))), ",").alias("refs"))
-
-
-_CITE = [("Theo Điều 5 QCVN 06:2022", "QCVN 06:2022/BXD", "Chương 1 -> Điều 7"), ("Điều 5 QCVN 06:2022", "QCVN 06:2022/BXD", "Điều 5"), ("TCVN 7336:2021", "QCVN 06:2022/BXD", ""), ("Chiều cao nhà theo Điều 5 là 50 m", "", "Điều 5"), ("Điều 5 khoản 2", "", "Điều 5")]
-
-
-@reg("cv1_identifier_check", answers([("rejected_mismatch",), ("verified_pointer",), ("rejected_mismatch",), (None,), ("unverified",)], "tier0"))
-def cv1(spark, d):
-    return g.identifier_check(inline(spark, _CITE, "claim doc_number hierarchy_path")).select("i", "tier0")
-
-
-@reg("mx42_pointer_gaps", answers([("false",), ("false",), ("false",), ("false",), ("true",)], "incomplete"))
-def mx42(spark, d):
-    x = g.identifier_check(inline(spark, _CITE, "claim doc_number hierarchy_path"))
-    return x.select("i", F.coalesce(F.col("tier0") == "unverified", F.lit(False)).cast("string").alias("incomplete"))
-
-
-@reg("cv2_proposition", answers([("chiều cao không quá 50 m",), ("cửa mở ra ngoài",), ("plain",)], "prop"))
-def cv2(spark, d):
-    x = inline(spark, [("Theo Điều 5 QCVN 06:2022, chiều cao không quá 50 m.",), ("cửa mở ra ngoài (khoản 3 Điều 2)",), ("plain",)], "s")
-    return x.select("i", g.proposition(F.col("s")).alias("prop"))
-
-
 @reg("fn10_softmax", "SELECT event_id, round(exp(0.0) / (1 + exp(-value / 50) + exp(-value / 25)), 6) AS p FROM events")
 def fn10(spark, d):
     l = F.array(F.lit(0.0), -F.col("value") / 50, -F.col("value") / 25)  # noqa: E741
@@ -74,44 +48,11 @@ def fn31(spark, d):
     return c.select("conv_id", F.when((F.col("chars") >= 100) & (F.col("share") >= 0.5), "NATIVE").otherwise("SCAN").alias("tier"))
 
 
-@reg("pf7_table_predicate", answers([("true",), ("false",), ("true",)], "is_table"))
-def pf7(spark, d):
-    x = inline(spark, [("| a | b |\n|---|---|\n| 1 | 2 |", "n"), ("plain text of a page", "n"), ("flagged", "y")], "s f")
-    return x.select("i", g.is_table(F.col("s"), F.col("f") == "y").cast("string").alias("is_table"))
-
-
-@reg("pf12_contents_page", answers([("true",), ("false",)], "toc"))
-def pf12(spark, d):
-    x = inline(spark, [("One .... 1\nTwo .... 12\nThree ..... 30\ntext",), ("One .... 1\nprose\nprose\nprose",)], "s")
-    return x.select("i", g.is_contents_page(F.col("s")).cast("string").alias("toc"))
-
-
-@reg("pf11_broken_blocks", answers([("1",), ("0",)], "broken"))
-def pf11(spark, d):
-    x = inline(spark, [("a\n| 1 | 2 |\n| 3 | 4 |\nb\n| h | i |\n| --- | --- |\n| 1 | 2 |",), ("| one |\ntext",)], "s")
-    return x.select("i").join(g.broken_blocks(x, "i", "s"), "i", "left").select("i", F.coalesce("broken", F.lit(0)).cast("string").alias("broken"))
-
-
 @reg("pf13_content_start", "WITH s AS (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS st FROM conversations) SELECT conv_id, turn FROM s WHERE st IS NULL OR turn >= st")
 def pf13(spark, d):
     return g.from_content(table(spark, d, "conversations"), "conv_id", "turn", "role", "^assistant$").select("conv_id", "turn")
 
 
-@reg("fn20_heading", answers([("### 1.2 Scope",), ("## Preamble",), ("#### 1.2.3 Deep",)], "h"))
-def fn20(spark, d):
-    return inline(spark, [("A -> 1.2 Scope",), ("Preamble",), ("A -> B -> 1.2.3 Deep",)], "p").select("i", g.heading_of(F.col("p")).alias("h"))
-
-
-@reg("fn19_parent_clause", answers([("d5",), ("1-2",), (None,)], "parent"))
-def fn19(spark, d):
-    return inline(spark, [("d5-p2",), ("1-2-3",), ("x",)], "c").select("i", g.parent_clause(F.col("c")).alias("parent"))
-
-
-@reg("fn22_json_extraction", answers([('{"a": 1}',), ('{"b": 2}',), (None,)], "j"))
-def fn22(spark, d):
-    return inline(spark, [('text ```json\n{"a": 1}\n``` {"z": 9}',), ('{bad} then {"b": 2}',), ("none",)], "s").select("i", g.json_in_text(F.col("s")).alias("j"))
-
-
 @reg("ch8_anchor_chunks", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(range(0, CASE WHEN length(t) > 300 THEN CAST(ceil(length(t) / 200.0) AS BIGINT) ELSE 1 END)) FROM (SELECT conv_id, text AS t FROM conversations WHERE trim(text) <> '')) GROUP BY 1")
 def ch8(spark, d):
     c = table(spark, d, "conversations")

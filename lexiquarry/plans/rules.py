@@ -64,17 +64,6 @@ def ru5(spark, d):
     return r.water_flow(x).select("p_partkey", "base_flow", "flow")
 
 
-_IDS = [("QCVN 06:2022/BXD", False, False), ("TCVN 7336:2021", False, False), ("TCVN 1234:2020", True, False), ("TCVN 1234:2020", False, False), ("ISO 9001", False, False), ("ISO 9001", False, True), ("16/2025/tt-bxd", False, False), (None, False, False)]
-_IDS_SQL = "v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if a is None else repr(a)}, {b}, {c})" for i, (a, b, c) in enumerate(_IDS)) + ") AS t(i, id, cited, contract))"
-
-
-@reg("ru2_normative_force", f"""WITH {_IDS_SQL}, u AS (SELECT *, upper(trim(coalesce(id, ''))) AS c FROM v) SELECT i, CASE WHEN contract THEN 'contract_adopted' WHEN c LIKE '%QCVN%' OR c LIKE '%QCXDVN%' OR c LIKE '%LUẬT%' OR c LIKE '%LUAT%' OR c LIKE '%NĐ-CP%' OR c LIKE '%ND-CP%' OR c LIKE '%TT-BXD%' THEN 'mandatory'
- WHEN c LIKE '%TCVN%' AND (cited OR regexp_matches(c, 'TCVN (7336|3890|5738|2622|9383|9311|3254)')) THEN 'mandatory_by_reference' ELSE 'voluntary' END AS force FROM u""")
-def ru2(spark, d):
-    v = spark.createDataFrame([(i, *x) for i, x in enumerate(_IDS)], "i int, id string, cited boolean, contract boolean")
-    return v.select("i", r.normative_force(F.col("id"), F.col("cited"), F.col("contract")).alias("force"))
-
-
 _PROJ = "p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'Kho đạn ' ELSE 'Tower ' END || o_orderkey AS name, ['DAC_BIET','I','II','III','IV'][o_orderkey % 5 + 1] AS level, CASE WHEN o_orderkey % 2 = 0 THEN 'F1.2' ELSE 'F4.3' END AS fun, 100 + o_custkey % 80 AS height, o_custkey % 6 AS basements, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS pccc, CAST(o_orderdate AS DATE) + 365 AS permit FROM orders)"
 
 
@@ -155,12 +144,6 @@ def ru7(spark, d):
     return s.select("o_orderkey", r.overall_status(~F.col("applicable"), F.col("special_clearance")).alias("status"))
 
 
-@reg("ru8_repealed_citation", "SELECT i, flag FROM (VALUES (1, true), (2, false), (3, false)) AS t(i, flag)")
-def ru8(spark, d):
-    rows = spark.createDataFrame([(1, "Thông tư 06/2021/tt-bxd", "2026-08-01"), (2, "06/2021/TT-BXD", "2025-01-01"), (3, "16/2025/TT-BXD", "2026-08-01")], "i int, c string, a string")
-    return rows.select("i", r.repealed_citation(F.col("c"), F.col("a").cast("date")).alias("flag"))
-
-
 @reg("ru10_assessment_text", f"WITH {_PROJ} SELECT o_orderkey, '# ' || name || chr(10) || 'height: ' || height || chr(10) || 'basements: ' || basements AS text FROM p")
 def ru10(spark, d):
     p = projects(spark, d)

@@ -81,11 +81,6 @@ def ss5(spark, d):
     return spark.createDataFrame([(got["depth"], got["dead"], got["pending"])], "depth long, dead long, pending long")
 
 
-@reg("sc1_reader_dispatch", "SELECT * FROM (VALUES ('a.pdf', 'pdf', NULL), ('b.DOCX', 'word', NULL), ('c.md', 'markdown', NULL), ('d.zip', 'failed', 'unsupported format: zip'), ('noext', 'failed', 'unsupported format: ')) AS t(path, route, error)")
-def sc1(spark, d):
-    return rd.routed(spark.createDataFrame([(x,) for x in ("a.pdf", "b.DOCX", "c.md", "d.zip", "noext")], "path string"))
-
-
 @reg("sc4_sheet_markdown", "SELECT r.r_name AS sheet, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation JOIN region r ON r_regionkey = n_regionkey GROUP BY 1")
 def sc4(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiquarry.functions import line_passes as lp
 from lexiquarry.operators import documents as o
 from lexiquarry.operators import upkeep as u
-from lexiquarry.plans.documents import answers, inline
 from lexiquarry.operators.metrics import numbered_within
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import table
@@ -21,11 +19,6 @@ def mx10(spark, d):
     return table(spark, d, "documents").select("doc_id", u.recoverable(F.col("text")).alias("ok"))
 
 
-@reg("mx9_table_text_clean", answers([("a\n\nb",), ("x",)], "s"))
-def mx9(spark, d):
-    return inline(spark, [("a\n12\n\n\nb",), ("  x \n 7",)], "s").select("i", F.regexp_replace(u.table_text_clean(F.col("s")), r"\s+$", "").alias("s"))
-
-
 _EN = "|".join(u.ENGLISH)
 
 
@@ -34,51 +27,6 @@ def mx12(spark, d):
     return table(spark, d, "documents").select("doc_id", u.is_english(F.col("text")).alias("english"))
 
 
-@reg("mx32_table_signals", answers([("true",), ("true",), ("false",)], "signals"))
-def mx32(spark, d):
-    return inline(spark, [("tải ≤ 5 kN/m",), ("STT, Đơn vị",), ("văn bản STT",)], "s").select("i", u.table_signals(F.col("s")).cast("string").alias("signals"))
-
-
-@reg("mx33_fragmented_line", answers([("true",), ("true",), ("false",), ("false",)], "fragment"))
-def mx33(spark, d):
-    return inline(spark, [("12,5 / 7",), ("D12 x",), ("một câu dài 12 chữ",), (" ",)], "s").select("i", u.fragmented_line(F.col("s")).cast("string").alias("fragment"))
-
-
-@reg("fn18_number_from_path", answers([("QCVN 06:2022/BXD",), ("50/2014/QH13",), ("08/2023/QĐ-TTg",), ("08/QĐ-TTg",), (None,)], "number"))
-def fn18(spark, d):
-    return inline(spark, [("a/QCVN06-2022-BXD.json",), ("Luat_50-2014-QH13_x.md",), ("x/QD08-2023-TTg.md",), ("QD08-TTg.json.bak",), ("notes.md",)], "p").select("i", u.number_from_path(F.col("p")).alias("number"))
-
-
-@reg("mx4_canonical_by_prefix", answers([("VBPL/55/2024/QH15",), ("VBPL/QCVN_06_2022/BXD",), ("VBPL/my_slug",), ("VBPL/my_slug",)], "id"))
-def mx4(spark, d):
-    return inline(spark, [("55/2024/QH15", "s"), ("QCVN 06:2022/BXD", "s"), ("draft", "my slug"), ("", "my slug")], "number slug").select("i", u.canonical_by_prefix(F.col("number"), F.col("slug")).alias("id"))
-
-
-@reg("mx25_xml_fence", answers([("a ```xml\n<?xml v?><b/>\n```",), ("plain",)], "s"))
-def mx25(spark, d):
-    return inline(spark, [("a <?xml v?><b/>",), ("plain",)], "s").select("i", u.fenced_xml(F.col("s")).alias("s"))
-
-
-@reg("ch5_numbered_sections", answers([("3",), ("0",), ("0",)], "n"))
-def ch5(spark, d):
-    x = inline(spark, [("Head\n1. Scope\ntext\n2. Terms\ntext",), ("1. Only one",), ("Điều 1\n1. A\n2. B",)], "s")
-    n = u.numbered_sections(x, "i", "s").groupBy("i").agg(F.count("*").alias("n"))
-    return x.select("i").join(n, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("string").alias("n"))
-
-
-@reg("ch6_form_fields", answers([("2",), ("0",)], "n"))
-def ch6(spark, d):
-    x = inline(spark, [("Kính gửi\n1. Họ và tên: Nguyễn Văn A sinh năm 1990\n2. Nơi ở: số 12 đường Láng, Hà Nội, Việt Nam",), ("1. a\n2. b",)], "s")
-    n = u.form_fields(x, "i", "s", "Kính gửi|Họ và tên|Nơi ở").groupBy("i").agg(F.count("*").alias("n"))
-    return x.select("i").join(n, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("string").alias("n"))
-
-
-@reg("ch4_forward_merge", answers([("2",), ("1",)], "n"))
-def ch4(spark, d):
-    x = inline(spark, [("short|" + "a" * 90 + "|" + "b" * 100,), ("s1|s2|" + "c" * 80,)], "s")
-    return x.select("i", F.size(u.forward_merged(F.split("s", r"\|"))).cast("string").alias("n"))
-
-
 @reg("mx11_placeholder_recovery", "SELECT conv_id AS doc, turn AS page, CASE WHEN turn % 2 = 0 THEN role ELSE 'kept' END AS text FROM conversations")
 def mx11(spark, d):
     c = table(spark, d, "conversations").dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "role")
@@ -93,13 +41,6 @@ def mx18(spark, d):
     return u.better_chunking(old, o.fallback_chunks(docs, "doc_id", "text"), "doc_id")
 
 
-@reg("mx35_report_scores", answers([("json=100,markdown=90",)], "scores"))
-def mx35(spark, d):
-    m = u.report_scores(F.col("s"))
-    x = inline(spark, [("# Report\n- Markdown: **90/100**\n- JSON: 100/100\ntext",)], "s")
-    return x.select("i", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("scores"))
-
-
 @reg("mx40_flag_record", "SELECT user_id, round(avg(value), 6) AS mean, CAST(least(count(*), 3) AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type DESC) AS k FROM events) WHERE k <= 5 GROUP BY 1 HAVING avg(value) < 120")
 def mx40(spark, d):
     return u.flagged(table(spark, d, "events"), "user_id", "value", "event_type", 120.0).select("user_id", F.round("mean", 6).alias("mean"), F.size("texts").alias("n"))
@@ -131,19 +72,3 @@ def mx36(spark, d):
     x = table(spark, d, "documents").withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("k <= 5")
     rows = F.array_sort(F.collect_list(F.struct("k", F.col("text").alias("s"))))
     return x.groupBy("source").agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n").alias("context"))
-
-
-@reg("tx12_header_boilerplate", answers([("Điều 1. Nội dung chính của văn bản",), ("Không có gì để bỏ ở đây",)], "s"))
-def tx12(spark, d):
-    return inline(spark, [("CHÍNH PHỦ\nSố: 12/NĐ-CP\n\nĐiều 1. Nội dung chính của văn bản",), ("Không có gì để bỏ ở đây",)], "s").select("i", lp.apply(F.col("s"), lp.strip_header).alias("s"))
-
-
-@reg("tx13_recipient_list", answers([("a\nb",), ("no list",)], "s"))
-def tx13(spark, d):
-    return inline(spark, [("a\nNơi nhận:\n- Bộ A;\n- Lưu VT.\nb",), ("no list",)], "s").select("i", lp.apply(F.col("s"), lp.strip_recipients).alias("s"))
-
-
-@reg("wn16_cross_page_join", answers([("ends within the sentence.|New",), ("Ends.|Starts",)], "pages"))
-def wn16(spark, d):
-    join = F.udf(lp.joined_pages, "array<string>", useArrow=True)
-    return inline(spark, [("ends within|the sentence.\nNew",), ("Ends.|Starts",)], "s").select("i", F.array_join(join(F.split("s", r"\|")), "|").alias("pages"))

@@ -242,3 +242,39 @@ def test_best_covered(spark):
     docs = spark.createDataFrame([(10, ["a", "b"]), (11, ["a", "c", "d"]), (12, ["b", "a"]), (13, ["q"])], "doc long, dw array<string>")
     got = sorted(map(tuple, best_covered(items, docs, "item", "doc", 2).collect()))
     assert got == [(1, 10, 0.5, 2), (1, 11, 0.75, 1), (2, 10, 1.0, 1), (2, 11, 1.0, 2)]
+
+
+def test_files_by_the_data_source(spark, tmp_path):
+    import json
+
+    from lexiquarry.sources import corpus_source
+
+    for folder, slug, meta, body in (("laws", "b", {"id": "x", "status": "Expired", "replaces": ["q", "p", "p"], "title": "T"}, "# text"), ("laws", "a", None, None), ("codes", "c", {"document_number": "7", "amends": "z"}, None)):
+        at = tmp_path / "bundles" / folder / slug
+        at.mkdir(parents=True)
+        if meta is not None:
+            (at / "metadata.json").write_text(json.dumps(meta))
+        else:
+            (at / "metadata.json").write_text("no json")
+        if body:
+            (at / "index.md").write_text(body)
+    corpus_source.register(spark)
+    rows = spark.read.format("corpus_files").option("kind", "bundle").load(str(tmp_path / "bundles"))
+    got = [tuple(r) for r in rows.orderBy("slug").collect()]
+    assert got == [
+        ("laws", "a", None, "a", "a", "unknown", "ACTIVE", [], [], None),
+        ("laws", "b", "x", "b", "T", "unknown", "OUTDATED", ["p", "q"], [], "# text"),
+        ("codes", "c", None, "7", "c", "unknown", "ACTIVE", [], ["z"], None),
+    ]
+    some = rows.filter("folder = 'laws' AND status = 'OUTDATED' AND length(title) < 5")
+    assert [r["slug"] for r in some.collect()] == ["b"]
+    reader = corpus_source.CorpusReader("bundle", str(tmp_path / "bundles"), 10)
+    left = list(reader.pushFilters([corpus_source.EqualTo(("folder",), "laws"), corpus_source.EqualTo(("folder",), "codes")]))
+    assert len(left) == 1 and [p.paths for p in reader.partitions()] == [[f"{tmp_path}/bundles/laws/a/metadata.json", f"{tmp_path}/bundles/laws/b/metadata.json"]]
+    text = plan(some)
+    assert "folder" not in text.split("BatchScan")[0] or "Filter" not in text.split("folder")[0], text
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "one.json").write_text(json.dumps({"doc_id": 5, "chunks": [{"text": "abcdefghijkl", "page": 3}, {"chunk_type": "child"}]}))
+    (tmp_path / "e" / "bad.json").write_text("{")
+    rows = spark.read.format("corpus_files").option("kind", "export").option("most", "4").load(str(tmp_path / "e"))
+    assert sorted(tuple(r)[2:8] for r in rows.collect()) == [("5", "unknown", 0, "abcd", 3, "parent"), ("5", "unknown", 1, None, 1, "child")]
