@@ -7,7 +7,7 @@ postings by document. Blocks and heads lie in folders by the term's hash, forwar
 by the key's, so that a search reads the folders of its terms and candidates alone.
 
 A search is two rounds of joins, whatever the number of queries. The first two blocks of each
-term give candidates, whose exact scores put a floor under the k-th score. A document whose
+term give parts of scores, whose k-th puts a floor under the k-th score. A document whose
 every term weighs less than a level can't reach the floor, if the terms' largest weights, each
 cut at that level, add up to less: so the second round reads only blocks whose top reaches the
 level, and looks up only those documents whose read weights, with the most that the unread
@@ -104,11 +104,10 @@ def _read(index: InvertedIndex, lists: DataFrame, which) -> DataFrame:
 
 def floors(index: InvertedIndex, lists: DataFrame, k: int) -> DataFrame:
     """(qid, floor): a score that the k-th best of each query has or exceeds; 0 if the first
-    blocks hold fewer than k documents."""
+    blocks hold fewer than k documents. What these blocks say of a document is a part of its score."""
     first = _read(index, lists, F.col("block").isin(F.col("first"), F.col("second")) | (F.col("block") == F.col("first")))
     seen = first.select("qid", "qw", F.explode("entries").alias("e")).groupBy("qid", F.col("e.key").alias("key")).agg(F.sum(F.col("qw") * F.col("e.weight")).alias("score"))
-    exact = _best(_exact(index, lists, _best(seen, 4 * k).select("qid", "key")), k)
-    return exact.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor")).select("qid", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    return _best(seen, k).groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor")).select("qid", F.coalesce("floor", F.lit(0.0)).alias("floor"))
 
 
 def levels(lists: DataFrame, floor: DataFrame) -> DataFrame:
