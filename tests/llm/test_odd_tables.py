@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexiquarry.llm import common, decontaminate, fingerprint, lines, lines_packed, mixing, neardup, substrings
+from lexiquarry.llm import common, decontaminate, fingerprint, lines, lines_packed, manifest, mixing, neardup, negatives, packing, substrings
+
+PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 SCHEMA = "doc_id long, text string, lang string, source string, _id string, _th int, _gone string, _copies int, copy string, id string, th string, row string, gone string"
 
@@ -85,6 +88,23 @@ def test_very_long_texts(spark):
     assert gone[1] == (1, 0) and gone[2] == (1, 1) and gone[3] == (1, 1) and gone[5] == (150_000, 150_000 - len(set(words)))
 
 
+def test_tables_whose_ids_are_all_null(spark):
+    texts = ["one two three four five six seven", "one two three four five six seven", "quite other words stand here in this row", None, " ".join(f"w{k}" for k in range(80)), " ".join(f"w{k}" for k in range(80)) + " end"]
+    docs = clashing(spark, [(None, t, "a") for t in texts])
+    assert docs.filter("doc_id IS NULL").count() == 6
+    classes = neardup.near_duplicate_classes(docs).select("doc_id", "class_th", "is_kept").collect()
+    assert len(classes) == 6 and all(r["doc_id"] is None for r in classes) and len({r["class_th"] for r in classes}) == 4
+    prints = fingerprint.fingerprint_documents(docs).collect()
+    assert len(prints) == 6 and len({r["fingerprint"] for r in prints}) == 5
+    assert sorted(r["size"] for r in mixing.mix_sources(docs).collect()) == [0, 7, 7, 8, 80, 81]
+    assert sum(r["n_words"] for r in substrings.remove_repeats(docs).collect()) == 183
+    packed = packing.pack_documents(docs, PATH).collect()
+    assert len({r["sequence_id"] for r in packed}) == len(packed) and all(r["doc_id"] is None for r in packed)
+    proofs = manifest.lower_cased(docs.withColumn("n_chars", F.length("text"))).collect()
+    assert len(proofs) == 6 and all(r["verified"] for r in proofs) and len({r["root"] for r in proofs}) == 1
+    assert negatives.mine_hard_negatives(docs.select(F.col("doc_id").alias("vec_id"), F.lit(1).alias("label"), F.array(F.lit(1)).alias("v")), F.col("vec_id") % 50 == 0).count() == 0
+
+
 def test_stored_tables_are_cleared_and_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     df = common.stored(spark.range(10))
     assert df.count() == 10
