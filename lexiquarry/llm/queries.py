@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, fingerprint, html_text, language, lines_packed, manifest, mixing, neardup, negatives, packing, secret_scan, substrings, url_filter
+from lexiquarry.llm import decontaminate, fingerprint, html_text, language, lines, manifest, mixing, neardup, negatives, packing, secret_scan, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_packed.dedup_report(_table(spark, sf_dir, "documents"))
+    return lines.dedup_report(_table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

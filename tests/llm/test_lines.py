@@ -1,8 +1,6 @@
 import numpy as np
-import pytest
 
 from lexiquarry.llm import lines as ln
-from lexiquarry.llm import lines_packed
 
 
 def brute(rows):
@@ -43,13 +41,12 @@ def corpus(seed, docs=60):
     return texts
 
 
-@pytest.mark.parametrize("form", [lines_packed, ln], ids=["packed", "native"])
-def test_matches_brute_force(spark, form):
-    for seed in (1, 2) if form is lines_packed else (1,):
+def test_matches_brute_force(spark):
+    for seed in (1, 2):
         rows = [(int(i) * 3 + 1, t) for i, t in enumerate(corpus(seed))] + [(900, None), (901, "a b c d\n\na b c d e")]
         order = np.random.default_rng(seed).permutation(len(rows))
         df = spark.createDataFrame([(*rows[i], 0) for i in order], "doc_id long, text string, n_lines int").repartition(3)
-        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in form.dedup_report(df).collect()}
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in ln.dedup_report(df).collect()}
         assert got == brute(rows)
         assert sum(v[1] for v in got.values()) > 20
 
@@ -62,18 +59,14 @@ def test_text_is_rebuilt_and_odd_rows(spark):
     assert ln.dedup_report(df.limit(0)).count() == 0
 
 
-def test_hot_words_are_dealt_to_several_cells(spark, monkeypatch):
-    """With a low bound every word is a hot one; the results stay."""
-    monkeypatch.setattr(lines_packed, "HOT_WORDS", 3)
-    monkeypatch.setattr(lines_packed, "PAIRS", 7)
-    rows = list(enumerate(corpus(3)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in lines_packed.dedup_report(df).collect()}
-    assert got == brute(rows)
-
-
-def test_packed_odd_rows(spark):
+def test_report_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "one two three\n\nkeep me", 0), (2, "one two three\nother line", 0), (2, "one two three\nother line", 0), (3, None, 0), (None, "keep me\nlast", 0), (4, "", 0), (2, "new words\none two three", 0)], "doc_id long, text string, removed int")
-    got = sorted((r["doc_id"] or 9, r["n_lines"], r["removed_lines"]) for r in lines_packed.dedup_report(df).collect())
+    got = sorted((r["doc_id"] or 9, r["n_lines"], r["removed_lines"]) for r in ln.dedup_report(df).collect())
     assert got == [(1, 3, ""), (2, 2, "0"), (2, 2, "0"), (2, 2, "1"), (3, 1, ""), (4, 1, ""), (9, 2, "0")]
-    assert lines_packed.dedup_report(df.limit(0)).count() == 0
+    assert ln.dedup_report(df.limit(0)).count() == 0
+
+
+def test_no_python_on_the_main_path(spark):
+    df = spark.createDataFrame([(1, "one two three\nkeep me"), (2, "one two three four")], "doc_id long, text string")
+    plan = ln.dedup_report(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

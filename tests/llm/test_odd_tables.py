@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import common, decontaminate, fingerprint, lines, lines_packed, manifest, mixing, neardup, negatives, packing, substrings
+from lexiquarry.llm import common, decontaminate, fingerprint, lines, manifest, mixing, neardup, negatives, packing, substrings
 
 PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -62,7 +62,7 @@ def test_rows_of_one_id_do_not_depend_on_their_order(spark):
     again = mixing.mix_documents(clashing(spark, rows[::-1]).repartition(5)).select("text", "copy_2").collect()
     assert sorted(first) == sorted(again)
     docs = clashing(spark, [(7, "same line of many words\nx", "s"), (7, "same line of many words\ny", "s"), (8, "same line of many words", "s")])
-    got = sorted((r["doc_id"], r["n_removed"]) for r in lines_packed.dedup_report(docs).collect())
+    got = sorted((r["doc_id"], r["n_removed"]) for r in lines.dedup_report(docs).collect())
     assert got == [(7, 0), (7, 0), (8, 1)]
 
 
@@ -84,7 +84,7 @@ def test_very_long_texts(spark):
     assert cut[1] == 0 and cut[2] >= 149_900 and cut[3] == 150_000 and cut[4] == 0 and cut[5] == 150_000
     sizes = {r["doc_id"]: r["size"] for r in mixing.mix_sources(docs).collect()}
     assert sizes[1] == 150_000 and sizes[4] == 2
-    gone = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines_packed.dedup_report(docs).collect()}
+    gone = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.dedup_report(docs).collect()}
     assert gone[1] == (1, 0) and gone[2] == (1, 1) and gone[3] == (1, 1) and gone[5] == (150_000, 150_000 - len(set(words)))
 
 
