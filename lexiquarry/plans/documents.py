@@ -12,6 +12,7 @@ from lexiquarry.plans.planted import quoted
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import scratch_dir, table
 from lexiquarry.sources.keyed_store import KeyedStore
+from lexiquarry.sources.writers import write_observed
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -197,6 +198,20 @@ def ag16(spark, d):
     return x.groupBy("lang").pivot("half", ["even", "odd"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+_LANGS = ("de", "en", "es", "fr")
+_LANG = f"CASE WHEN lang IN ({', '.join(map(quoted, _LANGS))}) THEN lang ELSE 'other' END"
+
+
+@reg("ag16_observed_summary", f"WITH l AS (SELECT unnest([{', '.join(map(quoted, (*_LANGS, 'other')))}]) AS lang), x AS (SELECT {_LANG} AS lang, doc_id % 2 = 0 AS is_even FROM documents) SELECT l.lang, count(is_even) FILTER (is_even) AS even, count(is_even) FILTER (NOT is_even) AS odd FROM l LEFT JOIN x USING (lang) GROUP BY 1")
+def ag16_observed(spark, d):
+    """Counts by type and category of an export, taken in the pass that writes it."""
+    x = table(spark, d, "documents").select("doc_id", F.expr(_LANG).alias("lang"), "text")
+    even = F.col("doc_id") % 2 == 0
+    metrics = {f"{n}_{half}": F.count_if((F.col("lang") == n) & (even if half == "even" else ~even)) for n in (*_LANGS, "other") for half in ("even", "odd")}
+    got = write_observed(x, lambda rows: rows.write.partitionBy("lang").parquet(f"{scratch_dir(spark)}/export"), **metrics)
+    return spark.createDataFrame([(n, got[f"{n}_even"], got[f"{n}_odd"]) for n in (*_LANGS, "other")], "lang string, even long, odd long")
+
+
 @reg("ag19_citation_sets", "SELECT l_returnflag, round(avg(l_discount), 6) AS mean, count(*) FILTER (l_discount < 0.02) AS failed FROM lineitem GROUP BY 1")
 def ag19(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_discount"), 6).alias("mean"), F.count_if(F.col("l_discount") < 0.02).alias("failed"))
