@@ -1,25 +1,22 @@
 """Secret scan: base patterns, and a linear-chain CRF that adds spans.
 
-Base spans are matches of three patterns (see ``BASE``). The CRF tags the tokens of a
-text as secret begin, inside or outside, from their shape, the words around them and
-features of the file, and is decoded by Viterbi over chains of neighbouring tokens. So a
-secret may have several tokens: a key over many lines, a passphrase of words, groups
-split by signs.
-
-Chains are the tokens near triggers: tokens of ``MIN_TOKEN`` or more characters that mix
-letters, digits or signs, words about secrets (``KEYWORDS``) and passwords in addresses, with ``BEFORE`` tokens
-before and ``AFTER`` behind each; chains that touch are one. Tokens far from any trigger
-are outside, a constraint of the model.
+Base spans are matches of three patterns (see ``BASE``). The CRF tags every token of every
+text as secret begin, inside or outside, from its shape, the words around it and features
+of the file. A text's tokens are one chain, decoded by Viterbi as a whole. So a secret may
+have several tokens (a key over many lines, a passphrase of words, groups split by signs)
+and may stand anywhere, whatever stands around it.
+
+Most features of a token depend on one token: itself, the one before or behind it, or one
+of the ``BEFORE`` before it. Their weights are summed once for each distinct token and
+looked up for all; what lies between a word about secrets and a token is read where there
+is such a word. A chain is split only at tokens that are outside by a bound (``_open``). So
+the pieces' best tags are the whole chain's.
 
 Tagged spans that touch no base span are added as kind ``crf``, if they have ``LEAST`` or
 more characters. The model is fitted on the driver, always alike, on invented lines (no
 labelled secrets exist): keys, tokens, passphrases and passwords of usual shapes, against
 prose about secrets, numbers, addresses, dates, versions, hashes in names and long words.
 
-A text is looked at closely only if its bytes hold a mixed run of that length, a
-hexadecimal run, a keyword, the start of an access key or an address with a password;
-without these no pattern matches and there is no chain.
-
 Defined results: null text is empty and has no spans; repeated rows are scanned alike;
 offsets are code points; other columns are ignored; an empty table gives an empty table.
 """
@@ -32,16 +29,16 @@ import random
 import re
 import string
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import textcore as tc
 from lexiquarry.llm.common import bounded_batches
 from lexiquarry.llm.crf import Crf, fit, viterbi
 
@@ -51,12 +48,10 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
 )
-#: Words about secrets, lower-cased; a token that holds one is a trigger.
+#: Words about secrets, lower-cased.
 KEYWORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private", "auth")
-MIN_TOKEN = 12
-#: Tokens of a chain before and behind a trigger.
-BEFORE = 3
-AFTER = 10
+#: Tokens before a token that it knows of.
+BEFORE = 6
 #: Characters of a secret that the CRF adds.
 LEAST = 8
 BUCKETS = 1 << 14
@@ -64,14 +59,9 @@ LABELS = ["O", "B", "I"]
 SEED = 20_240_601
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.%~-]+(?:={1,2}(?![A-Za-z0-9+/_.@%~=-]))?|[^\sA-Za-z0-9]")
-#: A password in an address.
-_IN_URL = re.compile(rb"://[^\s/@:]*+:[^\s/@]++@")
-_ALPHABET = np.zeros(256, bool)
-_ALPHABET[[ord(c) for c in string.ascii_letters + string.digits + "+/_=.@%~-"]] = True
-_KIND = np.zeros(256, np.uint8)
-_KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 4
-_HEX = np.zeros(256, bool)
-_HEX[48:58] = _HEX[97:103] = True
+_HEX = re.compile(r"[0-9a-f]{16}")
+_CLASSES = str.maketrans(string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "9" * 10)
+_RUN = re.compile(r"(.)\1+", re.S)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -84,11 +74,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, k) for s, _, e, k in sorted(out)]
 
 
-def candidate(token: str) -> bool:
-    """Whether a token is long and more than a word: with a digit, or of mixed case."""
-    if len(token) < MIN_TOKEN:
-        return False
-    return any(c.isdigit() for c in token) or (any(c.islower() for c in token) and any(c.isupper() for c in token[1:]))
+def _may_match(text: str) -> bool:
+    """Whether a base pattern can match: its fixed letters stand in the text, or a
+    hexadecimal run of its length."""
+    low = text.lower()
+    return any(k in low for k in ("passw", "secret", "token", "api")) or "AKIA" in text or _HEX.search(text) is not None
 
 
 def _in_url(tokens: list[str], i: int) -> bool:
@@ -97,9 +87,11 @@ def _in_url(tokens: list[str], i: int) -> bool:
     return 2 <= i < len(tokens) - 1 and tokens[i + 1] == "@" and tokens[i - 1] == ":" and tokens[i - 2].startswith("//")
 
 
+_ABOUT = re.compile("|".join(map(re.escape, KEYWORDS)))
+
+
 def _keyword(token: str) -> bool:
-    low = token.lower()
-    return any(k in low for k in KEYWORDS)
+    return _ABOUT.search(token.lower()) is not None
 
 
 #: Words that may stand between a word about secrets and the secret, and names of keys.
@@ -114,35 +106,63 @@ def _bucket(feature: str) -> int:
 
 def shape(token: str) -> str:
     """Character classes, runs shortened to one."""
-    s = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", token)))
-    return re.sub(r"(.)\1+", r"\1", s)[:12]
+    return _RUN.sub(r"\1", token.translate(_CLASSES))[:12]
 
 
-def _entropy(token: str) -> float:
-    n = len(token)
-    return -sum(token.count(c) / n * math.log2(token.count(c) / n) for c in set(token))
+@lru_cache(1 << 12)
+def _spread(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return round(-2 * sum(c / n * math.log2(c / n) for c in counts))
 
 
-def token_features(tokens: list[str], i: int, file: list[str]) -> list[str]:
-    t = tokens[i]
-    n = len(t)
-    before = tokens[max(0, i - 6) : i]
-    last = before[-1] if before else ""
-    after = tokens[i + 1] if i + 1 < len(tokens) else ""
-    words = [w.lower() for w in before]
+def class_features(classes: str) -> list[str]:
+    """Of a token by its character classes alone (letters as a or A, digits as 9)."""
+    n, form = len(classes), shape(classes)
+    out = ["bias", f"shape={form}", f"len={min(n // 4, 12)}", f"sign={classes if classes[0] not in 'aA9' else ''}"]
+    if n >= 4:
+        digits, upper, lower = map(classes.count, "9Aa")
+        turns, swaps = (sum((a == c) != (b == c) for a, b in zip(classes, classes[1:], strict=False)) for c in "9A")
+        out += [f"digits={10 * digits // n}", f"cases={int(upper > 0)}{int(lower > 0)}{int(digits > 0)}", f"turns={min(12, turns)}", f"swaps={min(12, swaps)}"]
+        out += [f"{name}={min(most, classes.count(c))}" for name, c, most in (("dots", ".", 4), ("dashes", "-", 5), ("slashes", "/", 4))]
+    return out
+
+
+def letter_features(t: str) -> list[str]:
+    """Of a token by its letters."""
+    out = [f"key={int(_keyword(t))}"]
+    if len(t) >= 4:
+        out += [f"entropy={_spread(tuple(sorted(map(t.count, set(t)))))}", f"start={t[:3]}", f"hex={int(not t.strip('0123456789abcdefABCDEF-'))}"]
+    return out
+
+
+def part_features(t: str) -> list[str]:
+    """Of each of the tokens before: names of keys and words about secrets in it."""
+    low = t.lower()
+    return [f"part={p}" for p in ([low] if low.isalpha() else re.split(r"[^a-z]+", low)) if len(p) > 2 and (p in _NAMES or _keyword(p))]
+
+
+def after_feature(classes: str) -> str:
+    """Of the token behind (or none), by its classes."""
+    return f"after={classes if classes and classes[0] not in 'aA9' else shape(classes)}"
+
+
+def _place(gap: str, classes: str, url: bool) -> list[str]:
+    return [f"gap={gap}", f"gap={gap} shape={shape(classes)}", f"url={int(url)}"]
+
+
+def place_features(tokens: list[str], i: int) -> list[str]:
+    """Of what stands between the last word about secrets and here, letters by their case only."""
+    before = tokens[max(0, i - BEFORE) : i]
     about = [j for j, w in enumerate(before) if _keyword(w)]
-    # What stands between the last word about secrets and here, letters by their case only.
     gap = " ".join(w if not w[0].isalnum() else w.lower() if w.lower() in _LINKS else "w" for w in before[about[-1] + 1 :]) if about else "far"
-    out = ["bias", f"shape={shape(t)}", f"len={min(n // 4, 12)}", f"gap={gap}", f"key={int(_keyword(t))}", f"sign={t if not t[0].isalnum() else ''}", f"url={int(_in_url(tokens, i))}"]
-    out += [f"last={shape(last)}", f"after={after if after and not after[0].isalnum() else shape(after)}", f"gap={gap} shape={shape(t)}", f"last={last.lower()}"]
-    if n >= 4:
-        digits, upper, lower = (sum(map(f, t)) for f in (str.isdigit, str.isupper, str.islower))
-        out += [f"digits={10 * digits // n}", f"cases={int(upper > 0)}{int(lower > 0)}{int(digits > 0)}", f"entropy={round(2 * _entropy(t))}"]
-        out += [f"turns={min(12, sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:], strict=False)))}"]
-        out += [f"swaps={min(12, sum(a.isupper() != b.isupper() for a, b in zip(t, t[1:], strict=False)))}"]
-        out += [f"dots={min(4, t.count('.'))}", f"dashes={min(5, t.count('-'))}", f"slashes={min(4, t.count('/'))}", f"at={int('@' in t)}", f"start={t[:3]}", f"hex={int(all(c in '0123456789abcdefABCDEF-' for c in t))}"]
-    out += [f"part={p}" for w in set(words) for p in re.split(r"[^a-z]+", w) if p and len(p) > 2 and (_keyword(p) or p in _NAMES)]
-    return out + file
+    return _place(gap, tokens[i], _in_url(tokens, i))
+
+
+def token_features(tokens: list[str], i: int, file: list[str]) -> list[str]:
+    t, before = tokens[i], tokens[max(0, i - BEFORE) : i]
+    last, after = before[-1] if before else "", tokens[i + 1] if i + 1 < len(tokens) else ""
+    around = [f"last={shape(last)}", f"last={last.lower()}", after_feature(after.translate(_CLASSES)), f"same={int(t == last)}"]
+    return class_features(t.translate(_CLASSES)) + letter_features(t) + around + [p for w in before for p in part_features(w)] + place_features(tokens, i) + file
 
 
 def file_features(text: str, tokens: int) -> list[str]:
@@ -150,44 +170,158 @@ def file_features(text: str, tokens: int) -> list[str]:
     return [f"marks={min(5, 40 * marks // max(1, len(text)))}", f"size={min(6, len(text).bit_length() // 3)}"]
 
 
-def _chains_of(tokens: list[str]) -> list[tuple[int, int]]:
-    """(first, end) of the tokens around triggers."""
-    out: list[tuple[int, int]] = []
-    for i, t in enumerate(tokens):
-        if candidate(t) or _keyword(t) or _in_url(tokens, i):
-            a, b = max(0, i - BEFORE), min(len(tokens), i + AFTER + 1)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-    return out
+class Scanner:
+    """Tags texts. Keeps what it has computed of distinct tokens, up to ``TYPES`` of them
+    between groups of texts."""
+
+    TYPES = 1 << 18
+
+    def __init__(self, model: Crf) -> None:
+        self.model = model
+        self.same = np.stack([self._sum([f"same={k}"]) for k in (0, 1)])
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Numbers of tokens as they come; the empty one stands between texts.
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        for t in ("", ":", "@"):
+            self.number[t]
+        #: Numbers and sums of weights of character classes.
+        self.classes: dict[str, int] = {}
+        self.by_class: list[np.ndarray] = []
+        self.weights = np.zeros((0, 5, len(LABELS)), np.float32)
+        self.marks = np.zeros((0, 3), bool)
+
+    def _sum(self, features: list[str]) -> np.ndarray:
+        return self.model.weights[list(map(_bucket, features))].sum(axis=0, dtype=np.float64)
+
+    def _class(self, classes: str) -> int:
+        """The number of a class, which gets its sums (as in ``_learn``) if it is new."""
+        k = self.classes.get(classes)
+        if k is None:
+            k = self.classes[classes] = len(self.by_class)
+            own = [self._sum(class_features(classes)), self._sum(_place("far", classes, False))] if classes else [np.zeros(len(LABELS))] * 2
+            self.by_class.append(np.array([*own, self._sum([f"last={shape(classes)}"]), self._sum([after_feature(classes)]), np.zeros(len(LABELS))]))
+        return k
+
+    def _learn(self) -> None:
+        """Sums of weights (own, far from words about secrets, as the token before, behind,
+        and as one of those before) and marks (about secrets, start of an address, has
+        parts) of new tokens."""
+        new = list(islice(self.number, len(self.weights), None))
+        if not new:
+            return
+        kind = [self._class(t.translate(_CLASSES)) for t in new]
+        w = np.stack(self.by_class)[kind]
+        letters = [list(map(_bucket, letter_features(t))) for t in new]
+        count = np.fromiter(map(len, letters), np.int64, len(new))
+        each = self.model.weights[np.fromiter(chain.from_iterable(letters), np.int64, int(count.sum()))]
+        w[:, 0] += np.add.reduceat(each, np.cumsum(count) - count, axis=0)
+        w[:, 2] += self.model.weights[[_bucket(f"last={t.lower()}") for t in new]]
+        parts = list(map(part_features, new))
+        for i, p in enumerate(parts):
+            if p:
+                w[i, 4] = self._sum(p)
+        self.weights = np.concatenate([self.weights, w.astype(np.float32)])
+        self.marks = np.concatenate([self.marks, np.array([(_keyword(t), t.startswith("//"), bool(p)) for t, p in zip(new, parts, strict=True)])])
+
+    def _scores(self, texts: list[str], found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all tokens, with an empty one before each text and behind the last, and
+        the numbers of the tokens' texts."""
+        if len(self.number) > self.TYPES:
+            self._forget()
+        tokens = [""]
+        for f in found:
+            tokens += f
+            tokens.append("")
+        t = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        self._learn()
+        own = np.cumsum(t == 0) - 1
+        starts = np.flatnonzero(t == 0) + 1
+        w, (about, address, parts) = self.weights, self.marks.T
+        place = w[t, 1].astype(np.float64)
+        near = np.zeros(len(t), bool)
+        said = np.flatnonzero(about[t])
+        for k in range(1, BEFORE + 1):
+            at = said[said + k < len(t)]
+            near[at[own[at + k] == own[at]] + k] = True
+        at = np.flatnonzero(address[t[:-3]] & (t[1:-2] == 1) & (t[3:] == 2)) + 2
+        near[at] = True
+        near &= t > 0
+        for i in np.flatnonzero(near).tolist():
+            lo = max(int(starts[own[i]]), i - BEFORE)
+            place[i] = self._sum(place_features(tokens[lo : i + 2], i - lo))
+        out = w[t, 0] + place
+        out[1:] += self.same[(t[1:] == t[:-1]).astype(int)]
+        out[0] += self.same[0]
+        out[1:] += w[t[:-1], 2]
+        out[:-1] += w[t[1:], 3]
+        has = np.flatnonzero(parts[t])
+        for k in range(1, BEFORE + 1):
+            at = has[has + k < len(t)]
+            at = at[own[at + k] == own[at]]
+            out[at + k] += w[t[at], 4]
+        files = np.array([self._sum(file_features(text, len(f))) for text, f in zip(texts, found, strict=True)] + [np.zeros(len(LABELS))])
+        return out + files[own], own
+
+    def _open(self, scores: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Tokens that may be in a secret. A run of tokens in secrets gains over "outside" no
+        more than the sum of its tokens' best gains, each with the best step between two of
+        them, and the best steps in and out. A token of which no run can gain is outside."""
+        trans = self.model.trans - self.model.trans[0, 0]
+        inner, enter, leave = trans[1:, 1:].max(), trans[0, 1:].max(), trans[1:, 0].max()
+        gain = (scores[:, 1:] - scores[:, :1]).max(axis=1) + inner
+        # A text's first token is not stepped into, and its last not out of.
+        gain[1:] += np.where(gap[:-1], max(0.0, -enter), 0)
+        gain[:-1] += np.where(gap[1:], max(0.0, -leave), 0)
+        gain[gap] = 0
+        gain[gap] = -1 - np.maximum(gain, 0).sum()
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        until = total[1:] - np.minimum.accumulate(total)[:-1]
+        since = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
+        return (until + since - gain - inner + enter + leave > -1e-3) & ~gap
+
+    def labels(self, scores: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """The best label of every token; ``gap`` tells what stands between texts."""
+        open_ = self._open(scores, gap)
+        label = np.zeros(len(scores), np.int64)
+        # A piece is a run of open tokens with the outside ones beside it.
+        edge = np.diff(open_.astype(np.int8), prepend=0, append=0)
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first, end = first - ~gap[first - 1], end + ~gap[end]
+        size = end - first
+        order = np.frexp(size)[1]
+        for o in np.unique(order):
+            f, n = first[order == o], size[order == o]
+            at = np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())
+            label[at] = viterbi(scores[at], np.cumsum(n) - n, n, self.model.trans)
+        return label
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """For each text the spans that Viterbi tags as secrets."""
+        found = [_TOKEN.findall(text) for text in texts]
+        scores, own = self._scores(texts, found)
+        gap = np.diff(own, prepend=-1) > 0
+        label = self.labels(scores, gap)
+        first = np.flatnonzero(gap)
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for d in np.unique(own[label > 0]).tolist():
+            tags = label[first[d] + 1 : first[d + 1]].tolist()
+            spans, inside = out[d], False
+            for m, tag in zip(_TOKEN.finditer(texts[d]), tags, strict=True):
+                if tag == 1 or (tag == 2 and not inside):
+                    spans.append((m.start(), m.end()))
+                elif tag == 2:
+                    spans[-1] = (spans[-1][0], m.end())
+                inside = tag != 0
+            out[d] = [(s, e) for s, e in spans if e - s >= LEAST]
+        return out
 
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
     """Spans that Viterbi tags as secrets."""
-    tokens = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    words = [t for t, *_ in tokens]
-    parts = _chains_of(words)
-    if not parts:
-        return []
-    file = file_features(text, len(tokens))
-    rows = [model.weights[[_bucket(f) for f in token_features(words, i, file)]].sum(axis=0) for a, b in parts for i in range(a, b)]
-    length = np.array([b - a for a, b in parts])
-    first = np.cumsum(length) - length
-    best = np.concatenate([viterbi(np.array(rows[f : f + n], np.float64), np.array([0]), np.array([n]), model.trans) for f, n in zip(first.tolist(), length.tolist(), strict=True)])
-    out: list[tuple[int, int]] = []
-    at = 0
-    for a, b in parts:
-        inside = False
-        for i in range(a, b):
-            label = best[at]
-            at += 1
-            if label == 1 or (label == 2 and not inside):
-                out.append((tokens[i][1], tokens[i][2]))
-            elif label == 2:
-                out[-1] = (out[-1][0], tokens[i][2])
-            inside = label != 0
-    return [(s, e) for s, e in out if e - s >= LEAST]
+    return Scanner(model).spans([text])[0]
 
 
 class _Inventor:
@@ -287,6 +421,15 @@ class _Inventor:
             ]
         )()
 
+    def filler(self) -> str:
+        """A text without secrets: prose, or words said again and again."""
+        r = self.rng
+        out = []
+        for _ in range(r.randint(1, 4)):
+            w = self.word() + r.choice(["", "", "", ".", ",", "!"])
+            out += [(w.capitalize() if r.random() < 0.5 else w)] * r.randint(2, 30) if r.random() < 0.5 else [self.prose(5, 40)]
+        return r.choice([" ", "\n"]).join(out)
+
     def line(self) -> tuple[str, list[tuple[int, int]]]:
         """A text and the spans of its secrets."""
         r = self.rng
@@ -344,45 +487,41 @@ def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
 
 def fit_secrets(lines: int = 2500, epochs: int = 4, seed: int = SEED) -> Crf:
     """The model; always the same for the same arguments."""
-    rng = random.Random(seed)
+    inventor = _Inventor(random.Random(seed))
     batches, token, bucket, y, first, length = [], [], [], [], [], []
     for line in range(lines):
-        text, spans = _invented(rng)
+        text, spans = (inventor.filler(), []) if line % 8 == 7 else inventor.line()
         tokens = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(text)]
         words, file = [t for t, *_ in tokens], file_features(text, len(tokens))
-        for a, b in _chains_of(words):
-            first.append(len(y))
-            length.append(b - a)
-            for i in range(a, b):
-                for f in map(_bucket, token_features(words, i, file)):
-                    token.append(len(y))
-                    bucket.append(f)
-                inside = [s for s, e in spans if s < tokens[i][2] and tokens[i][1] < e]
-                y.append(0 if not inside else 1 if tokens[i][1] <= inside[0] else 2)
+        first.append(len(y))
+        length.append(len(words))
+        for i in range(len(words)):
+            for f in map(_bucket, token_features(words, i, file)):
+                token.append(len(y))
+                bucket.append(f)
+            inside = [s for s, e in spans if s < tokens[i][2] and tokens[i][1] < e]
+            y.append(0 if not inside else 1 if tokens[i][1] <= inside[0] else 2)
         if first and (line % 100 == 99 or line == lines - 1):
             batches.append(((np.array(token), np.array(bucket), np.ones(len(token))), np.array(y), np.array(first), np.array(length)))
             token, bucket, y, first, length = [], [], [], [], []
     return fit(LABELS, batches, BUCKETS, epochs)
 
 
-def _rows_with_runs(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows with a run of MIN_TOKEN bytes of the alphabet that may be a candidate (a digit,
-    or letters of both cases), or a hexadecimal run of the base pattern's length."""
-    n = len(offs) - 1
-    out = np.zeros(n, bool)
-    if not len(data):
-        return out
-    for member, least, mixed in ((_ALPHABET, MIN_TOKEN, True), (_HEX, BASE[2][3], False)):
-        blank = np.where(member[data], np.uint8(97), np.uint8(32))
-        starts, ends, _ = tc.word_spans(blank, offs)
-        keep = ends - starts >= least
-        starts, ends = starts[keep], ends[keep]
-        if mixed and len(starts):
-            kinds = np.bitwise_or.reduceat(np.append(_KIND[data], np.uint8(0)), np.stack([starts, ends], axis=1).reshape(-1))[::2]
-            inner = np.bitwise_or.reduceat(np.append(_KIND[data], np.uint8(0)), np.stack([starts + 1, ends], axis=1).reshape(-1))[::2]
-            starts = starts[((kinds & 4) > 0) | (((kinds & 1) > 0) & ((inner & 2) > 0))]
-        out[np.searchsorted(offs, starts, "right") - 1] = True
-    return out
+#: Characters of the texts that are tagged together, unless one has more.
+GROUP = 1 << 20
+
+
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 def _apart(found: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -401,36 +540,25 @@ def scan_secrets(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = hashlib.sha256(b"").hexdigest()
+        scanner = Scanner(model)
+        rank = {k: i for i, (k, *_) in enumerate(BASE)}
         for b in batches:
-            raw, offs = tc.utf8(b.column(1))
             n = b.num_rows
-            close = np.zeros(n, bool)
-            for i, j in tc.slices(offs):
-                data, o = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                close[i:j] |= _rows_with_runs(data, o)
-                low = data.tobytes().lower()
-                for k in (*KEYWORDS, "akia"):
-                    at = low.find(k.encode())
-                    while at >= 0:
-                        r = int(np.searchsorted(o, at, "right"))
-                        close[i + r - 1] = True
-                        at = low.find(k.encode(), int(o[r]))
-                for m in _IN_URL.finditer(data.tobytes()):
-                    close[i + int(np.searchsorted(o, m.start(), "right")) - 1] = True
             counts = {k: [0] * n for k, *_ in BASE}
             shas, spans, added = [blank] * n, [""] * n, [0] * n
-            for r in np.flatnonzero(close).tolist():
-                text = b.column(1)[r].as_py() or ""
-                base = base_spans(text)
-                for _, _, k in base:
-                    counts[k][r] += 1
-                if base:
-                    shas[r] = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
-                new = [(s, e, "crf") for s, e in _apart(crf_spans(text, model), base)]
-                added[r] = len(new)
-                rank = {k: i for i, (k, *_) in enumerate(BASE)}
-                every = sorted(base + new, key=lambda x: (x[0], rank.get(x[2], 9)))
-                spans[r] = ",".join(f"{k}:{s}:{e}" for s, e, k in every)
+            r = -1
+            for texts in _groups(x.as_py() for x in b.column(1)):
+                for text, tagged in zip(texts, scanner.spans(texts), strict=True):
+                    r += 1
+                    base = base_spans(text) if _may_match(text) else []
+                    for _, _, k in base:
+                        counts[k][r] += 1
+                    if base:
+                        shas[r] = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+                    new = [(s, e, "crf") for s, e in _apart(tagged, base)]
+                    added[r] = len(new)
+                    every = sorted(base + new, key=lambda x: (x[0], rank.get(x[2], 9)))
+                    spans[r] = ",".join(f"{k}:{s}:{e}" for s, e, k in every)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(counts[k], pa.int64()) for k in ("assign", "access", "hex")], pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())],
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"],

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lexiquarry.llm import secret_scan as sc
@@ -160,3 +161,40 @@ def test_passwords_in_addresses_are_read_whatever_else_a_text_holds(spark):
     df = spark.createDataFrame([(1, "see redis://:p4ssw0rd99@cache.example.com:6379 there"), (2, "see https://cache.example.com there")], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in sc.scan_secrets(df).collect()}
     assert got == {1: "crf:13:23", 2: ""}
+
+
+def test_tokens_are_tagged_wherever_they_stand(spark):
+    """By a model that knows one short token: no long token, no word about secrets near."""
+    weights = np.zeros((sc.BUCKETS, 3), np.float32)
+    weights[sc._bucket("bias")] = [5, 0, 0]
+    weights[sc._bucket("start=q9z")] = [0, 50, 0]
+    model = sc.Crf(sc.LABELS, weights, np.zeros((3, 3)))
+    prose = "some plain words of a text "
+    texts = [prose * k + "q9zq9zq9" + (" " + prose) * j for k in (0, 1, 3000) for j in (0, 1, 3000)] + [prose, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["spans"] for r in sc.scan_secrets(df, model).collect()}
+    assert got == {i: f"crf:{t.index('q9z')}:{t.index('q9z') + 8}" if t and "q9z" in t else "" for i, t in enumerate(texts)}
+
+
+def test_pieces_are_tagged_as_whole_chains(model):
+    rng = random.Random(5)
+    inventor = sc._Inventor(rng)
+    texts = ["".join(inventor.line()[0] if rng.random() < 0.5 else inventor.filler() for _ in range(rng.randint(0, 4))) for _ in range(120)]
+    found = sc.Scanner(model).spans(texts)
+    assert sum(map(len, found)) > 50
+    for text, spans in zip(texts, found, strict=True):
+        at = list(sc._TOKEN.finditer(text))
+        tokens, file = [m.group() for m in at], sc.file_features(text, len(at))
+        scores = np.array([model.weights[list(map(sc._bucket, sc.token_features(tokens, i, file)))].sum(axis=0, dtype=np.float64) for i in range(len(at))]).reshape(-1, 3)
+        want, inside = [], False
+        for m, label in zip(at, sc.viterbi(scores, np.array([0]), np.array([len(at)]), model.trans) if at else [], strict=True):
+            if label == 1 or (label == 2 and not inside):
+                want.append(m.span())
+            elif label == 2:
+                want[-1] = (want[-1][0], m.end())
+            inside = label != 0
+        assert spans == [(s, e) for s, e in want if e - s >= sc.LEAST], text
+
+
+def test_words_said_again_and_again_are_no_secret(model):
+    assert not [w for w in ("Onou", "whenti", "Retionly", "Stzu") if sc.crf_spans(f"shnd. shnd. {f'{w} ' * 40}and on.", model)]
