@@ -46,9 +46,16 @@ _LAST = (1 << 63) - 1
 _MASK = (1 << 47) - 1
 
 
-def _words(text: Column) -> Column:
-    """Words and empty strings of a text."""
-    return F.split(text, "[ \\t\\n\\x0B\\f\\r]")
+def _spaced(text: Column) -> Column:
+    """The text with plain spaces for other white space, lines left as they are. Most texts
+    have none and are only looked through; words are then cut without a pattern."""
+    other = "[\\t\\x0B\\f\\r]"
+    return F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)
+
+
+def _words(line: Column) -> Column:
+    """Words and empty strings of a line of a spaced text."""
+    return F.split(line, " ")
 
 
 def _constant(values: list[int]) -> Column:
@@ -58,7 +65,8 @@ def _constant(values: list[int]) -> Column:
 
 def rarity_ranks(texts: DataFrame) -> list[int]:
     """Each bucket's rank by the number of its words in all texts. One count for each of a fixed number of buckets comes to the driver."""
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w != ''")
+    lines = texts.select(F.explode(F.split(_spaced(F.col("text")), "\n", -1)).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w")).filter("w != ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("b")).count().collect()
     have = {r["b"]: r["count"] for r in counts}
     order = sorted(range(BUCKETS), key=lambda b: (have.get(b, 0), b))
@@ -94,7 +102,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
         row_key().alias("th"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        _spaced(F.coalesce("text", F.lit(""))).alias("text"),
     )
     return texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
@@ -115,14 +123,23 @@ def _line_sets(docs: DataFrame) -> DataFrame:
     return stored(sets.select("id", "th", "line_no", "n", F.xxhash64("toks").alias("sid"), _parity(F.col("toks")).alias("sig"), *[quarter(j).alias(f"q{j}") for j in (1, 2, 3)], prefix.alias("prefix")))
 
 
-def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
+def _sizes(na: Column, nb: Column) -> Column:
+    """Sets of these sizes can match."""
+    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
+
+
+def _least(both: Column) -> Column:
+    """The least number of common words of matching sets of so many words together: 4/9 of it, rounded up."""
+    return F.call_function("div", both * 4 + 8, F.lit(9).cast("long"))
+
+
+def _later_matches(docs: DataFrame, sets: DataFrame, again: DataFrame) -> DataFrame:
     """Lines (id, at, sig) that have an earlier line of another, similar set."""
     # Of equal sets only the first line goes on. Few lines have one, and only those join.
     lines = sets.filter("n > 3")
-    again = distinct.filter("c > 1").select(*_SET, "first")
     twice = _sieve(again.select(F.xxhash64(*_SET).alias("h")))
     marked = lines.withColumn("h", F.xxhash64(*_SET))
-    maybe = marked.filter(twice).join(again, list(_SET), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+    maybe = marked.filter(twice).join(small(again), list(_SET), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
     lines = marked.filter(~twice).select(*sets.columns).unionByName(maybe.select(*sets.columns))
     where = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     some = lines.select("id", where.alias("at"), *_SIGNS, "prefix")
@@ -138,17 +155,17 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     def alike(a: str, b: str) -> Column:
         """Sizes and parities leave the pair open."""
         na, nb = size(f"{a}at"), size(f"{b}at")
-        least = F.ceil((na + nb) * 4 / 9)
+        least = _least(na + nb)
         delta = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in _SIGNS]
         quarters = [delta[0].bitwiseXOR(delta[1]).bitwiseXOR(delta[2]).bitwiseXOR(delta[3]), *delta[1:]]
         apart = F.coalesce(sum((F.bit_count(q) for q in quarters[1:]), F.bit_count(quarters[0])), F.bit_count(delta[0]))
-        return (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (apart <= na + nb - 2 * least)
+        return _sizes(na, nb) & (apart <= na + nb - 2 * least)
 
     def possible(a: str, b: str) -> Column:
         """The positions of a common word, too."""
         na, nb = size(f"{a}at"), size(f"{b}at")
-        common = 1 + F.least(na - 1 - F.col(f"{a}p"), nb - 1 - F.col(f"{b}p"))
-        return (common >= F.ceil((na + nb) * 4 / 9)) & alike(a, b)
+        common = F.least(na - F.col(f"{a}p"), nb - F.col(f"{b}p"))
+        return _sizes(na, nb) & (common >= _least(na + nb)) & alike(a, b)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("tok", F.col("done").alias(f"{name}done"), *[F.col(c).alias(f"{name}{c}") for c in own])
@@ -159,7 +176,9 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
         """The x lines of the pairs that match, by both lines' whole sets from the texts."""
         ends = pairs.select(F.col("x_id").alias("id"), F.col("x_at").alias("at"), F.col("x_sig").alias("sig")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_at").alias("at"), F.col("y_sig").alias("sig"))).distinct()
         keep = _sieve(ends.select(F.xxhash64("id", F.shiftright("at", 32)).alias("h")))
-        pool = _lines(docs).withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep)
+        of = _sieve(ends.select(F.xxhash64("id").alias("h")))
+        texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))).filter(of)
+        pool = _lines(texts).withColumn("h", F.xxhash64("id", F.col("line_no").cast("long"))).filter(keep)
         pool = pool.select("id", "line_no", _hashed("line").alias("toks")).withColumns({"n": F.size("toks"), "sig": _parity(F.col("toks"))})
         pool = pool.select("id", where.alias("at"), "sig", "toks").join(ends, ["id", "at", "sig"])
         pool = stored(pool.groupBy("id", "at", "sig").agg(F.first("toks").alias("toks")))
@@ -177,7 +196,7 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     heads = ends.groupBy("end").agg(F.min(F.struct("id", "at", "sig")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     heads = heads.select("end", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "at", "sig")])
     na, nb = size("h_at"), size("at")
-    near = (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (F.bit_count(F.col("h_sig").bitwiseXOR(F.col("sig"))) <= na + nb - 2 * F.ceil((na + nb) * 4 / 9))
+    near = _sizes(na, nb) & (F.bit_count(F.col("h_sig").bitwiseXOR(F.col("sig"))) <= na + nb - 2 * _least(na + nb))
     star = ends.join(heads, "end").filter(earlier("h_", "") & near)
     star = star.select(F.col("id").alias("x_id"), F.col("at").alias("x_at"), F.col("sig").alias("x_sig"), F.col("h_id").alias("y_id"), F.col("h_at").alias("y_at"), F.col("h_sig").alias("y_sig"))
     found = verified(stored(star.distinct()))
@@ -191,40 +210,42 @@ def _later_matches(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> Dat
     return found.unionByName(verified(stored(rest)))
 
 
-def judged_lines(docs: DataFrame) -> DataFrame:
-    """For every document row (id, th) the array ``gone``: for each line whether it goes."""
+def gone_lines(docs: DataFrame) -> DataFrame:
+    """For every document row (id, th) with lines that go their numbers, ascending, as ``gone``."""
     sets = _line_sets(docs)
-    distinct = stored(sets.filter("n > 0").groupBy(*_SET).agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")))
+    several = sets.filter("n > 0").groupBy(*_SET).agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    again = stored(several.select(*_SET, "first"))
     # A set goes as a whole if its first line does; its other lines go anyway.
-    matched = _later_matches(docs, sets, distinct).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
-    matched = sets.select("id", "line_no", *_SET).join(matched, ["id", "line_no", "sig"]).select(*_SET, F.struct("id", "line_no").alias("first"))
-    matched = matched.join(distinct, [*_SET, "first"], "left_semi").select(*_SET, F.lit(True).alias("matched")).distinct()
-    facts = stored(distinct.select(*_SET, "first").join(matched, list(_SET), "left"))
-    flags = sets.select("id", "th", "line_no", *_SET).join(facts, list(_SET), "left")
-    gone = F.col("first").isNotNull() & (F.col("matched").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
-    flags = flags.select("id", "th", "line_no", gone.alias("gone"))
-    each = flags.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("line_no", "gone"))).alias("all"))
-    return each.select("id", "th", F.col("all.gone").alias("gone"))
+    later = _later_matches(docs, sets, again).select("id", F.shiftright("at", 32).cast("int").alias("line_no"), "sig").distinct()
+    later = sets.select("id", "line_no", *_SET).join(small(stored(later)), ["id", "line_no", "sig"])
+    first = later.join(small(again), list(_SET), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct("id", "line_no")))
+    matched = stored(first.select(*_SET, F.lit(True).alias("matched")).distinct())
+    flags = sets.select("id", "th", "line_no", *_SET).join(small(again), list(_SET), "left").join(small(matched), list(_SET), "left")
+    gone = flags.filter(F.col("matched").isNotNull() | (F.col("first") != F.struct("id", "line_no")))
+    return stored(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed lines' numbers (from 0) of every document."""
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
-    removed = F.filter(F.transform("gone", lambda g, i: F.when(g, i)), lambda x: x.isNotNull())
-    out = keys.join(judged_lines(docs), ["id", "th"])
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"), n_lines.cast("long").alias("n_lines"))
+    out = keys.join(small(gone_lines(docs)), ["id", "th"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     return out.select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"),
-        F.size("gone").cast("long").alias("n_lines"),
-        F.size(removed).cast("long").alias("n_removed"),
-        F.concat_ws(",", F.transform(removed, lambda x: x.cast("string"))).alias("removed_lines"),
+        "n_lines",
+        F.size("gone").cast("long").alias("n_removed"),
+        F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"),
     )
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; a text keeps its other lines, joined by \\n."""
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_key().alias("th"))
-    gone = stored(judged_lines(docs).filter(F.exists("gone", lambda g: g)))
+    # Whether each line goes, up to the last one that does.
+    between = lambda g, k: F.array_repeat(F.lit(False), g - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1)
+    goes = F.flatten(F.transform("gone", lambda g, k: F.concat(between(g, k), F.array(F.lit(True)))))
+    gone = stored(gone_lines(docs).select("id", "th", goes.alias("goes")))
     own = F.col("row.text")
-    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.col("gone")[i]), "\n")
-    text = F.when(F.col("gone").isNotNull(), kept).otherwise(own).alias("text")
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.coalesce(F.get("goes", i), F.lit(False))), "\n")
+    text = F.when(F.col("goes").isNotNull(), kept).otherwise(own).alias("text")
     return keyed.join(small(gone), ["id", "th"], "left").select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -70,3 +70,13 @@ def test_no_python_on_the_main_path(spark):
     df = spark.createDataFrame([(1, "one two three\nkeep me"), (2, "one two three four")], "doc_id long, text string")
     plan = ln.dedup_report(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_other_white_space_and_only_changed_documents(spark):
+    rows = [(1, "a b c d e"), (2, "a\tb\x0bc\x0cd\re\nx y"), (3, "x\t\ty\r"), (4, "p q"), (5, "p q r\n\nx  y\np\tq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed_lines"]) for r in ln.dedup_report(df).collect()}
+    assert got == brute(rows)
+    # Documents that keep all lines take no part in the last joins.
+    assert sorted((r["id"], r["gone"]) for r in ln.gone_lines(df).collect()) == [(2, [0]), (3, [0]), (5, [2, 3])]
+    assert {r["doc_id"]: r["text"] for r in ln.remove_repeated_lines(df).collect()}[5] == "p q r\n"
