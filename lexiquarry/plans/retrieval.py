@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiquarry.operators import inverted_index, vector_index
+from lexiquarry.operators import inverted_index, number_line, vector_index
 from lexiquarry.operators import retrieval as r
 from lexiquarry.plans.registry import Registry
 from lexiquarry.session import table
@@ -289,11 +289,14 @@ def wn13(spark, d):
 
 @reg("wn21_nearest_label", "SELECT p_partkey, s_suppkey, round(sqrt(d2), 6) AS dist FROM (SELECT p_partkey, s_suppkey, d2, row_number() OVER (PARTITION BY p_partkey ORDER BY d2, s_suppkey) AS k FROM (SELECT p_partkey, s_suppkey, pow(p_size - s_nationkey, 2) + pow(p_retailprice / 100.0 - s_acctbal / 100.0, 2) AS d2 FROM part JOIN supplier ON abs(p_size - s_nationkey) <= 2)) WHERE k = 1")
 def wn21(spark, d):
+    """Parts of one size and price have one answer; it is looked up by order, not by pairs."""
     p, s = table(spark, d, "part"), table(spark, d, "supplier")
-    near = p.withColumn("y", F.explode(F.sequence(F.col("p_size") - 2, F.col("p_size") + 2))).join(s, F.col("y") == F.col("s_nationkey"))
-    d2 = F.pow(F.col("p_size") - F.col("s_nationkey"), F.lit(2)) + F.pow(F.col("p_retailprice") / 100.0 - F.col("s_acctbal") / 100.0, F.lit(2))
-    best = near.withColumn("d2", d2).groupBy("p_partkey").agg(F.min(F.struct("d2", "s_suppkey")).alias("b"))
-    return best.select("p_partkey", "b.s_suppkey", F.round(F.sqrt("b.d2"), 6).alias("dist"))
+    marks = s.select(F.col("s_nationkey").alias("b"), (F.col("s_acctbal") / 100.0).alias("w"), F.col("s_suppkey").alias("key"))
+    own = p.select("p_partkey", F.col("p_size").cast("long").alias("p_size"), (F.col("p_retailprice") / 100.0).alias("price"))
+    best = number_line.nearest_in_band(own.select(F.col("p_size").alias("a"), F.col("price").alias("v")), marks, 2)
+    met = own.join(best, (F.col("p_size") == F.col("a")) & F.col("price").eqNullSafe(F.col("v")))
+    first = met.groupBy("p_partkey").agg(number_line.least("d2", "key").alias("b"))
+    return first.select("p_partkey", F.col("b.key").alias("s_suppkey"), F.round(F.sqrt("b.d2"), 6).alias("dist"))
 
 
 @reg("wn22_review_flags", "SELECT event_type, round(avg(value), 6) AS mean, avg(value) < 52 AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 5 GROUP BY 1")
