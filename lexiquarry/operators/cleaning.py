@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiquarry.functions import word_passes
+
 # Marks and words that results must equal.
 REASONING = (r"<think>.*?</think>", r"<thought>.*?</thought>", r"</think>|</thought>")
 #: How lines start in which a model talks to itself. A parameter; these are the usual ones.
@@ -42,6 +45,12 @@ _UY = (
     (r"(?iu)\b(quy|huy|tuy|chuy|nguy|khuy|xuy|buy|luy|duy|suy|ruy|muy|truy|phuy)\s+(ền|ên|ến|ện|ệt|ết|ể|ễ|ệ|ếu|ểu|ều|ếp)\b", "$1$2"),
 )
 
+#: What a word holds if any step of _SYLLABLES matches (RE2, which cannot look around).
+_MAY_SPLIT = f"[{MARKED_VOWELS}]{SYLLABLE_END}?{SYLLABLE_START}{_VOWELS}|[aeiouy]{SYLLABLE_START}[{MARKED_VOWELS}]|[aeiouy]{SYLLABLE_END}{SYLLABLE_START}{_VOWELS}"
+#: What a text holds if _UY matches: the second parts begin with such a vowel or y and one.
+_UY_VOWELS = "ềêếệểễỀÊẾỆỂỄ"
+_MAY_JOIN = rf"[uU][^\pL\pN]+[yY][{_UY_VOWELS}]|[uU][yY][^\pL\pN]+[{_UY_VOWELS}]"
+
 
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -77,10 +86,32 @@ def split_stuck_words(c: Column, words: tuple[tuple[str, str], ...] = STUCK) ->
 
 
 def split_syllables(c: Column, rounds: int = 5) -> Column:
-    """Spaces where one syllable must end and another start; rounds reach the fixed point."""
-    for _ in range(rounds):
-        c = reduce(lambda x, p: F.regexp_replace(x, *p), _SYLLABLES, c)
-    return reduce(lambda x, p: F.regexp_replace(x, *p), _UY, c)
+    """Spaces where one syllable must end and another start, in so many rounds at most; then
+    compounds with uy that were split are joined again."""
+    steps = [word_passes.python_step(*p) for p in _SYLLABLES]
+    joins = [word_passes.python_step(*p) for p in _UY]
+
+    def split(words: str) -> str:
+        for _ in range(rounds):
+            before = words
+            for p, new in steps:
+                words = p.sub(new, words)
+            if words == before:
+                break
+        return words
+
+    def rejoin(text: str) -> str:
+        # From the words before the first vowel of the compounds to the end of the last one's word.
+        first, last = min(i for i in map(text.find, _UY_VOWELS) if i >= 0), max(map(text.rfind, _UY_VOWELS))
+        before = text[:first].rsplit(None, 2)
+        start = len(before[0]) if len(before) == 3 else 0
+        end = next((m.start() for m in re.compile(r"\s").finditer(text, last)), len(text))
+        part = text[start:end]
+        for p, new in joins:
+            part = p.sub(new, part)
+        return text[:start] + part + text[end:]
+
+    return word_passes.apply(c, lambda a: word_passes.in_words(a, _MAY_SPLIT, split), lambda a: word_passes.in_texts(a, _MAY_JOIN, rejoin))
 
 
 def strip_signer(c: Column) -> Column:
